@@ -43,7 +43,7 @@ def recover_json(c: Column | str) -> Column:
         for texts in batches:
             yield texts.map(recovered_object, na_action="ignore")
 
-    return run(_col(c))
+    return run.asNondeterministic()(_col(c))
 
 
 def _text(payload: Column, key: str) -> Column:

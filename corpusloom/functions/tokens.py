@@ -11,8 +11,11 @@ from corpusloom.functions.text import _col, nonempty, normalize_text, search_val
 
 # Word characters joined by the punctuation found in paths, codes and versions.
 WORD_PATTERN = r"[\p{L}\p{N}_]+(?:[.:/#-]+[\p{L}\p{N}_]+)*"
+_OTHER_WORD = r"[\p{L}\p{N}_&&[^\p{IsHan}]]+(?:[.:/#-]+[\p{L}\p{N}_&&[^\p{IsHan}]]+)*"
+# Group 1 holds the token: a Han pair (one character is consumed, so pairs overlap), a
+# Han character standing alone, or another word.
 _HAN_AWARE_PATTERN = (
-    r"\p{IsHan}+|[\p{L}\p{N}_&&[^\p{IsHan}]]+(?:[.:/#-]+[\p{L}\p{N}_&&[^\p{IsHan}]]+)*"
+    rf"(?=(\p{{IsHan}}{{2}}|(?<!\p{{IsHan}})\p{{IsHan}}(?!\p{{IsHan}})|{_OTHER_WORD}))(?:\p{{IsHan}}|{_OTHER_WORD})"
 )
 # Fixed value: characters of a token that counts as ASCII.
 ASCII_TOKEN_PATTERN = r"\A[A-Za-z0-9_.:/#-]+\z"
@@ -27,23 +30,11 @@ LOW_VALUE_QUERY_WORDS = (
 )
 
 
-def _bigrams(run: Column) -> Column:
-    n = F.length(run)
-    return F.when(n <= 1, F.array(run)).otherwise(
-        F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(run, i, F.lit(2)))
-    )
-
-
 def search_tokens(c: Column | str) -> Column:
     """Ordered search tokens; ASCII tokens in lower case, Han runs as overlapping pairs."""
     text = _col(c)
     words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
-    mixed = F.flatten(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(_HAN_AWARE_PATTERN), F.lit(0)),
-            lambda t: F.when(t.rlike(r"\A\p{IsHan}"), _bigrams(t)).otherwise(F.array(t)),
-        )
-    )
+    mixed = F.regexp_extract_all(text, F.lit(_HAN_AWARE_PATTERN), F.lit(1))
     tokens = F.when(text.rlike(r"\p{IsHan}"), mixed).otherwise(words)
     return F.transform(tokens, lambda t: F.when(t.rlike(ASCII_TOKEN_PATTERN), F.lower(t)).otherwise(t))
 

@@ -64,20 +64,22 @@ def window_array(text: Column | str, size: int = 500, overlap: int = 100) -> Col
     check_window(size, overlap)
     text = _col(text)
     step = size - overlap
-    span = -(-size // step)
-    n = F.length(text)
     tiles = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    count = F.greatest(F.ceil((n - overlap) / F.lit(step)).cast("int"), F.lit(1))
+    # Glue each tile to the following ones it needs; lambdas see their arguments
+    # only, so nothing outside is computed again per window.
+    glued = tiles
+    for later in range(1, -(-size // step)):
+        following = F.slice(tiles, F.lit(later + 1), F.greatest(F.size(tiles) - later, F.lit(0)))
+        glued = F.zip_with(glued, following, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    count = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(step)).cast("int"), F.lit(1))
     windows = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.struct(
-            strip(F.substring(F.array_join(F.slice(tiles, i + 1, F.lit(span)), ""), 1, size)).alias("text"),
-            (i * step).alias("start"),
-            F.least(i * step + size, n).alias("end"),
+        F.transform(F.slice(glued, F.lit(1), count), lambda w: F.substring(w, 1, size)),
+        lambda w, i: F.struct(
+            strip(w).alias("text"), (i * step).alias("start"), (i * step + F.length(w)).alias("end")
         ),
     )
     empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
-    return F.when(F.coalesce(n, F.lit(0)) > 0, F.filter(windows, lambda w: w["text"] != "")).otherwise(empty)
+    return F.when(F.coalesce(text, F.lit("")) != "", F.filter(windows, lambda w: w["text"] != "")).otherwise(empty)
 
 
 def split_windows(df: DataFrame, text_col: str = "text", size: int = 500, overlap: int = 100) -> DataFrame:
@@ -131,7 +133,7 @@ def parse_elements(text: Column | str) -> Column:
         rows = [list(markdown_elements(t)) if t else [] for t in texts.to_pylist()]
         return pa.array(rows, type=pa.list_(ELEMENT_ARROW))
 
-    return run(_col(text))
+    return run.asNondeterministic()(_col(text))
 
 
 def given_or_parsed(text: Column | str, elements: Column | str) -> Column:
@@ -183,7 +185,7 @@ def pack_elements(elements: Column | str, size: int = 500) -> Column:
             )
         return pa.array(rows, type=pa.list_(_PACK_ARROW))
 
-    return run(_col(elements))
+    return run.asNondeterministic()(_col(elements))
 
 
 def split_long_packs(packs: Column | str, size: int = 500, overlap: int = 100) -> Column:
@@ -258,23 +260,63 @@ def assemble_records(
     )
 
 
-def document_window(
-    document: Column | str, start: Column | str, end: Column | str, max_chars: int = 4000
-) -> Column:
-    """The document around a chunk: whole when short, else head, local part and tail."""
-    doc, start, end = _col(document), _col(start), _col(end)
-    local_budget = max_chars // 2
-    margin = local_budget // 2
-    local_start = F.greatest(start - margin, F.lit(0))
-    local_end = F.least(end + margin, F.length(doc))
-    local = strip(F.substring(doc, local_start + 1, F.greatest(local_end - local_start, F.lit(0))))
-    edge = F.greatest(F.floor((F.lit(max_chars) - F.length(local)) / 2), F.lit(0)).cast("int")
-    head = strip(F.substring(doc, F.lit(1), edge))
-    tail = F.when(edge > 0, strip(F.substring(doc, F.greatest(F.length(doc) - edge + 1, F.lit(1)), edge)))
-    joined = F.concat_ws("\n", nonempty(head), nonempty(local), nonempty(tail))
+def window_source(document: Column | str, max_chars: int = 4000) -> Column:
+    """What the context windows of a document need, computed once per document.
+
+    A struct of the stripped text when it is short, the length, both ends and
+    the text in tiles; windows then cost the same wherever they lie.
+    """
+    doc = _col(document)
     whole = strip(doc)
-    return F.when(F.length(whole) <= max_chars, whole).otherwise(
-        F.substring(normalize_text(joined), 1, max_chars)
+    edge = max_chars // 2
+    short = F.length(whole) <= max_chars
+    return F.struct(
+        F.when(short, whole).alias("whole"),
+        F.length(doc).alias("n"),
+        F.substring(doc, 1, edge).alias("head"),
+        F.when(~short, F.substring(doc, F.greatest(F.length(doc) - edge + 1, F.lit(1)), F.lit(edge))).alias("tail"),
+        F.when(~short, F.regexp_extract_all(doc, F.lit(f"(?s).{{1,{max(edge // 2, 1)}}}"), F.lit(0))).alias("tiles"),
+    )
+
+
+def document_windows(source: Column | str, spans: Column | str, max_chars: int = 4000) -> Column:
+    """The document around each span (array of ``struct(start, end)``): whole when short,
+    else head, local part and tail. ``source`` is a :func:`window_source` column.
+
+    Steps that use a value more than once are separate lambdas over its result.
+    """
+    src = _col(source)
+    margin = max(max_chars // 4, 1)
+
+    def local_part(span: Column) -> Column:
+        begin = F.greatest(span["start"] - margin, F.lit(0))
+        size = F.greatest(F.least(span["end"] + margin, src["n"]) - begin, F.lit(0))
+        first = F.floor(begin / margin).cast("int")
+        count = F.floor((begin + size) / margin).cast("int") - first + 1
+        covered = F.array_join(F.slice(src["tiles"], first + 1, count), "")
+        return strip(F.substring(covered, begin - first * margin + 1, size))
+
+    budgets = F.transform(
+        F.transform(_col(spans), local_part),
+        lambda local: F.struct(
+            local.alias("local"),
+            F.greatest(F.floor((F.lit(max_chars) - F.length(local)) / 2), F.lit(0)).cast("int").alias("edge"),
+        ),
+    )
+
+    def joined(part: Column) -> Column:
+        edge = part["edge"]
+        tail = F.substring(src["tail"], F.greatest(F.length(src["tail"]) - edge + 1, F.lit(1)), edge)
+        text = F.concat_ws(
+            "\n",
+            nonempty(strip(F.substring(src["head"], F.lit(1), edge))),
+            nonempty(part["local"]),
+            F.when(edge > 0, nonempty(strip(tail))),
+        )
+        return F.substring(normalize_text(text), 1, max_chars)
+
+    return F.when(src["whole"].isNotNull(), F.transform(_col(spans), lambda _: src["whole"])).otherwise(
+        F.transform(budgets, joined)
     )
 
 
@@ -321,4 +363,4 @@ def split_at_punctuation(text: Column | str, max_length: int = 900) -> Column:
             type=pa.list_(pa.string()),
         )
 
-    return run(_col(text))
+    return run.asNondeterministic()(_col(text))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import WHITESPACE, _col, normalize_text, strip
+from corpusloom.functions.text import _col, normalize_text, strip
 
 # Route keywords and lengths.
 KNOWLEDGE_WORDS = (
@@ -162,7 +162,7 @@ def is_read_only(statement: Column | str) -> Column:
     """True for one read-only statement: at most one closing semicolon and a reading first word."""
     text = strip(F.coalesce(_col(statement), F.lit("")))
     body = strip(F.regexp_replace(text, r";\z", ""))
-    first_word = F.upper(F.regexp_extract(body, rf"\A\(*[{WHITESPACE}]*([^{WHITESPACE}]+)", 1))
+    first_word = F.upper(F.regexp_extract(body, r"(?U)\A\(*\s*(\S+)", 1))
     return (text != "") & ~body.contains(";") & first_word.isin(*READ_ONLY_WORDS)
 
 

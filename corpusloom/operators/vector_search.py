@@ -240,7 +240,7 @@ def assign_lists(
         order = np.argsort(-np.round(unit @ centres.T, SCORE_DECIMALS), axis=1, kind="stable")
         return pa.array(order[:, :count].tolist(), type=pa.list_(pa.int32()))
 
-    return df.filter(F.col(embedding).isNotNull()).withColumn(to, nearest(embedding))
+    return df.filter(F.col(embedding).isNotNull()).withColumn(to, nearest.asNondeterministic()(embedding))
 
 
 def approximate_topk(
