@@ -398,7 +398,7 @@ def reranked_hits(spark, folder):
 @query(
     "backfilled_scores",
     f"""WITH {_EXACT_SQL},
-        usable AS (SELECT user_id AS query_id, event_id % 13 + 1 AS rank, arg_max(value, event_id) AS relevance FROM events WHERE event_type <> 'view' GROUP BY 1, 2),
+        usable AS (SELECT user_id AS query_id, floor(value / 10)::BIGINT + 1 AS rank, arg_max(value, event_id) AS relevance FROM events WHERE event_type <> 'view' GROUP BY 1, 2),
         merged AS (SELECT e.query_id, e.chunk_id, e.rank AS candidate_rank, e.score, u.relevance FROM exact e LEFT JOIN usable u ON u.query_id = e.query_id AND u.rank = e.rank)
         SELECT query_id, chunk_id, round(coalesce(relevance, score), 9) AS score, rank::BIGINT AS rank, was_scored FROM (
           SELECT *, relevance IS NOT NULL AS was_scored, row_number() OVER (PARTITION BY query_id ORDER BY (relevance IS NOT NULL)::INT DESC, relevance DESC, candidate_rank) AS rank FROM merged) WHERE rank <= 8""",
@@ -409,7 +409,7 @@ def backfilled_scores(spark, folder):
     scores = e.select(
         F.col("user_id").alias("query_id"),
         # Positions run past the end of the lists on purpose.
-        (F.col("event_id") % 13).alias("idx"),
+        F.floor(F.col("value") / 10).alias("idx"),
         F.when(F.col("event_type") != "view", F.col("value")).alias("relevance"),
         F.col("event_id").alias("seq"),
     )

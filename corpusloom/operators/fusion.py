@@ -34,14 +34,11 @@ def fuse_two_lists(
     Returns ``(*by, key, score, vector_rank, keyword_rank, rank)``.  Ties keep
     the order of first sight: the vector list, then the keyword list.
     """
-    missing = F.lit(None).cast("int")
-    both = vector_hits.select(
-        *by, key, F.col("rank").alias("vector_rank"), missing.alias("keyword_rank")
-    ).unionByName(
-        keyword_hits.select(*by, key, missing.alias("vector_rank"), F.col("rank").alias("keyword_rank"))
-    )
-    merged = both.groupBy(*by, key).agg(
-        F.min("vector_rank").alias("vector_rank"), F.min("keyword_rank").alias("keyword_rank")
+    # A full outer join, not a union with grouping: Spark 4.1 can take a union of two
+    # equally partitioned inputs for partitioned itself and then loses that when one
+    # input is a reused exchange, which leaves keys unmerged.
+    merged = vector_hits.select(*by, key, F.col("rank").alias("vector_rank")).join(
+        keyword_hits.select(*by, key, F.col("rank").alias("keyword_rank")), [*by, key], "full_outer"
     )
     score = F.coalesce(_share(F.lit(vector_weight), F.col("vector_rank")), F.lit(0.0)) + F.coalesce(
         _share(F.lit(keyword_weight), F.col("keyword_rank")), F.lit(0.0)
