@@ -14,6 +14,7 @@ from corpusloom.catalog.fragments import (
 )
 from corpusloom.catalog.registry import big, query, table
 from corpusloom.operators import chunking, generate
+from corpusloom.scale import spread
 from corpusloom.sources import blocks as block_source
 
 _SIZE = 500
@@ -23,7 +24,7 @@ _MARKDOWN_SQL = "markdown AS (SELECT doc_id, '# ' || source || chr(10) || chr(10
 
 
 def _markdown(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     sections = F.array(F.struct(F.concat("lang", F.lit(" part")).alias("heading"), F.col("text").alias("body")))
     return d.select("doc_id", generate.render_markdown("source", sections).alias("text"))
 
@@ -139,7 +140,7 @@ cut AS (
 
 
 def _spaced(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     return d.select("doc_id", "source", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))
 
 
@@ -150,7 +151,7 @@ def _spaced(spark, folder):
                start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos, elements::BIGINT AS elements FROM cut WHERE content <> ''""",
 )
 def structured_chunks(spark, folder):
-    c = chunking.split_structured(_spaced(spark, folder).repartition("doc_id"), "text", size=_SIZE, overlap=100)
+    c = chunking.split_structured(_spaced(spark, folder), "text", size=_SIZE, overlap=100)
     return c.select(
         "doc_id", big("chunk_index").alias("chunk_index"), F.md5("content").alias("content_md5"),
         big("start").alias("start_pos"), big("end").alias("end_pos"), big(F.size("element_types")).alias("elements"),
@@ -206,7 +207,7 @@ edges AS (SELECT *, greatest((4000 - length(local)) // 2, 0) AS edge FROM local_
         FROM edges""",
 )
 def context_windows(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     prepared = docs.select(
         "doc_id", chunking.window_source("text").alias("source"), chunking.window_array("text").alias("spans")
     )

@@ -27,7 +27,7 @@ from corpusloom.operators.fusion import fuse_two_lists
 from corpusloom.operators.keyword_search import keyword_topk
 from corpusloom.operators.rerank import rerank
 from corpusloom.operators.vector_search import vector_topk
-from corpusloom.plans.retrieve import with_chunk_text
+from corpusloom.plans import retrieve
 from corpusloom.scale import join_small_side
 
 _TERMS_SQL = sql_query_terms("terms", "questions", "query_id", "query")
@@ -38,6 +38,10 @@ def _items(spark, folder):
     return table(spark, folder, "benchmark").select("item_id")
 
 
+def with_chunk_text(hits, chunk_rows, items=None, k=10):
+    return retrieve.with_chunk_text(hits, chunk_rows, known_rows=items.count() * k if items is not None else None)
+
+
 def _by_item(hits):
     return hits.withColumnRenamed("query_id", "item_id")
 
@@ -150,7 +154,7 @@ def _sql_first_hit(name: str, hits: str) -> str:
 )
 def source_snippet_ranks(spark, folder):
     c = chunks(spark, folder)
-    hits = _by_item(with_chunk_text(keyword_topk(c, questions(spark, folder), 10), c))
+    hits = _by_item(with_chunk_text(keyword_topk(c, questions(spark, folder), 10), c, _items(spark, folder)))
     ranks = evaluation.first_hit_ranks(_labelled(spark, folder), hits)
     return ranks.select("item_id", big("first_hit_rank").alias("first_hit_rank"))
 
@@ -182,7 +186,7 @@ def vector_hybrid_comparison(spark, folder):
     fused = fuse_two_lists(v, k, 10)
     texts = chunks(spark, folder)
     counts = evaluation.vector_hybrid_counts(
-        _labelled(spark, folder), _by_item(with_chunk_text(v, texts)), _by_item(k), _by_item(with_chunk_text(fused, texts))
+        _labelled(spark, folder), _by_item(with_chunk_text(v, texts, q)), _by_item(k), _by_item(with_chunk_text(fused, texts, q))
     )
     return counts
 
@@ -203,7 +207,7 @@ compared AS (
 
 def _rerank_comparison(spark, folder):
     c, q = chunks(spark, folder), questions(spark, folder)
-    hits = with_chunk_text(keyword_topk(c, q, 10), c)
+    hits = with_chunk_text(keyword_topk(c, q, 10), c, q)
     again = rerank(hits.join(q, "query_id"), 5)
     return evaluation.compare_runs(
         _labelled(spark, folder), _by_item(hits.filter("rank <= 5")), _by_item(again.drop("query", "candidate_rank"))
@@ -274,7 +278,7 @@ def answer_eval_rows(spark, folder):
     b = table(spark, folder, "benchmark")
     items = b.select("item_id", F.col("text").alias("question"), F.concat(F.lit("Ref: "), "text").alias("ground_truth"))
     responses = b.select("item_id", F.concat(F.lit("answer "), F.col("item_id").cast("string")).alias("response"))
-    hits = _by_item(with_chunk_text(keyword_topk(c, questions(spark, folder), 5), c))
+    hits = _by_item(with_chunk_text(keyword_topk(c, questions(spark, folder), 5), c, b))
     rows = evaluation.answer_eval_rows(items, hits, responses)
     return rows.withColumn("contexts", F.array_join("retrieved_contexts", "\n")).drop("retrieved_contexts")
 

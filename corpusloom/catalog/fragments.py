@@ -9,6 +9,7 @@ from corpusloom.catalog.registry import table
 from corpusloom.functions.hooks import embed_tokens
 from corpusloom.functions.tokens import WORD_PATTERN, match_tokens
 from corpusloom.operators.chunking import split_windows
+from corpusloom.scale import spread
 
 DIMENSIONS = 64
 ASCII = "[A-Za-z0-9_.:/#-]+"
@@ -64,8 +65,8 @@ chunks AS (
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text").repartition("doc_id")
-    return split_windows(docs).withColumn(
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    return split_windows(spread(docs)).withColumn(
         "chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("-chunk-"), F.col("chunk_index").cast("string"))
     )
 

@@ -35,14 +35,31 @@ def _ranked(df, *more):
 
 
 @query(
-    "any_term_matches",
+    "term_statistics",
     f"""WITH {CHUNKS_SQL}, {CHUNK_TOKENS_SQL}, {QUESTIONS_SQL}, {_TERMS_SQL}
-        SELECT query_id, chunk_id, count(*)::BIGINT AS positions, count(DISTINCT token)::BIGINT AS terms
+        SELECT query_id, token, count(DISTINCT chunk_id)::BIGINT AS chunks, count(*)::BIGINT AS positions
         FROM terms JOIN chunk_tokens USING (token) GROUP BY 1, 2""",
 )
-def any_term_matches(spark, folder):
-    m = keyword_search.any_term_matches(chunks(spark, folder), questions(spark, folder))
-    return m.select("query_id", "chunk_id", big("positions").alias("positions"), big("terms").alias("terms"))
+def term_statistics(spark, folder):
+    s = keyword_search.term_statistics(chunks(spark, folder), questions(spark, folder))
+    return s.select("query_id", "token", big("chunks").alias("chunks"), big("positions").alias("positions"))
+
+
+@query(
+    "matching_chunk_counts",
+    f"""WITH {CHUNKS_SQL}, {CHUNK_TOKENS_SQL}, {QUESTIONS_SQL}, {_TERMS_SQL}
+        SELECT query_id, count(DISTINCT chunk_id)::BIGINT AS chunks FROM terms JOIN chunk_tokens USING (token) GROUP BY 1""",
+)
+def matching_chunk_counts(spark, folder):
+    return keyword_search.matching_chunk_counts(chunks(spark, folder), questions(spark, folder))
+
+
+@query(
+    "postings",
+    f"""WITH {CHUNKS_SQL}, {CHUNK_TOKENS_SQL} SELECT chunk_id, token, count(*)::BIGINT AS tf FROM chunk_tokens GROUP BY 1, 2""",
+)
+def postings(spark, folder):
+    return keyword_search.postings(chunks(spark, folder))
 
 
 @query(
@@ -443,7 +460,7 @@ contexts AS (
 
 def _payload(spark, folder):
     c, q = chunks(spark, folder), questions(spark, folder)
-    hits = plan.with_chunk_text(keyword_search.keyword_topk(c, q, 5), c)
+    hits = plan.with_chunk_text(keyword_search.keyword_topk(c, q, 5), c, known_rows=q.count() * 5)
     return plan.retrieval_payload(q, hits, plan.query_variants(q), gate=2.5)
 
 
@@ -480,6 +497,6 @@ def quality_labels(spark, folder):
         FROM hits JOIN chunks USING (chunk_id, source) GROUP BY 1""".replace("USING (chunk_id, source)", "USING (chunk_id)"),
 )
 def evidence_contexts(spark, folder):
-    c = chunks(spark, folder)
-    hits = plan.with_chunk_text(keyword_search.keyword_topk(c, questions(spark, folder), 5), c)
+    c, q = chunks(spark, folder), questions(spark, folder)
+    hits = plan.with_chunk_text(keyword_search.keyword_topk(c, q, 5), c, known_rows=q.count() * 5)
     return plan.evidence_context(hits, with_id=False).select("query_id", "context_text")

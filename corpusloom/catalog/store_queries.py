@@ -17,6 +17,7 @@ from corpusloom.catalog.fragments import (
 from corpusloom.catalog.registry import big, query, table
 from corpusloom.functions.text import content_hash, normalize_text
 from corpusloom.operators import chunking, store
+from corpusloom.scale import spread
 from corpusloom.session import ensure_checkpoint_dir
 from corpusloom.sources import files, tables
 
@@ -29,7 +30,7 @@ def scratch(spark, name: str) -> str:
 # The stored documents are all documents; the incoming batch holds every labelled
 # document with whitespace cleaned (changed or not) and every page as a new document.
 def _stored(spark, folder):
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.concat_ws("/", "source", "doc_id").alias("source"),
         F.when(F.col("lang") != "de", F.col("text")).otherwise(F.concat(F.lit("DE "), "text")).alias("text"),
     ).withColumn("content_hash", content_hash("text"))

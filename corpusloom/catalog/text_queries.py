@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.catalog.fragments import sql_keywords, sql_match_tokens, sql_normalize, sql_strip, sql_tokens
+from corpusloom.catalog.fragments import ASCII, sql_keywords, sql_match_tokens, sql_normalize, sql_strip, sql_tokens
 from corpusloom.catalog.registry import big, query, table
 from corpusloom.functions import model_output, rewrite, text, tokens, vectors
+from corpusloom.scale import spread
 
 
 @query(
@@ -44,17 +45,20 @@ def search_values(spark, folder):
         FROM documents""",
 )
 def search_tokens(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", tokens.search_tokens("text").alias("t"))
+    d = spread(table(spark, folder, "documents")).select("doc_id", tokens.search_tokens("text").alias("t"))
     return d.select("doc_id", big(F.size("t")).alias("token_count"), F.md5(F.array_join("t", " ")).alias("segmented_md5"))
 
 
 @query(
     "document_keywords",
-    f"""SELECT doc_id, array_to_string({sql_keywords("toks", 32)}, ' ') AS keywords
-        FROM (SELECT doc_id, {sql_tokens("text")} AS toks FROM documents)""",
+    f"""WITH toks AS (SELECT doc_id, unnest({sql_tokens("text")}) AS t, unnest(range(len({sql_tokens("text")}))) AS pos FROM documents),
+        firsts AS (SELECT doc_id, t, min(pos) AS pos FROM toks WHERE regexp_full_match(t, '{ASCII}') OR length(t) >= 2 GROUP BY 1, 2)
+        SELECT doc_id, coalesce(keywords, '') AS keywords FROM documents LEFT JOIN (
+          SELECT doc_id, string_agg(t, ' ' ORDER BY pos) AS keywords
+          FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM firsts) WHERE n <= 32 GROUP BY 1) USING (doc_id)""",
 )
 def document_keywords(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     return d.select("doc_id", F.array_join(tokens.search_keywords("text"), " ").alias("keywords"))
 
 
@@ -74,7 +78,7 @@ def query_keywords(spark, folder):
         FROM documents""",
 )
 def chunk_search_text(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     built = tokens.chunk_search_text(
         title=F.col("lang"),
         source=F.col("source"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import _col, is_blank, strip
 from corpusloom.numbering import number_rows
-from corpusloom.scale import join_small_side, top_per_group
+from corpusloom.scale import top_per_group
 
 
 def require_evidence(items: DataFrame, evidences: str = "expected_evidences") -> DataFrame:
@@ -46,8 +46,8 @@ def score_items(
     chunk_id, rank)``.  Items without expected ids score zero.
     """
     top = hits.filter(F.col("rank") <= max(depth, *ks)).select("item_id", "chunk_id", "rank")
-    # Hits are at most ``depth`` per item, so the expected side may be the large one.
-    found = join_small_side(expected, top, ["item_id", "chunk_id"], "left", spread_by=["chunk_id"])
+    # The key is unique on the expected side, so no key is hot.
+    found = expected.join(top, ["item_id", "chunk_id"], "left")
     per_item = found.groupBy("item_id").agg(
         F.count_distinct("chunk_id").alias("expected_count"),
         F.min(F.when(F.col("rank") <= depth, F.col("rank"))).alias("first_hit_rank"),
@@ -264,7 +264,7 @@ def fact_questions(
 
 def hard_negatives(hits: DataFrame, expected: DataFrame, per_item: int = 1) -> DataFrame:
     """Best-ranked hits of each item that are not expected: the look-alikes."""
-    wrong = join_small_side(hits, expected.select("item_id", "chunk_id"), ["item_id", "chunk_id"], "left_anti")
+    wrong = hits.join(expected.select("item_id", "chunk_id"), ["item_id", "chunk_id"], "left_anti")
     return top_per_group(
         wrong.withColumnRenamed("rank", "hit_rank"), ["item_id"], [F.asc("hit_rank")], per_item, "negative_rank"
     )

@@ -23,29 +23,39 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(nodes.sparkSession)
     all_nodes = nodes.select("graph_id", "node").distinct()
     known = all_nodes.withColumnRenamed("node", "depends_on")
-    own = join_small_side(edges.select("graph_id", "node", "depends_on").distinct(), known,
-                          ["graph_id", "depends_on"], "left_semi", ["node"])
+    own = join_small_side(
+        edges.select("graph_id", "node", "depends_on").distinct(), known, ["graph_id", "depends_on"], "left_semi", ["node"]
+    )
+    # A node is blocked in a round while one of its dependencies was blocked in the round
+    # before, so its level is the number of rounds it is blocked in.
     open_edges = join_small_side(own, all_nodes, ["graph_id", "node"], "left_semi", ["depends_on"]).checkpoint()
-    waiting = all_nodes.checkpoint()
-    done: DataFrame | None = None
-    level = 0
-    while True:
+    left = open_edges.count()
+    rounds: list[DataFrame] = []
+    cyclic: DataFrame | None = None
+    while left:
         blocked = open_edges.select("graph_id", "node").distinct()
-        marked = waiting.join(blocked.withColumn("_blocked", F.lit(True)), ["graph_id", "node"], "left").checkpoint()
-        ready = marked.filter(F.col("_blocked").isNull()).drop("_blocked")
-        if ready.isEmpty():
-            break
-        levelled = ready.withColumn("level", F.lit(level))
-        done = levelled if done is None else done.unionByName(levelled)
-        waiting = marked.filter("_blocked").drop("_blocked")
-        open_edges = join_small_side(
-            open_edges, waiting.withColumnRenamed("node", "depends_on"), ["graph_id", "depends_on"], "left_semi", ["node"]
+        remaining = join_small_side(
+            open_edges, blocked.withColumnRenamed("node", "depends_on"), ["graph_id", "depends_on"], "left_semi", ["node"]
         ).checkpoint()
-        level += 1
-    if done is None:
-        return all_nodes.withColumn("level", F.lit(0)).limit(0)
-    cyclic = waiting.select("graph_id").distinct()
-    return join_small_side(done, cyclic, "graph_id", "left_anti", ["node"])
+        count = remaining.count()
+        if count == left:
+            # No edge was resolved: what is left waits for a cycle.
+            cyclic = blocked.select("graph_id").distinct()
+            break
+        rounds.append(blocked)
+        open_edges, left = remaining, count
+    result = all_nodes.withColumn("level", F.lit(0))
+    if rounds:
+        blocked_rounds = rounds[0]
+        for more in rounds[1:]:
+            blocked_rounds = blocked_rounds.unionAll(more)
+        levels = blocked_rounds.groupBy("graph_id", "node").agg(F.count("*").cast("int").alias("_level"))
+        result = all_nodes.join(levels, ["graph_id", "node"], "left").select(
+            "graph_id", "node", F.coalesce("_level", F.lit(0)).alias("level")
+        )
+    if cyclic is None:
+        return result
+    return join_small_side(result, cyclic, "graph_id", "left_anti", ["node"])
 
 
 def dependency_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:

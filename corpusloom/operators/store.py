@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import content_hash, nonempty, parse_tags
 from corpusloom.functions.tokens import chunk_search_text, search_keywords, segmented_text
 from corpusloom.scale import join_small_side
+from corpusloom.session import ensure_checkpoint_dir
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -34,12 +35,14 @@ def changed_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return join_small_side(incoming, known, ["source", "content_hash"], "left_anti", spread_by=["source", "content_hash"])
 
 
-def replace_by_source(existing: DataFrame, changed: DataFrame, spread_by: Sequence[str] | None = None) -> DataFrame:
+def replace_by_source(
+    existing: DataFrame, changed: DataFrame, spread_by: Sequence[str] | None = None, sources: DataFrame | None = None
+) -> DataFrame:
     """Drop stored rows of every changed source and add the new rows.
 
     A null source never equals another, so such rows are only added.
     """
-    sources = changed.filter(F.col("source").isNotNull()).select("source").distinct()
+    sources = changed_sources(changed) if sources is None else sources
     kept = join_small_side(existing, sources, "source", "left_anti", spread_by=spread_by)
     return kept.unionByName(changed.select(*existing.columns))
 
@@ -61,14 +64,23 @@ def upsert_documents(
         named = latest_per_key(incoming.filter(F.col("source").isNotNull()), ["source"], order)
         incoming = named.unionByName(incoming.filter(F.col("source").isNull()))
     changed = changed_documents(incoming, existing_documents)
-    documents = replace_by_source(existing_documents, changed, ["content_hash"])
-    chunks = replace_chunks(existing_chunks, changed, make_chunks(changed))
+    sources = changed_sources(changed)
+    documents = replace_by_source(existing_documents, changed, ["content_hash"], sources)
+    chunks = replace_chunks(existing_chunks, changed, make_chunks(changed), sources)
     return documents, chunks, changed
 
 
-def replace_chunks(existing_chunks: DataFrame, changed: DataFrame, new_chunks: DataFrame) -> DataFrame:
+def changed_sources(changed: DataFrame) -> DataFrame:
+    """Distinct sources of the changed documents, written once for the replacements that follow."""
+    ensure_checkpoint_dir(changed.sparkSession)
+    return changed.filter(F.col("source").isNotNull()).select("source").distinct().checkpoint()
+
+
+def replace_chunks(
+    existing_chunks: DataFrame, changed: DataFrame, new_chunks: DataFrame, sources: DataFrame | None = None
+) -> DataFrame:
     """Chunks follow their document: those of changed sources go, the new ones come."""
-    sources = changed.filter(F.col("source").isNotNull()).select("source").distinct()
+    sources = changed_sources(changed) if sources is None else sources
     kept = join_small_side(existing_chunks, sources, "source", "left_anti", spread_by=["chunk_id"])
     return kept.unionByName(new_chunks.select(*existing_chunks.columns))
 

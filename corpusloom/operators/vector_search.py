@@ -1,9 +1,6 @@
 """Exact and list-probing vector search with cosine similarity.
 
-Queries travel to the corpus in blocks of bounded size; each corpus task scores
-its Arrow batches by matrix products and keeps a running best ``k`` per query.
-Only ``k`` rows per query and task are shuffled, no pair of vectors ever becomes
-a row, and a list or source holding most of the corpus stays spread over tasks.
+The kernels and their bounds are described in :mod:`corpusloom.operators.scoring`.
 """
 
 from __future__ import annotations
@@ -14,14 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusloom.scale import top_per_group
-
-SCORE_DECIMALS = 9
-QUERY_BLOCK_ROWS = 8192
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-SCORE_CELLS = 4_000_000
+from corpusloom.operators.scoring import SCORE_DECIMALS, best_of_blocks, outside_source, query_blocks
 
 
 def _unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -40,62 +31,6 @@ def _list_matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return values.astype("float64").reshape(len(array), width)
 
 
-class _Best:
-    """Running top ``k`` per query, ties going to the smaller id."""
-
-    def __init__(self, queries: int, k: int, id_dtype):
-        self.k = k
-        self.scores = np.full((queries, k), -np.inf)
-        self.ids = np.zeros((queries, k), dtype=id_dtype)
-
-    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` is (queries in ``rows``) x (candidates), candidates in id order."""
-        k = min(self.k, scores.shape[1])
-        if k < scores.shape[1]:
-            limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            above = scores > limit
-            tied = scores == limit
-            need = k - above.sum(axis=1, keepdims=True)
-            chosen = above | (tied & (np.cumsum(tied, axis=1) <= need))
-            columns = np.nonzero(chosen)[1].reshape(len(rows), k)
-        else:
-            columns = np.broadcast_to(np.arange(k), (len(rows), k))
-        new_scores = np.take_along_axis(scores, columns, axis=1)
-        new_ids = ids[columns]
-        if new_ids.dtype != self.ids.dtype:
-            wider = np.promote_types(new_ids.dtype, self.ids.dtype)
-            self.ids = self.ids.astype(wider)
-        all_scores = np.concatenate([self.scores[rows], new_scores], axis=1)
-        all_ids = np.concatenate([self.ids[rows], new_ids], axis=1)
-        by_id = np.argsort(all_ids, axis=1, kind="stable")
-        all_scores = np.take_along_axis(all_scores, by_id, axis=1)
-        all_ids = np.take_along_axis(all_ids, by_id, axis=1)
-        order = np.argsort(-all_scores, axis=1, kind="stable")[:, : self.k]
-        self.scores[rows] = np.take_along_axis(all_scores, order, axis=1)
-        self.ids[rows] = np.take_along_axis(all_ids, order, axis=1)
-
-
-def _query_blocks(queries: DataFrame, query_id: str) -> Iterator[list]:
-    """Collect the queries in blocks below the row and byte bounds."""
-    row = queries.agg(
-        F.count("*").alias("n"), F.max(F.size("_vector")).alias("d"), F.min(F.size("_vector")).alias("lo")
-    ).first()
-    if not row["n"]:
-        return
-    if row["d"] != row["lo"]:
-        raise ValueError("query vectors differ in length")
-    per_block = max(1, min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // (8 * row["d"])))
-    # Hashed blocks vary in size; a margin keeps them below the bound.
-    blocks = 1 if row["n"] <= per_block else -(-2 * row["n"] // per_block)
-    for b in range(blocks):
-        part = queries
-        if blocks > 1:
-            part = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        rows = part.collect()
-        if rows:
-            yield rows
-
-
 def vector_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -115,7 +50,6 @@ def vector_topk(
     (corpus) and ``probes_col`` (queries, array of list ids) a query only meets
     chunks of the lists it probes.
     """
-    spark = chunks.sparkSession
     by_source = "source" in queries.columns
     wanted = [F.col(query_id), F.col(query_embedding).alias("_vector")]
     wanted += [F.col("source").alias("_source")] if by_source else []
@@ -123,85 +57,54 @@ def vector_topk(
     small = queries.filter(F.col(query_embedding).isNotNull()).select(*wanted)
     columns = [chunk_id, embedding] + (["source"] if by_source else []) + ([list_col] if list_col else [])
     corpus = chunks.filter(F.col(embedding).isNotNull()).select(*columns)
-    id_type, query_type = chunks.schema[chunk_id].dataType, queries.schema[query_id].dataType
-    schema = T.StructType(
-        [
-            T.StructField(query_id, query_type),
-            T.StructField(chunk_id, id_type),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    best = None
-    for rows in _query_blocks(small, query_id):
-        unit, usable = _unit_rows([r["_vector"] for r in rows])
-        block = {
-            "ids": [r[query_id] for r in rows],
-            "unit": unit,
-            "usable": usable,
-            "sources": [r["_source"] for r in rows] if by_source else None,
-            "probes": [set(r["_probes"] or []) for r in rows] if list_col else None,
-        }
-        scorer = _scorer(
-            spark.sparkContext.broadcast(block), k, chunk_id, query_id, embedding, list_col, schema
-        )
-        part = corpus.mapInArrow(scorer, schema)
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        best = spark.createDataFrame([], schema)
-    return top_per_group(best, [query_id], [F.desc("score"), F.asc(chunk_id)], k)
-
-
-def _scorer(shared, k, chunk_id, query_id, embedding, list_col, schema):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_schema = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    context = chunks.sparkSession.sparkContext
+    sample = small.select(F.size("_vector").alias("d")).first()
+
+    def blocks():
+        for rows in query_blocks(small, query_id, 8 * sample["d"]) if sample else ():
+            unit, usable = _unit_rows([r["_vector"] for r in rows])
+            shared = context.broadcast(
+                {
+                    "unit": unit,
+                    "usable": usable,
+                    "sources": [r["_source"] for r in rows] if by_source else None,
+                    "probes": [set(r["_probes"] or []) for r in rows] if list_col else None,
+                }
+            )
+            yield [r[query_id] for r in rows], _vector_scorer(shared, embedding, list_col)
+
+    return best_of_blocks(corpus, chunk_id, queries.schema[query_id], blocks(), k)
+
+
+def _vector_scorer(shared, embedding: str, list_col: str | None):
+    def make():
         block = shared.value
-        unit, usable = block["unit"], block["usable"]
-        running: _Best | None = None
-        rows_per_step = max(16, SCORE_CELLS // max(1, len(unit)))
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for start in range(0, table.num_rows, rows_per_step):
-                part = table.slice(start, rows_per_step).sort_by(chunk_id)
-                ids = np.asarray(part[chunk_id].to_pylist())
-                vectors, has_length = _unit_rows(_list_matrix(part[embedding], unit.shape[1]))
-                if running is None:
-                    running = _Best(len(unit), k, ids.dtype)
-                groups = [(np.nonzero(usable)[0], np.nonzero(has_length)[0])]
-                if block["probes"] is not None:
-                    lists = np.asarray(part[list_col].to_pylist())
-                    groups = [
-                        (
-                            np.array([q for q in groups[0][0] if name in block["probes"][q]], dtype=int),
-                            np.nonzero(has_length & (lists == name))[0],
-                        )
-                        for name in set(lists.tolist())
-                    ]
-                for query_rows, chunk_rows in groups:
-                    if not len(query_rows) or not len(chunk_rows):
-                        continue
-                    scores = np.round(unit[query_rows] @ vectors[chunk_rows].T, SCORE_DECIMALS) + 0.0
-                    if block["sources"] is not None:
-                        have = np.asarray(part["source"].to_pylist(), dtype=object)[chunk_rows]
-                        want = np.asarray([block["sources"][q] for q in query_rows], dtype=object)
-                        free = np.array([w is None for w in want])
-                        scores[~(free[:, None] | (want[:, None] == have[None, :]))] = -np.inf
-                    running.add(query_rows, scores, ids[chunk_rows])
-        if running is None:
-            return
-        rows, cols = np.nonzero(running.scores > -np.inf)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([block["ids"][r] for r in rows], type=arrow_schema.field(query_id).type),
-                pa.array(running.ids[rows, cols].tolist(), type=arrow_schema.field(chunk_id).type),
-                pa.array(running.scores[rows, cols]),
-            ],
-            schema=arrow_schema,
-        )
-
-    return run
+        unit, usable, probes, sources = block["unit"], block["usable"], block["probes"], block["sources"]
+        asking = np.nonzero(usable)[0]
+
+        def score(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            vectors, has_length = _unit_rows(_list_matrix(part[embedding], unit.shape[1]))
+            if probes is None:
+                groups = [(asking, np.nonzero(has_length)[0])]
+            else:
+                lists = np.asarray(part[list_col].to_pylist())
+                groups = [
+                    (
+                        np.array([q for q in asking if name in probes[q]], dtype=int),
+                        np.nonzero(has_length & (lists == name))[0],
+                    )
+                    for name in set(lists.tolist())
+                ]
+            for rows, places in groups:
+                if len(rows) and len(places):
+                    scores = np.round(unit[rows] @ vectors[places].T, SCORE_DECIMALS) + 0.0
+                    if sources is not None:
+                        scores[outside_source(sources, part, places, rows)] = -np.inf
+                    yield rows, scores, places
+
+        return score
+
+    return make
 
 
 # --- list-probing search ------------------------------------------------------------------------

@@ -100,7 +100,7 @@ def variant_candidates(chunks: DataFrame, variants: DataFrame, candidate_top_k:
         query_id="variant_id", query_text="variant_text",
     )
     fused = fuse_two_lists(vector_hits, keyword_hits, depth, by=["variant_id"])
-    return join_small_side(fused, keyed.select("variant_id", *id_cols, "weight"), "variant_id")
+    return fused.join(keyed.select("variant_id", *id_cols, "weight"), "variant_id")
 
 
 def hybrid_candidates(
@@ -113,10 +113,15 @@ def hybrid_candidates(
     return fuse_variants(branches, candidate_top_k)
 
 
-def with_chunk_text(hits: DataFrame, chunks: DataFrame, columns=("content", "source", "start", "end")) -> DataFrame:
-    """Bring chunk columns back after ranking; rank stages carry ids only."""
+def with_chunk_text(
+    hits: DataFrame, chunks: DataFrame, columns=("content", "source", "start", "end"), *, known_rows: int | None = None
+) -> DataFrame:
+    """Bring chunk columns back after ranking; rank stages carry ids only.
+
+    ``known_rows`` bounds the hits, usually ``k`` times the number of queries.
+    """
     have = [c for c in columns if c in chunks.columns]
-    return join_small_side(chunks.select("chunk_id", *have), hits, "chunk_id")
+    return join_small_side(chunks.select("chunk_id", *have), hits, "chunk_id", known_rows=known_rows)
 
 
 def retrieve(
@@ -131,7 +136,8 @@ def retrieve(
     )
     if not use_rerank:
         return candidates.filter(F.col("rank") <= k)
-    texts = with_chunk_text(candidates, chunks, ("content",))
+    pool = max(candidate_top_k or CANDIDATE_TOP_K, k)
+    texts = with_chunk_text(candidates, chunks, ("content",), known_rows=queries.count() * pool)
     # The question as asked is scored, not a variant of it.
     paired = join_small_side(texts, queries.select("query_id", "query"), "query_id")
     return rerank(paired, k, scorer=scorer).select("query_id", "chunk_id", "score", "rank")

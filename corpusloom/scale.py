@@ -32,6 +32,7 @@ def join_small_side(
     spread_by: Sequence[str] | None = None,
     max_rows: int = BROADCAST_MAX_ROWS,
     salts: int = SALTS,
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Join a large left side with a side that is usually small.
 
@@ -41,11 +42,15 @@ def join_small_side(
     holding a large share of the left rows is spread over ``salts`` tasks and
     each left row still meets each matching right row exactly once.  ``how`` may
     be any join type that keeps or filters the left side.
+
+    ``known_rows`` is an upper bound the caller can prove (for example ``k`` rows
+    per query); it replaces measuring, which would run the right side once more.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    if fits_in_broadcast(small, max_rows):
+    fits = known_rows <= max_rows if known_rows is not None else fits_in_broadcast(small, max_rows)
+    if fits:
         return large.join(F.broadcast(small), keys, how)
     spread = list(spread_by) if spread_by else [c for c in large.columns if c not in keys] or keys
     salted_large = large.withColumn(
@@ -55,6 +60,15 @@ def join_small_side(
     return salted_large.join(salted_small, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that arrives in fewer pieces than there are cores.
+
+    Large tables have far more pieces and are left alone, so no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int, rank_col: str = "rank") -> DataFrame:
     """First ``k`` rows of each group with their 1-based rank.
 
