@@ -44,7 +44,8 @@ _PACK_ARROW = pa.struct(
         ("block_ids", pa.list_(pa.string())),
     ]
 )
-_LINE = re.compile("[^\n\r\v\f\x1c\x1d\x1e\x85  ]*(?:\r\n|[\n\r\v\f\x1c\x1d\x1e\x85  ]|\\Z)")
+_LINE_END = r"\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"
+_LINE = re.compile(rf"[^{_LINE_END}]*(?:\r\n|[{_LINE_END}]|\Z)")
 _HEADING = re.compile(r"(#+) (.+)", re.DOTALL)
 
 

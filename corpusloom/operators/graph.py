@@ -21,10 +21,10 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows.  Needs as many rounds as the deepest graph has levels.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    all_nodes = nodes.select("graph_id", "node").distinct()
+    all_nodes = nodes.select("graph_id", "node").distinct().checkpoint()
     known = all_nodes.withColumnRenamed("node", "depends_on")
     own = join_small_side(
-        edges.select("graph_id", "node", "depends_on").distinct(), known, ["graph_id", "depends_on"], "left_semi", ["node"]
+        edges.select("graph_id", "node", "depends_on").distinct().checkpoint(), known, ["graph_id", "depends_on"], "left_semi", ["node"]
     )
     # A node is blocked in a round while one of its dependencies was blocked in the round
     # before, so its level is the number of rounds it is blocked in.
