@@ -166,7 +166,7 @@ expected AS (
 
 
 def sentences(text) -> F.Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s))
 
 
 def expected_chunks(chunk_rows: DataFrame, question_rows: DataFrame) -> DataFrame:
