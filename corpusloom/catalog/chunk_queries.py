@@ -260,43 +260,45 @@ def punctuation_pieces(spark, folder):
     )
 
 
-# Conversations as block documents: a heading per user message, a text block per other
-# message, then a table, a file and an image block per conversation.
+# Every message as a block document: its role as heading, its text, then a table, a
+# file, an image and an empty block.
 def _block_documents(spark, folder):
     c = table(spark, folder, "conversations")
-    run = F.struct(F.struct(F.struct(F.col("text").alias("content")).alias("text_run")).alias("inner"))
-    block = F.to_json(
-        F.struct(
-            F.concat(F.lit("b"), F.col("turn").cast("string")).alias("block_id"),
-            F.when(F.col("role") == "user", 3).otherwise(2).alias("block_type"),
-            F.struct(F.array(run).alias("elements")).alias("text"),
+
+    def run(block_id: str, code: int, content):
+        inner = F.struct(F.struct(F.struct(content.alias("content")).alias("text_run")).alias("inner"))
+        return F.to_json(
+            F.struct(
+                F.lit(block_id).alias("block_id"), F.lit(code).alias("block_type"),
+                F.struct(F.array(inner).alias("elements")).alias("text"),
+            )
         )
-    )
-    extra = F.array(
+
+    blocks = F.array(
+        run("r", 3, F.col("role")),
+        run("m", 2, F.col("text")),
         F.lit('{"block_id": "t", "block_type": 19, "table": {"cells": [{"text_run": {"content": "a "}}, {"text_run": {"content": "b"}}]}}'),
         F.lit('{"block_id": "f", "block_type": 21, "file": {"name": " notes.pdf "}}'),
         F.lit('{"block_id": "i", "block_type": 27, "image": {"token": "img1"}}'),
         F.lit('{"block_id": "e", "block_type": 2, "text": {"elements": []}}'),
     )
-    # A block document is one nested record; its blocks arrive together by definition.
-    gathered = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("b"))
-    raw = gathered.select(
-        F.concat(F.lit("doc"), F.col("conv_id").cast("string")).alias("doc_id"),
-        F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"),
-        F.col("conv_id").alias("revision_id"),
-        F.concat(F.transform("b", lambda x: x["block"]), extra).alias("blocks"),
+    key = F.concat_ws("-", "conv_id", "turn")
+    raw = c.select(
+        F.concat(F.lit("doc"), key).alias("doc_id"), F.concat(F.lit("Message "), key).alias("title"),
+        F.col("turn").alias("revision_id"), blocks.alias("blocks"),
     )
     return block_source.block_documents(raw)
 
 
 _BLOCKS_SQL = f"""
+keyed AS (SELECT *, conv_id || '-' || turn AS k FROM conversations),
 told AS (
-  SELECT 'doc' || conv_id AS doc_id, 'Conversation ' || conv_id AS title, turn + 1 AS pos, {sql_strip("text")} AS text,
-         CASE WHEN role = 'user' THEN 'heading1' ELSE 'text' END AS element_type FROM conversations
-  UNION ALL SELECT DISTINCT 'doc' || conv_id, 'Conversation ' || conv_id, 0, 'Conversation ' || conv_id, 'title' FROM conversations
-  UNION ALL SELECT 'doc' || conv_id, 'Conversation ' || conv_id, n + 1, '[表格 block_id=t position=' || (n + 1) || ' type=table]' || chr(10) || 'a b', 'table' FROM sizes
-  UNION ALL SELECT 'doc' || conv_id, 'Conversation ' || conv_id, n + 2, '[附件 block_id=f position=' || (n + 2) || ' type=file]' || chr(10) || '名称: notes.pdf', 'file' FROM sizes
-  UNION ALL SELECT 'doc' || conv_id, 'Conversation ' || conv_id, n + 3, '[图片 block_id=i position=' || (n + 3) || ' type=image]', 'image' FROM sizes
+  SELECT 'doc' || k AS doc_id, 'Message ' || k AS title, 0 AS pos, 'Message ' || k AS text, 'title' AS element_type FROM keyed
+  UNION ALL SELECT 'doc' || k, 'Message ' || k, 1, role, 'heading1' FROM keyed
+  UNION ALL SELECT 'doc' || k, 'Message ' || k, 2, {sql_strip("text")}, 'text' FROM keyed
+  UNION ALL SELECT 'doc' || k, 'Message ' || k, 3, '[表格 block_id=t position=3 type=table]' || chr(10) || 'a b', 'table' FROM keyed
+  UNION ALL SELECT 'doc' || k, 'Message ' || k, 4, '[附件 block_id=f position=4 type=file]' || chr(10) || '名称: notes.pdf', 'file' FROM keyed
+  UNION ALL SELECT 'doc' || k, 'Message ' || k, 5, '[图片 block_id=i position=5 type=image]', 'image' FROM keyed
 ),
 numbered AS (
   SELECT *, last_value(CASE WHEN element_type = 'heading1' THEN text END IGNORE NULLS) OVER w AS h,
@@ -308,7 +310,7 @@ numbered AS (
 
 @query(
     "block_elements",
-    f"""WITH sizes AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), {_BLOCKS_SQL}
+    f"""WITH {_BLOCKS_SQL}
         SELECT doc_id, element_no::BIGINT AS element_no, text, element_type, start_pos, (start_pos + length(text))::BIGINT AS end_pos,
                CASE WHEN h IS NULL THEN title ELSE title || ' > ' || h END AS title_path FROM numbered""",
 )
@@ -321,7 +323,7 @@ def block_elements(spark, folder):
 
 @query(
     "block_document_facts",
-    f"""WITH sizes AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), {_BLOCKS_SQL}
+    f"""WITH {_BLOCKS_SQL}
         SELECT doc_id, max(title) AS title, 'https://www.feishu.cn/wiki/' || doc_id AS source, 'feishu_docx' AS doc_type,
                sha256(string_agg(text, chr(10) ORDER BY pos)) AS content_hash, '1' AS images, '1' AS tables, '1' AS attachments
         FROM numbered GROUP BY doc_id""",

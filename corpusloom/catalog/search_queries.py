@@ -26,6 +26,7 @@ from corpusloom.catalog.registry import big, query, table
 from corpusloom.catalog.text_queries import _sql_rewrite
 from corpusloom.operators import fusion, keyword_search, rerank, vector_search
 from corpusloom.plans import retrieve as plan
+from corpusloom.scale import top_per_group
 
 _TERMS_SQL = sql_query_terms("terms", "questions", "query_id", "query")
 
@@ -229,7 +230,7 @@ def fused_hits(spark, folder):
          SELECT user_id AS query_id, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 2 END AS variant_no, event_id AS chunk_id, value
          FROM events),
        keyed AS (SELECT query_id, variant_no, 'k' || round(max(value), 0)::BIGINT AS chunk_id, min(chunk_id) AS first_id FROM lists GROUP BY query_id, variant_no, round(value, 0)),
-       ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY first_id) AS rank FROM keyed),
+       ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY first_id) AS rank FROM keyed) WHERE rank <= 40),
        merged AS (
          SELECT query_id, chunk_id,
                 coalesce(max(1.0::DOUBLE / (60 + rank)) FILTER (variant_no = 1), 0.0::DOUBLE) + coalesce(max(0.6::DOUBLE / (60 + rank)) FILTER (variant_no = 2), 0.0::DOUBLE) AS score,
@@ -239,8 +240,6 @@ def fused_hits(spark, folder):
          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_variant, first_rank, chunk_id) AS rank FROM merged) WHERE rank <= 10""",
 )
 def fused_variants(spark, folder):
-    from pyspark.sql import Window
-
     e = table(spark, folder, "events").select(
         F.col("user_id").alias("query_id"),
         F.when(F.col("event_type").isin("view", "click"), 1).otherwise(2).alias("variant_no"),
@@ -248,9 +247,10 @@ def fused_variants(spark, folder):
         "event_id",
     )
     keyed = e.groupBy("query_id", "variant_no", "chunk_id").agg(F.min("event_id").alias("first_id"))
-    ranked = keyed.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id", "variant_no").orderBy("first_id"))
-    ).withColumn("weight", F.when(F.col("variant_no") == 1, 1.0).otherwise(0.6))
+    # Branch lists hold at most 40 rows, as hybrid retrieval builds them.
+    ranked = top_per_group(keyed, ["query_id", "variant_no"], [F.asc("first_id")], 40).withColumn(
+        "weight", F.when(F.col("variant_no") == 1, 1.0).otherwise(0.6)
+    )
     return _ranked(fusion.fuse_variants(ranked, 10))
 
 

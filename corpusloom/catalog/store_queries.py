@@ -351,17 +351,15 @@ def downloaded_files(spark, folder):
 
 @query(
     "flattened_pages",
-    """WITH p AS (SELECT o_custkey AS listing, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_no, o_orderkey, o_orderstatus FROM orders),
+    """WITH p AS (SELECT o_custkey AS listing, o_orderkey AS page_no, o_orderkey, o_orderstatus FROM orders),
        ends AS (SELECT listing, min(page_no) AS last FROM p WHERE o_orderstatus = 'F' GROUP BY 1)
        SELECT listing, page_no::BIGINT AS page_no, 0::BIGINT AS item_no, 'a' || o_orderkey AS item FROM p LEFT JOIN ends USING (listing) WHERE last IS NULL OR page_no <= last
        UNION ALL SELECT listing, page_no, 1, o_orderstatus FROM p LEFT JOIN ends USING (listing) WHERE last IS NULL OR page_no <= last""",
 )
 def flattened_pages(spark, folder):
-    from pyspark.sql import Window
-
     o = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("listing"),
-        F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page_no"),
+        F.col("o_orderkey").alias("page_no"),
         F.array(F.concat(F.lit("a"), F.col("o_orderkey").cast("string")), "o_orderstatus").alias("items"),
         F.lit(True).alias("has_more"),
         F.when(F.col("o_orderstatus") == "F", "").otherwise("next").alias("page_token"),

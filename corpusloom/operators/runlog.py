@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clip_text, nonempty, strip
 from corpusloom.operators.graph import dependency_closure
-from corpusloom.scale import top_per_group
+from corpusloom.scale import join_small_side, top_per_group
 
 # Thresholds, limits and report texts.
 RETRY_CONFIDENCE = 0.35
@@ -44,7 +44,7 @@ def retry_candidates(tasks: DataFrame, results: DataFrame, requested: DataFrame)
         results.select("plan_id", "task_id", "status", "confidence", F.lit(True).alias("_has")), ["plan_id", "task_id"], "left"
     )
     weak = joined.filter(F.col("_has").isNull() | needs_retry()).select("plan_id", "task_id")
-    unasked = weak.join(asked.select("plan_id").distinct(), "plan_id", "left_anti")
+    unasked = join_small_side(weak, asked.select("plan_id").distinct(), "plan_id", "left_anti", ["task_id"])
     return asked.unionByName(unasked)
 
 
@@ -54,16 +54,15 @@ def tasks_to_run(tasks: DataFrame, edges: DataFrame, results: DataFrame, actions
 
     ``actions``: ``plan_id, next_action``; ``edges``: ``plan_id, task_id, depends_on``.
     """
-    acted = tasks.select("plan_id", "task_id").join(actions.select("plan_id", "next_action"), "plan_id", "left")
+    def of(rows: DataFrame, plans: DataFrame, how: str = "left_semi") -> DataFrame:
+        return join_small_side(rows, plans, "plan_id", how, ["task_id"])
+
+    acted = of(tasks.select("plan_id", "task_id"), actions.select("plan_id", "next_action"), "left")
     retry_plans = actions.filter(F.col("next_action") == "retry").select("plan_id")
-    seeds = retry_candidates(
-        tasks.join(retry_plans, "plan_id", "left_semi"), results, requested.join(retry_plans, "plan_id", "left_semi")
-    )
+    seeds = retry_candidates(of(tasks, retry_plans), results, of(requested, retry_plans))
     closure = dependency_closure(
         seeds.select(F.col("plan_id").alias("graph_id"), F.col("task_id").alias("node")),
-        edges.join(retry_plans, "plan_id", "left_semi").select(
-            F.col("plan_id").alias("graph_id"), F.col("task_id").alias("node"), "depends_on"
-        ),
+        of(edges, retry_plans).select(F.col("plan_id").alias("graph_id"), F.col("task_id").alias("node"), "depends_on"),
     ).select(F.col("graph_id").alias("plan_id"), F.col("node").alias("task_id"))
     replan = acted.filter(F.col("next_action") == "replan").join(
         results.select("plan_id", "task_id"), ["plan_id", "task_id"], "left_anti"

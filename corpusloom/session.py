@@ -46,3 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Switch off an unsafe planner shortcut of Spark 4.1 for this session.
+
+    With ``spark.sql.unionOutputPartitioning`` on, a union of two equally
+    partitioned inputs counts as partitioned; when one input then becomes a
+    reused exchange the rows are no longer together and a grouping above the
+    union leaves keys unmerged.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
