@@ -22,20 +22,25 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     all_nodes = nodes.select("graph_id", "node").distinct().checkpoint()
+    node_count = all_nodes.count()
     known = all_nodes.withColumnRenamed("node", "depends_on")
     own = join_small_side(
-        edges.select("graph_id", "node", "depends_on").distinct().checkpoint(), known, ["graph_id", "depends_on"], "left_semi", ["node"]
+        edges.select("graph_id", "node", "depends_on").distinct(), known, ["graph_id", "depends_on"], "left_semi", ["node"],
+        known_rows=node_count,
     )
     # A node is blocked in a round while one of its dependencies was blocked in the round
     # before, so its level is the number of rounds it is blocked in.
-    open_edges = join_small_side(own, all_nodes, ["graph_id", "node"], "left_semi", ["depends_on"]).checkpoint()
+    open_edges = join_small_side(
+        own, all_nodes, ["graph_id", "node"], "left_semi", ["depends_on"], known_rows=node_count
+    ).checkpoint()
     left = open_edges.count()
     rounds: list[DataFrame] = []
     cyclic: DataFrame | None = None
     while left:
         blocked = open_edges.select("graph_id", "node").distinct()
         remaining = join_small_side(
-            open_edges, blocked.withColumnRenamed("node", "depends_on"), ["graph_id", "depends_on"], "left_semi", ["node"]
+            open_edges, blocked.withColumnRenamed("node", "depends_on"), ["graph_id", "depends_on"], "left_semi", ["node"],
+            known_rows=left,
         ).checkpoint()
         count = remaining.count()
         if count == left:
@@ -64,13 +69,20 @@ def dependency_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     links = edges.select("graph_id", "node", "depends_on").distinct().checkpoint()
     visited = seeds.select("graph_id", "node").distinct().checkpoint()
     frontier = visited
-    while not frontier.isEmpty():
+    frontier_count = visited_count = visited.count()
+    while frontier_count:
         reached = (
-            join_small_side(links, frontier, ["graph_id", "node"], "left_semi", ["depends_on"])
+            join_small_side(
+                links, frontier, ["graph_id", "node"], "left_semi", ["depends_on"], known_rows=frontier_count
+            )
             .select("graph_id", F.col("depends_on").alias("node"))
             .distinct()
         )
-        frontier = join_small_side(reached, visited, ["graph_id", "node"], "left_anti").checkpoint()
+        frontier = join_small_side(
+            reached, visited, ["graph_id", "node"], "left_anti", known_rows=visited_count
+        ).checkpoint()
+        frontier_count = frontier.count()
+        visited_count += frontier_count
         visited = visited.unionByName(frontier)
     return visited
 
@@ -95,11 +107,12 @@ def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         "parent_path", F.array().cast("array<int>")
     )
     opened = opening.select("space_id", "parent_node_token")
+    opening_count = opened_count = opening.count()
     found: DataFrame | None = None
     depth = 1
-    while True:
+    while opening_count:
         level = join_small_side(
-            listed, opening, ["space_id", "parent_node_token"], "inner", ["node_token"]
+            listed, opening, ["space_id", "parent_node_token"], "inner", ["node_token"], known_rows=opening_count
         ).withColumn("depth", F.lit(depth)).checkpoint()
         if level.isEmpty():
             break
@@ -110,8 +123,10 @@ def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
             F.concat("parent_path", F.array((-F.col("position")).cast("int"))).alias("parent_path"),
         )
         opening = join_small_side(
-            candidates, opened, ["space_id", "parent_node_token"], "left_anti"
+            candidates, opened, ["space_id", "parent_node_token"], "left_anti", known_rows=opened_count
         ).checkpoint()
+        opening_count = opening.count()
+        opened_count += opening_count
         opened = opened.unionByName(opening.select("space_id", "parent_node_token"))
         depth += 1
     if found is None:
