@@ -115,33 +115,39 @@ def keyword_topk(
 
     def blocks():
         for ids, terms, sources in _blocks(queries, query_id, query_text, keyword_limit):
-            index = _TermIndex(terms, sources)
+            index = _term_index(terms, sources)
             if scorer == "bm25":
-                index.weigh(*_corpus_statistics(corpus, index.vocabulary))
+                _weigh(index, *_corpus_statistics(corpus, index["vocabulary"]))
             yield ids, _keyword_scorer(context.broadcast(index))
 
     return best_of_blocks(corpus, chunk_id, queries.schema[query_id], blocks(), k)
 
 
-class _TermIndex:
-    """Terms of a query block and, per term, the queries that ask for it."""
+def _term_index(terms: list[list[str]], sources: list | None) -> dict:
+    """Terms of a query block and, per term, the queries that ask for it.
 
-    def __init__(self, terms: list[list[str]], sources: list | None):
-        self.queries = len(terms)
-        self.sources = sources
-        self.vocabulary = sorted({t for row in terms for t in row})
-        number = {t: i for i, t in enumerate(self.vocabulary)}
-        asked = sorted((number[t], q) for q, row in enumerate(terms) for t in row)
-        self.askers = np.array([q for _, q in asked], dtype="int64")
-        self.degree = np.bincount(np.array([t for t, _ in asked], dtype="int64"), minlength=len(self.vocabulary))
-        self.first = np.cumsum(self.degree) - self.degree
-        self.idf: np.ndarray | None = None
-        self.average_length = 1.0
-
-    def weigh(self, total: int, average_length: float, frequency: dict[str, int]) -> None:
-        df = np.array([frequency.get(t, 0) for t in self.vocabulary], dtype="float64")
-        self.idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
-        self.average_length = average_length or 1.0
+    A plain dictionary, as broadcast values are read without this package.
+    """
+    vocabulary = sorted({t for row in terms for t in row})
+    number = {t: i for i, t in enumerate(vocabulary)}
+    asked = sorted((number[t], q) for q, row in enumerate(terms) for t in row)
+    degree = np.bincount(np.array([t for t, _ in asked], dtype="int64"), minlength=len(vocabulary))
+    return {
+        "queries": len(terms),
+        "sources": sources,
+        "vocabulary": vocabulary,
+        "askers": np.array([q for _, q in asked], dtype="int64"),
+        "degree": degree,
+        "first": np.cumsum(degree) - degree,
+        "idf": None,
+        "average_length": 1.0,
+    }
+
+
+def _weigh(index: dict, total: int, average_length: float, frequency: dict[str, int]) -> None:
+    df = np.array([frequency.get(t, 0) for t in index["vocabulary"]], dtype="float64")
+    index["idf"] = np.log(1 + (total - df + 0.5) / (df + 0.5))
+    index["average_length"] = average_length or 1.0
 
 
 def _occurrences(tokens: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,33 +166,33 @@ def _one_array(column: pa.ChunkedArray | pa.Array) -> pa.ListArray:
 def _keyword_scorer(shared):
     def make():
         index = shared.value
-        vocabulary = pa.array(index.vocabulary, type=pa.string())
-        everyone = np.arange(index.queries)
+        vocabulary = pa.array(index["vocabulary"], type=pa.string())
+        everyone = np.arange(index["queries"])
 
         def score(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             n = part.num_rows
             rows, terms, lengths = _occurrences(_one_array(part["_tokens"]), vocabulary)
             weights = None
-            if index.idf is not None:
-                cells, tf = np.unique(rows * len(index.vocabulary) + terms, return_counts=True)
-                rows, terms = np.divmod(cells, len(index.vocabulary))
-                length = BM25_K1 * (1 - BM25_B + BM25_B * lengths[rows] / index.average_length)
-                weights = index.idf[terms] * tf * (BM25_K1 + 1) / (tf + length)
+            if index["idf"] is not None:
+                cells, tf = np.unique(rows * len(index["vocabulary"]) + terms, return_counts=True)
+                rows, terms = np.divmod(cells, len(index["vocabulary"]))
+                length = BM25_K1 * (1 - BM25_B + BM25_B * lengths[rows] / index["average_length"])
+                weights = index["idf"][terms] * tf * (BM25_K1 + 1) / (tf + length)
             # One cell per (occurrence, query asking for the term).
-            degree = index.degree[terms]
+            degree = index["degree"][terms]
             ends = np.cumsum(degree)
             step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - degree, degree)
-            asker = index.askers[np.repeat(index.first[terms], degree) + step]
+            asker = index["askers"][np.repeat(index["first"][terms], degree) + step]
             cell = asker * n + np.repeat(rows, degree)
-            matched = np.bincount(cell, minlength=index.queries * n).reshape(index.queries, n)
+            matched = np.bincount(cell, minlength=index["queries"] * n).reshape(index["queries"], n)
             if weights is None:
                 scores = np.round(matched * OCCURRENCE_WEIGHT, SCORE_DECIMALS)
             else:
-                summed = np.bincount(cell, weights=np.repeat(weights, degree), minlength=index.queries * n)
-                scores = np.round(summed, SCORE_DECIMALS).reshape(index.queries, n)
+                summed = np.bincount(cell, weights=np.repeat(weights, degree), minlength=index["queries"] * n)
+                scores = np.round(summed, SCORE_DECIMALS).reshape(index["queries"], n)
             scores[matched == 0] = -np.inf
-            if index.sources is not None:
-                scores[outside_source(index.sources, part, np.arange(n), everyone)] = -np.inf
+            if index["sources"] is not None:
+                scores[outside_source(index["sources"], part, np.arange(n), everyone)] = -np.inf
             yield everyone, scores, np.arange(n)
 
         return score
@@ -244,7 +250,7 @@ def matching_chunk_counts(
     context = chunks.sparkSession.sparkContext
     counted = None
     for ids, terms, _ in _blocks(queries.select(query_id, query_text), query_id, query_text, keyword_limit):
-        part = corpus.mapInArrow(_match_counter(context.broadcast(_TermIndex(terms, None)), ids, schema), schema)
+        part = corpus.mapInArrow(_match_counter(context.broadcast(_term_index(terms, None)), ids, schema), schema)
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         counted = chunks.sparkSession.createDataFrame([], schema)

@@ -220,3 +220,12 @@ def test_top_per_group_cuts_before_the_shuffle(spark):
     top = top_per_group(df, ["g"], [F.desc("id")], 3)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert {(r["g"], r["id"]) for r in top.collect()} == {(True, 999), (True, 998), (True, 997), (False, 300), (False, 299), (False, 298)}
+
+
+def test_broadcast_values_need_no_package():
+    """Workers read broadcast values with plain pickle and may have no copy of the package."""
+    import pickle
+
+    index = keyword_search._term_index([["a", "b"], ["b"]], None)
+    assert b"corpusloom" not in pickle.dumps(index)
+    assert index["vocabulary"] == ["a", "b"] and index["degree"].tolist() == [1, 2]
