@@ -141,7 +141,7 @@ def test_leaks(spark, docs, odd_docs, no_docs, monkeypatch, broadcast):
     items = items.select("item_id", "text").union(extra).withColumn("containment", F.lit("x"))
     passages = items.filter("item_id < 30").select(F.col("item_id") + 5000, F.concat(F.lit("Before. "), F.upper("text"), F.lit(" after"))).toDF("doc_id", "text")
     cut = items.filter("item_id < 30").select(F.col("item_id") + 6000, F.expr("substr(text, 1, length(text) * 85 div 100)")).toDF("doc_id", "text")
-    texts = docs.select("doc_id", "text").union(odd_docs.select("doc_id", "text")).union(passages).union(cut)
+    texts = docs.select("doc_id", "text").union(odd_docs.select(F.col("doc_id") + 10_000, "text")).union(passages).union(cut)
     if not broadcast:
         texts = texts.filter("doc_id is not null").distinct()
     want = plain_leaks([tuple(r) for r in texts.collect()], [tuple(r) for r in items.select("item_id", "text").collect()])
