@@ -9,7 +9,10 @@ in its block with the largest ``first``, at bit ``width * (i - start - first)``.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Remembered, columns_of, scratch_path
+from corpusloom.llm.common import columns_of, scratch_path
 
 #: A block ends with the document that brings it to this number of ids.
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a task remembers at once.
-REMEMBERED_PIECES = 300_000
+REMEMBERED_PIECES = 250_000
+#: Texts that a task takes in hand at once.
+TEXTS = 128
 #: Bytes of text that one shard is to hold, about.
 SHARD_BYTES = 64 << 20
 
@@ -57,63 +62,69 @@ def unpack(bits: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return np.packbits(whole, axis=1, bitorder="little").view("<u4").ravel()
 
 
-def _splits(piece: str) -> bool:
-    """Whether the spaces at both ends of a piece are single and between other characters."""
-    return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+class PieceEncoder:
+    """Ids of texts as 32-bit little-endian bytes, each distinct piece of text encoded by the library once.
 
-
-def encoder(tokenizer_path: str):
-    """A function from a text to its ids as 32-bit little-endian bytes, and the size of the vocabulary.
-
-    The byte-level pre-tokenizer never joins characters across a single space between two other characters:
-    it cuts before that space.  So the library encodes the pieces between such spaces, once each, and their
-    ids are put together; texts with other white space around a space go through the library as a whole.
+    The byte-level pre-tokenizer never joins characters across a single space or line end between two other
+    characters, nor a word with a mark at its end, so texts are cut there, the library encodes the pieces
+    (a leading space stays with its piece), and their ids are put together.  Where white space meets white
+    space nothing is cut.  At most ``limit`` pieces are remembered.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-
-    def raw(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def inner(piece: str) -> bytes | None:
-        return raw(" " + piece) if _splits(piece) else None
-
-    known = Remembered(inner, REMEMBERED_PIECES)
 
-    def encode(text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not rest:
-            return raw(text)
-        found = [*map(known.__getitem__, rest)]
-        if _splits(first) and None not in found:
-            return raw(first) + b"".join(found)
-        return _by_parts(text, raw, known)
-
-    return encode, tokenizer.get_vocab_size()
-
-
-def _by_parts(text: str, raw, known) -> bytes:
-    """Encode a text some of whose spaces are not single: runs of pieces around those go to the library together."""
-    out, run, pieces = [], [], text.split(" ")
-    for k, piece in enumerate(pieces):
-        # May the text be cut before the space that leads this piece?
-        if k and _ends_plain(pieces[k - 1]) and piece and not piece[0].isspace():
-            out.append((run, k - len(run)))
-            run = []
-        run.append(piece)
-    out.append((run, len(pieces) - len(run)))
-    ids = []
-    for run, at in out:
-        if at and len(run) == 1 and _splits(run[0]):
-            ids.append(known[run[0]])
-        else:
-            ids.append(raw((" " if at else "") + " ".join(run)))
-    return b"".join(ids)
-
-
-def _ends_plain(piece: str) -> bool:
-    return bool(piece) and not piece[-1].isspace()
+    _MARKS = frozenset(".,;:!?")
+
+    def __init__(self, tokenizer_path: str, limit: int = REMEMBERED_PIECES):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), limit
+        self.known: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        """The text cut before each space, where the neighbours allow it."""
+        if "\0" in text:
+            return [text]
+        cut = text.replace(" ", "\0 ").split("\0")
+        out = cut[:1]
+        for piece in cut[1:]:
+            last = out[-1]
+            if len(piece) > 1 and not piece[1].isspace() and last and not last[-1].isspace():
+                out.append(piece)
+            else:
+                out[-1] = last + piece
+        return [x for x in out if x]
+
+    def units(self, piece: str) -> list[str]:
+        """The piece cut at line ends and before a mark that ends a word."""
+        lines, out = piece.split("\n"), []
+        if any(not x or x[-1].isspace() or (x[0].isspace() and (k or x[1:2].isspace() or len(x) == 1)) for k, x in enumerate(lines)):
+            return [piece]
+        for k, line in enumerate(lines):
+            if k:
+                out.append("\n")
+            word = line[:-1]
+            out += [word, line[-1]] if line[-1] in self._MARKS and word.removeprefix(" ").isalpha() else [line]
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        cut = [self.pieces(t) for t in texts]
+        every = set().union(*cut)
+        fresh = every.difference(self.known)
+        if len(self.known) + len(fresh) > self.limit:
+            self.known, fresh = {}, every
+        marks = self._MARKS
+        made = {p: self.units(p) for p in fresh if p[-1] in marks or "\n" in p}
+        fresh.difference_update(made)
+        known, new = self.known, [*fresh.union(*made.values()).difference(self.known)]
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[unit] = array("I", found.ids).tobytes()
+        known.update({p: b"".join(map(known.__getitem__, units)) for p, units in made.items()})
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for piece in made:  # pieces over a line end hardly come again
+            if "\n" in piece and len(piece) > 1:
+                del known[piece]
+        return out
 
 
 def write_packed(
@@ -143,13 +154,11 @@ def write_packed(
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import tempfile
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         with tempfile.NamedTemporaryFile(suffix=".json", delete=False) as copy:  # this task's own copy of the model
             copy.write(model.value)
         try:
-            encode, _ = encoder(copy.name)
+            encoder = PieceEncoder(copy.name)
         finally:
             os.unlink(copy.name)
         shard = TaskContext.get().partitionId()
@@ -163,16 +172,19 @@ def write_packed(
             )
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                coded = (encode(text) if text else b"") + closing
-                ids.append(coded)
-                names.append(name)
-                lengths.append(len(coded) // 4)
-                held += len(coded) // 4
-                if held >= block_ids:
-                    yield row()
-                    block, first = block + 1, first + held
-                    ids, names, lengths, held = [], [], [], 0
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for name, coded in zip(part.column(0).to_pylist(), encoder.encode_many(texts)):
+                    coded += closing
+                    ids.append(coded)
+                    names.append(name)
+                    lengths.append(len(coded) // 4)
+                    held += len(coded) // 4
+                    if held >= block_ids:
+                        yield row()
+                        block, first = block + 1, first + held
+                        ids, names, lengths, held = [], [], [], 0
         if names:
             yield row()
 

@@ -73,14 +73,20 @@ def tokenizer():
     return path, Tokenizer.from_file(path)
 
 
-@settings(max_examples=300, deadline=None)
-@given(text=st.text(alphabet=st.sampled_from(list(" \n\t\x1c\xa0 aZé漢19'!.<|>-ś")), max_size=30))
-def test_pieces_encode_like_whole_texts(tokenizer, text):
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from(list(" \n\t\x1c\xa0\0 aZé漢19'!.<|>-ś")), max_size=30), max_size=5))
+def test_pieces_encode_like_whole_texts(tokenizer, texts):
+    path, whole = tokenizer
+    made = test_pieces_encode_like_whole_texts.__dict__.setdefault("made", packed_ids.PieceEncoder(path, limit=200))
+    got = [np.frombuffer(x, "<u4").tolist() for x in made.encode_many(texts)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_of_real_texts(tokenizer, more_docs):
     path, whole = tokenizer
-    if not hasattr(test_pieces_encode_like_whole_texts, "encode"):
-        test_pieces_encode_like_whole_texts.encode, _ = packed_ids.encoder(path)
-    got = np.frombuffer(test_pieces_encode_like_whole_texts.encode(text), "<u4").tolist()
-    assert got == whole.encode(text, add_special_tokens=False).ids
+    texts = [r[0] for r in more_docs.select("text").limit(300).collect()] + ["a<|endoftext|>. b", "it's. we'll\n'tis, x.\n\n y", ""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packed_ids.PieceEncoder(path).encode_many(texts)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packed_ids(spark, odd_docs, docs, no_docs, tokenizer):
