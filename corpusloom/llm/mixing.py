@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import WORD, settled
 
 #: Rows of a source in one range, on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: Hexadecimal digits of the hash that name a range: 65,536 of the finest ranges.
 RANGE_DIGITS = 4
 

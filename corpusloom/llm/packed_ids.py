@@ -10,6 +10,7 @@ in its block with the largest ``first``, at bit ``width * (i - start - first)``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zlib
 from array import array
@@ -27,7 +28,7 @@ from corpusloom.llm.common import columns_of, scratch_path
 #: A block ends with the document that brings it to this number of ids.
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a task remembers at once.
-REMEMBERED_PIECES = 250_000
+REMEMBERED_PIECES = 600_000
 #: Texts that a task takes in hand at once.
 TEXTS = 128
 #: Bytes of text that one shard is to hold, about.
@@ -62,6 +63,10 @@ def unpack(bits: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return np.packbits(whole, axis=1, bitorder="little").view("<u4").ravel()
 
 
+#: White space other than spaces and line ends.
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 class PieceEncoder:
     """Ids of texts as 32-bit little-endian bytes, each distinct piece of text encoded by the library once.
 
@@ -78,12 +83,15 @@ class PieceEncoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), limit
         self.known: dict[str, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
         """The text cut before each space, where the neighbours allow it."""
         if "\0" in text:
             return [text]
         cut = text.replace(" ", "\0 ").split("\0")
+        if not (_RARE_SPACE.search(text) or "  " in text or " \n" in text or "\n " in text or text[-1:].isspace()):
+            return cut if cut[0] else cut[1:]
         out = cut[:1]
         for piece in cut[1:]:
             last = out[-1]
@@ -105,6 +113,24 @@ class PieceEncoder:
             out += [word, line[-1]] if line[-1] in self._MARKS and word.removeprefix(" ").isalpha() else [line]
         return out
 
+    def _learn(self, units: list[str]) -> None:
+        """Encode units: those without white space at either end as the lines of one text, the others each alone."""
+        alone = [u for u in units if "\n" in u or u[-1].isspace() or (u[0].isspace() and (u[0] != " " or u[1].isspace()))]
+        lines = [*set(units).difference(alone)] if alone else units
+        if len(self.line_end) != 1:
+            alone, lines = units, []
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
+            for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[unit] = array("I", found.ids).tobytes()
+        for at in range(0, len(lines), 4096):
+            some = lines[at : at + 4096]
+            (found,) = self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_end[0])
+            raw, starts, ends = ids.tobytes(), (np.r_[-1, cuts] + 1) * 4, np.r_[cuts, len(ids)] * 4
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], strict=True))
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
         every = set().union(*cut)
@@ -115,10 +141,7 @@ class PieceEncoder:
         made = {p: self.units(p) for p in fresh if p[-1] in marks or "\n" in p}
         fresh.difference_update(made)
         known, new = self.known, [*fresh.union(*made.values()).difference(self.known)]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[unit] = array("I", found.ids).tobytes()
+        self._learn(new)
         known.update({p: b"".join(map(known.__getitem__, units)) for p, units in made.items()})
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
         for piece in made:  # pieces over a line end hardly come again
