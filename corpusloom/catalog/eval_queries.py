@@ -39,7 +39,7 @@ def _items(spark, folder):
 
 
 def with_chunk_text(hits, chunk_rows, items=None, k=10):
-    return retrieve.with_chunk_text(hits, chunk_rows, known_rows=items.count() * k if items is not None else None)
+    return retrieve.with_chunk_text(hits, chunk_rows)
 
 
 def _by_item(hits):

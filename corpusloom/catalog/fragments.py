@@ -176,4 +176,4 @@ def expected_chunks(chunk_rows: DataFrame, question_rows: DataFrame) -> DataFram
         F.col("query_id").alias("item_id"), F.explode(sentences(F.col("query"))).alias("sentence")
     ).distinct()
     stored = chunk_rows.select("chunk_id", F.explode(sentences(F.col("content"))).alias("sentence"))
-    return join_small_side(stored, asked, "sentence", spread_by=["chunk_id"]).select("item_id", "chunk_id").distinct()
+    return join_small_side(stored, asked, "sentence").select("item_id", "chunk_id").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.catalog.fragments import (
@@ -230,7 +231,7 @@ def fused_hits(spark, folder):
          SELECT user_id AS query_id, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 2 END AS variant_no, event_id AS chunk_id, value
          FROM events),
        keyed AS (SELECT query_id, variant_no, 'k' || round(max(value), 0)::BIGINT AS chunk_id, min(chunk_id) AS first_id FROM lists GROUP BY query_id, variant_no, round(value, 0)),
-       ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY first_id) AS rank FROM keyed) WHERE rank <= 40),
+       ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY first_id) AS rank FROM keyed)),
        merged AS (
          SELECT query_id, chunk_id,
                 coalesce(max(1.0::DOUBLE / (60 + rank)) FILTER (variant_no = 1), 0.0::DOUBLE) + coalesce(max(0.6::DOUBLE / (60 + rank)) FILTER (variant_no = 2), 0.0::DOUBLE) AS score,
@@ -247,8 +248,8 @@ def fused_variants(spark, folder):
         "event_id",
     )
     keyed = e.groupBy("query_id", "variant_no", "chunk_id").agg(F.min("event_id").alias("first_id"))
-    # Branch lists hold at most 40 rows, as hybrid retrieval builds them.
-    ranked = top_per_group(keyed, ["query_id", "variant_no"], [F.asc("first_id")], 40).withColumn(
+    in_list = Window.partitionBy("query_id", "variant_no").orderBy("first_id")
+    ranked = keyed.withColumn("rank", F.row_number().over(in_list)).withColumn(
         "weight", F.when(F.col("variant_no") == 1, 1.0).otherwise(0.6)
     )
     return _ranked(fusion.fuse_variants(ranked, 10))
@@ -460,7 +461,7 @@ contexts AS (
 
 def _payload(spark, folder):
     c, q = chunks(spark, folder), questions(spark, folder)
-    hits = plan.with_chunk_text(keyword_search.keyword_topk(c, q, 5), c, known_rows=q.count() * 5)
+    hits = plan.with_chunk_text(keyword_search.keyword_topk(c, q, 5), c)
     return plan.retrieval_payload(q, hits, plan.query_variants(q), gate=2.5)
 
 
@@ -498,5 +499,5 @@ def quality_labels(spark, folder):
 )
 def evidence_contexts(spark, folder):
     c, q = chunks(spark, folder), questions(spark, folder)
-    hits = plan.with_chunk_text(keyword_search.keyword_topk(c, q, 5), c, known_rows=q.count() * 5)
+    hits = plan.with_chunk_text(keyword_search.keyword_topk(c, q, 5), c)
     return plan.evidence_context(hits, with_id=False).select("query_id", "context_text")

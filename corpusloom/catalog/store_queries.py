@@ -223,13 +223,16 @@ def upserted_sessions(spark, folder):
 
 @query(
     "ingest_summary",
-    f"""WITH {_CHUNKS_AFTER_SQL},
-        fresh AS (SELECT source FROM cut JOIN changed USING (source, text) WHERE content <> '' AND source IS NOT NULL)
-        SELECT (SELECT count(*) FROM incoming)::BIGINT AS seen_documents, count(DISTINCT source)::BIGINT AS inserted_documents, count(*)::BIGINT AS inserted_chunks FROM fresh""",
+    f"""WITH {_STORE_SQL},
+        numbered AS (SELECT text, row_number() OVER () AS k FROM changed WHERE length(text) > 0),
+        windows AS (SELECT k, {sql_strip("substring(text, i * 400 + 1, 500)")} AS content
+          FROM (SELECT k, text, unnest(range(greatest(ceil((length(text) - 100) / 400.0), 1)::BIGINT)) AS i FROM numbered))
+        SELECT (SELECT count(*) FROM incoming)::BIGINT AS seen_documents, count(DISTINCT k)::BIGINT AS inserted_documents, count(*)::BIGINT AS inserted_chunks
+        FROM windows WHERE content <> ''""",
 )
 def ingest_summary(spark, folder):
     incoming = _incoming(spark, folder)
-    changed = store.changed_documents(incoming, _stored(spark, folder)).filter(F.col("source").isNotNull())
+    changed = store.changed_documents(incoming, _stored(spark, folder))
     return store.ingest_summary(incoming, _window_chunks(changed))
 
 

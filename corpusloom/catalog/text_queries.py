@@ -108,8 +108,8 @@ def _sql_rewrite(e: str) -> str:
     e = sql_normalize(e)
     for old, new in rewrite.TERM_REPLACEMENTS:
         e = f"replace({e}, '{old}', '{new}')"
-    for group in rewrite.FILLER_GROUPS:
-        e = f"regexp_replace({e}, '{rewrite.FILLER_EDGE}(?:{group}){rewrite.FILLER_EDGE}', ' ', 'g')"
+    for pattern in rewrite.FILLER_PATTERNS:
+        e = f"regexp_replace({e}, '{pattern}', ' ', 'g')"
     return sql_normalize(e)
 
 

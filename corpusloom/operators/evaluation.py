@@ -12,12 +12,17 @@ from corpusloom.numbering import number_rows
 from corpusloom.scale import top_per_group
 
 
+def _refuse(bad: DataFrame, what: str) -> None:
+    """Raise an error that gives the number of bad items and the first ids, if there are any."""
+    n = bad.count()
+    if n:
+        first = bad.select("item_id").orderBy("item_id").limit(20).collect()
+        raise ValueError(f"{n} {what}, first of them: {', '.join(str(r['item_id']) for r in first)}")
+
+
 def require_evidence(items: DataFrame, evidences: str = "expected_evidences") -> DataFrame:
     """Raise when an item has no expected evidence at all; otherwise return the items."""
-    missing = items.filter(F.coalesce(F.size(evidences), F.lit(0)) <= 0).select("item_id").limit(20).collect()
-    if missing:
-        ids = ", ".join(str(r["item_id"]) for r in missing)
-        raise ValueError(f"items without expected evidence: {ids}")
+    _refuse(items.filter(F.coalesce(F.size(evidences), F.lit(0)) <= 0), "items without expected evidence")
     return items
 
 
@@ -174,9 +179,7 @@ def answer_eval_rows(items: DataFrame, hits: DataFrame, responses: DataFrame, li
     """
     if limit is not None:
         items = items.filter(F.col("position") < limit)
-    blank = items.filter(is_blank("ground_truth")).select("item_id").limit(20).collect()
-    if blank:
-        raise ValueError("items without a reference answer: " + ", ".join(str(r["item_id"]) for r in blank))
+    _refuse(items.filter(is_blank("ground_truth")), "items without a reference answer")
     contexts = hits.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("_c"))
     return (
         items.join(contexts, "item_id", "left")

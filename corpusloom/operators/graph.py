@@ -25,13 +25,12 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     node_count = all_nodes.count()
     known = all_nodes.withColumnRenamed("node", "depends_on")
     own = join_small_side(
-        edges.select("graph_id", "node", "depends_on").distinct(), known, ["graph_id", "depends_on"], "left_semi", ["node"],
-        known_rows=node_count,
+        edges.select("graph_id", "node", "depends_on").distinct(), known, ["graph_id", "depends_on"], "left_semi",
     )
     # A node is blocked in a round while one of its dependencies was blocked in the round
     # before, so its level is the number of rounds it is blocked in.
     open_edges = join_small_side(
-        own, all_nodes, ["graph_id", "node"], "left_semi", ["depends_on"], known_rows=node_count
+        own, all_nodes, ["graph_id", "node"], "left_semi"
     ).checkpoint()
     left = open_edges.count()
     rounds: list[DataFrame] = []
@@ -39,28 +38,28 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while left:
         blocked = open_edges.select("graph_id", "node").distinct()
         remaining = join_small_side(
-            open_edges, blocked.withColumnRenamed("node", "depends_on"), ["graph_id", "depends_on"], "left_semi", ["node"],
-            known_rows=left,
+            open_edges, blocked.withColumnRenamed("node", "depends_on"), ["graph_id", "depends_on"], "left_semi",
         ).checkpoint()
         count = remaining.count()
         if count == left:
             # No edge was resolved: what is left waits for a cycle.
             cyclic = blocked.select("graph_id").distinct()
             break
-        rounds.append(blocked)
+        rounds.append(open_edges.select("graph_id", "node", F.lit(len(rounds) + 1).alias("_level")))
         open_edges, left = remaining, count
     result = all_nodes.withColumn("level", F.lit(0))
     if rounds:
         blocked_rounds = rounds[0]
         for more in rounds[1:]:
             blocked_rounds = blocked_rounds.unionAll(more)
-        levels = blocked_rounds.groupBy("graph_id", "node").agg(F.count("*").cast("int").alias("_level"))
+        # Plain rows of the rounds, not their distinct nodes: no shuffled input below the union.
+        levels = blocked_rounds.groupBy("graph_id", "node").agg(F.max("_level").alias("_level"))
         result = all_nodes.join(levels, ["graph_id", "node"], "left").select(
             "graph_id", "node", F.coalesce("_level", F.lit(0)).alias("level")
         )
     if cyclic is None:
         return result
-    return join_small_side(result, cyclic, "graph_id", "left_anti", ["node"])
+    return join_small_side(result, cyclic, "graph_id", "left_anti")
 
 
 def dependency_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -73,13 +72,13 @@ def dependency_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     while frontier_count:
         reached = (
             join_small_side(
-                links, frontier, ["graph_id", "node"], "left_semi", ["depends_on"], known_rows=frontier_count
+                links, frontier, ["graph_id", "node"], "left_semi"
             )
             .select("graph_id", F.col("depends_on").alias("node"))
             .distinct()
         )
         frontier = join_small_side(
-            reached, visited, ["graph_id", "node"], "left_anti", known_rows=visited_count
+            reached, visited, ["graph_id", "node"], "left_anti"
         ).checkpoint()
         frontier_count = frontier.count()
         visited_count += frontier_count
@@ -90,7 +89,7 @@ def dependency_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 def children(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Direct children of the given nodes (``space_id, node_token``)."""
     parents = roots.select("space_id", F.col("node_token").alias("parent_node_token")).distinct()
-    return join_small_side(nodes, parents, ["space_id", "parent_node_token"], "left_semi", ["node_token"])
+    return join_small_side(nodes, parents, ["space_id", "parent_node_token"], "left_semi")
 
 
 def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -112,7 +111,7 @@ def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     depth = 1
     while opening_count:
         level = join_small_side(
-            listed, opening, ["space_id", "parent_node_token"], "inner", ["node_token"], known_rows=opening_count
+            listed, opening, ["space_id", "parent_node_token"], "inner"
         ).withColumn("depth", F.lit(depth)).checkpoint()
         if level.isEmpty():
             break
@@ -123,7 +122,7 @@ def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
             F.concat("parent_path", F.array((-F.col("position")).cast("int"))).alias("parent_path"),
         )
         opening = join_small_side(
-            candidates, opened, ["space_id", "parent_node_token"], "left_anti", known_rows=opened_count
+            candidates, opened, ["space_id", "parent_node_token"], "left_anti"
         ).checkpoint()
         opening_count = opening.count()
         opened_count += opening_count

@@ -30,7 +30,7 @@ def split_recent(messages: DataFrame, n: int = RECENT_MESSAGES) -> DataFrame:
     """Mark each message as ``recent`` (last ``n`` of its session) or ``overflow``."""
     bounds = _recent_bounds(messages, n)
     return (
-        join_small_side(messages, bounds, "session_id", spread_by=["turn"])
+        join_small_side(messages, bounds, "session_id")
         .withColumn("part", F.when(F.col("turn") >= F.col("first_recent"), "recent").otherwise("overflow"))
         .drop("first_recent")
     )
@@ -56,7 +56,6 @@ def fold_overflow(messages: DataFrame, state: DataFrame | None = None, n: int =
     before = (
         join_small_side(
             overflow.select("session_id", "turn"), counts.select("session_id", "_goal_turn"), "session_id",
-            spread_by=["turn"],
         )
         .groupBy("session_id")
         .agg(F.count_if(F.col("turn") < F.col("_goal_turn")).alias("_goal_position"))

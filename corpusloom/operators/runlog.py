@@ -44,7 +44,7 @@ def retry_candidates(tasks: DataFrame, results: DataFrame, requested: DataFrame)
         results.select("plan_id", "task_id", "status", "confidence", F.lit(True).alias("_has")), ["plan_id", "task_id"], "left"
     )
     weak = joined.filter(F.col("_has").isNull() | needs_retry()).select("plan_id", "task_id")
-    unasked = join_small_side(weak, asked.select("plan_id").distinct(), "plan_id", "left_anti", ["task_id"])
+    unasked = join_small_side(weak, asked.select("plan_id").distinct(), "plan_id", "left_anti")
     return asked.unionByName(unasked)
 
 
@@ -55,7 +55,7 @@ def tasks_to_run(tasks: DataFrame, edges: DataFrame, results: DataFrame, actions
     ``actions``: ``plan_id, next_action``; ``edges``: ``plan_id, task_id, depends_on``.
     """
     def of(rows: DataFrame, plans: DataFrame, how: str = "left_semi") -> DataFrame:
-        return join_small_side(rows, plans, "plan_id", how, ["task_id"])
+        return join_small_side(rows, plans, "plan_id", how)
 
     acted = of(tasks.select("plan_id", "task_id"), actions.select("plan_id", "next_action"), "left")
     retry_plans = actions.filter(F.col("next_action") == "retry").select("plan_id")

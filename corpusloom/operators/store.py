@@ -32,18 +32,18 @@ def changed_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
         .select("source", "content_hash")
         .distinct()
     )
-    return join_small_side(incoming, known, ["source", "content_hash"], "left_anti", spread_by=["source", "content_hash"])
+    return join_small_side(incoming, known, ["source", "content_hash"], "left_anti")
 
 
 def replace_by_source(
-    existing: DataFrame, changed: DataFrame, spread_by: Sequence[str] | None = None, sources: DataFrame | None = None
+    existing: DataFrame, changed: DataFrame, sources: DataFrame | None = None
 ) -> DataFrame:
     """Drop stored rows of every changed source and add the new rows.
 
     A null source never equals another, so such rows are only added.
     """
     sources = changed_sources(changed) if sources is None else sources
-    kept = join_small_side(existing, sources, "source", "left_anti", spread_by=spread_by)
+    kept = join_small_side(existing, sources, "source", "left_anti")
     return kept.unionByName(changed.select(*existing.columns))
 
 
@@ -65,7 +65,7 @@ def upsert_documents(
         incoming = named.unionByName(incoming.filter(F.col("source").isNull()))
     changed = changed_documents(incoming, existing_documents)
     sources = changed_sources(changed)
-    documents = replace_by_source(existing_documents, changed, ["content_hash"], sources)
+    documents = replace_by_source(existing_documents, changed, sources)
     chunks = replace_chunks(existing_chunks, changed, make_chunks(changed), sources)
     return documents, chunks, changed
 
@@ -81,7 +81,7 @@ def replace_chunks(
 ) -> DataFrame:
     """Chunks follow their document: those of changed sources go, the new ones come."""
     sources = changed_sources(changed) if sources is None else sources
-    kept = join_small_side(existing_chunks, sources, "source", "left_anti", spread_by=["chunk_id"])
+    kept = join_small_side(existing_chunks, sources, "source", "left_anti")
     return kept.unionByName(new_chunks.select(*existing_chunks.columns))
 
 
@@ -100,7 +100,7 @@ def keep_latest_per_source(df: DataFrame, source: str = "source", created: str =
     Ties and rows without a time survive, as do rows without a source.
     """
     newest = df.filter(F.col(source).isNotNull()).groupBy(source).agg(F.max(created).alias("_newest"))
-    joined = join_small_side(df, newest, source, "left", spread_by=[created])
+    joined = join_small_side(df, newest, source, "left")
     keep = F.col(source).isNull() | F.col(created).isNull() | (F.col(created) >= F.col("_newest"))
     return joined.filter(keep).drop("_newest")
 
@@ -124,7 +124,7 @@ def rebuild_search_fields(chunks: DataFrame, documents: DataFrame, *, include_ke
     ``source`` (metadata source); ``documents``: ``document_id, title,
     doc_name, document_source, tags`` (JSON text).
     """
-    joined = join_small_side(chunks, documents, "document_id", spread_by=["chunk_id"])
+    joined = join_small_side(chunks, documents, "document_id")
     title = F.coalesce(nonempty("title"), nonempty("doc_name"), F.lit(""))
     source = F.coalesce(nonempty("document_source"), F.col("source"), F.lit(""))
     text = chunk_search_text(
@@ -176,10 +176,12 @@ def upsert_sessions(
 
 
 def ingest_summary(seen: DataFrame, inserted_chunks: DataFrame) -> DataFrame:
-    """Documents seen, documents inserted and chunks inserted, as one row."""
-    per_source = inserted_chunks.groupBy("source").agg(F.count("*").alias("chunks"))
-    totals = per_source.agg(
-        F.count("*").alias("inserted_documents"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("inserted_chunks")
+    """Documents seen, documents inserted and chunks inserted, as one row.
+
+    Every inserted document has one first chunk, so documents without a source, or of one source, count each.
+    """
+    totals = inserted_chunks.agg(
+        F.count_if(F.col("chunk_index") == 0).alias("inserted_documents"), F.count("*").alias("inserted_chunks")
     )
     # Both sides are one row by construction.
     return seen.agg(F.count("*").alias("seen_documents")).withColumn("_one", F.lit(1)).join(

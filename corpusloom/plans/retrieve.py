@@ -114,14 +114,11 @@ def hybrid_candidates(
 
 
 def with_chunk_text(
-    hits: DataFrame, chunks: DataFrame, columns=("content", "source", "start", "end"), *, known_rows: int | None = None
+    hits: DataFrame, chunks: DataFrame, columns=("content", "source", "start", "end")
 ) -> DataFrame:
-    """Bring chunk columns back after ranking; rank stages carry ids only.
-
-    ``known_rows`` bounds the hits, usually ``k`` times the number of queries.
-    """
+    """Bring chunk columns back after ranking; rank stages carry ids only."""
     have = [c for c in columns if c in chunks.columns]
-    return join_small_side(chunks.select("chunk_id", *have), hits, "chunk_id", known_rows=known_rows)
+    return join_small_side(chunks.select("chunk_id", *have), hits, "chunk_id")
 
 
 def retrieve(
@@ -137,7 +134,7 @@ def retrieve(
     if not use_rerank:
         return candidates.filter(F.col("rank") <= k)
     pool = max(candidate_top_k or CANDIDATE_TOP_K, k)
-    texts = with_chunk_text(candidates, chunks, ("content",), known_rows=queries.count() * pool)
+    texts = with_chunk_text(candidates, chunks, ("content",))
     # The question as asked is scored, not a variant of it.
     paired = join_small_side(texts, queries.select("query_id", "query"), "query_id")
     return rerank(paired, k, scorer=scorer).select("query_id", "chunk_id", "score", "rank")

@@ -1,4 +1,4 @@
-"""Size checks and skew-safe joins shared by the operators."""
+"""Joins and groupings shared by the operators."""
 
 from __future__ import annotations
 
@@ -6,72 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BROADCAST_MAX_ROWS = 500_000
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-SALTS = 32
 
+def join_small_side(large: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a side that keeps its rows with one that is usually smaller, by equal keys.
 
-def _row_bytes(df: DataFrame):
-    """Rough size of a row: eight bytes per plain column, the text length of the others."""
-    parts = []
-    for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.StringType | T.BinaryType):
-            parts.append(F.coalesce(F.octet_length(column), F.lit(0)))
-        elif isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
-            parts.append(F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)))
-        else:
-            parts.append(F.lit(8))
-    return sum(parts[1:], parts[0])
-
-
-def fits_in_broadcast(
-    df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
-) -> bool:
-    """Measure ``df`` and say whether it is below both bounds.
-
-    Only two numbers per task are moved, so a large table costs one pass.
-    """
-    row = df.select(_row_bytes(df).cast("long").alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
-    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
-
-
-def join_small_side(
-    large: DataFrame,
-    small: DataFrame,
-    on: str | Sequence[str],
-    how: str = "inner",
-    spread_by: Sequence[str] | None = None,
-    max_rows: int = BROADCAST_MAX_ROWS,
-    salts: int = SALTS,
-    known_rows: int | None = None,
-) -> DataFrame:
-    """Join a large left side with a side that is usually small.
-
-    Below the measured bound the right side is broadcast.  Above it both sides
-    are shuffled on the key plus a salt: every left row carries one salt taken
-    from ``spread_by`` and every right row is repeated once per salt, so a key
-    holding a large share of the left rows is spread over ``salts`` tasks and
-    each left row still meets each matching right row exactly once.  ``how`` may
-    be any join type that keeps or filters the left side.
-
-    ``known_rows`` is an upper bound the caller can prove (for example ``k`` rows
-    per query); it replaces measuring, which would run the right side once more.
+    No size is guessed and neither side is run beforehand: adaptive execution broadcasts the right side when
+    its measured bytes are below ``spark.sql.autoBroadcastJoinThreshold``, shuffles both sides once otherwise,
+    and splits the partitions of crowded keys.
     """
-    keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    fits = known_rows <= max_rows if known_rows is not None else fits_in_broadcast(small, max_rows)
-    if fits:
-        return large.join(F.broadcast(small), keys, how)
-    spread = list(spread_by) if spread_by else [c for c in large.columns if c not in keys] or keys
-    salted_large = large.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(salts)).cast("int")
-    )
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_large.join(salted_small, [*keys, "_salt"], how).drop("_salt")
+    return large.join(small, [on] if isinstance(on, str) else list(on), how)
 
 
 def spread(df: DataFrame) -> DataFrame:

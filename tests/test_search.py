@@ -205,14 +205,18 @@ def test_depth_and_quality(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast_join(spark, how):
+def test_shuffled_join_equals_broadcast_join(spark, how):
     large = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(90)], "i int, key string")
     small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("zz", 4)], "key string, v int")
 
     def rows(limit):
-        return sorted(map(tuple, join_small_side(large, small, "key", how, ["i"], max_rows=limit).collect()), key=str)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            return sorted(map(tuple, join_small_side(large, small, "key", how).collect()), key=str)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
-    assert rows(0) == rows(1000)
+    assert rows(-1) == rows(10 << 20)
 
 
 def test_top_per_group_cuts_before_the_shuffle(spark):

@@ -147,3 +147,30 @@ def test_report_path():
     assert tables.report_path("out/run.json", False) == "out/run.json"
     assert tables.report_path("out", False) == "out/ragas_eval_result.json"
     assert tables.report_path("out.d", True) == "out.d/ragas_eval_result.json"
+
+
+def test_eval_items_keep_file_order(spark, tmp_path):
+    import json
+
+    for name in range(3):
+        items = [{"item_id": f"{name}{place}", "question": "q"} for place in range(3)]
+        (tmp_path / f"{name}.json").write_text(json.dumps(items))
+    items = tables.read_eval_items(spark, str(tmp_path))
+    assert [r["item_id"] for r in tables.first_items(items, 5).orderBy("position").collect()] == ["00", "01", "02", "10", "11"]
+
+
+def test_summary_counts_documents_without_a_source(spark):
+    seen = spark.range(3)
+    chunks = spark.createDataFrame([(None, 0), (None, 0), ("a", 0), ("a", 1)], "source string, chunk_index int")
+    assert tuple(store.ingest_summary(seen, chunks).first()) == (3, 3, 4)
+
+
+def test_database_urls():
+    for url, want in {
+        "jdbc:postgresql://db:99/x?ssl=true": "jdbc:postgresql://db:99/x", "postgresql://u:p@db/x": "jdbc:postgresql://db:5432/x",
+        "postgresql://[::1]:1/x": "jdbc:postgresql://[::1]:1/x",
+    }.items():
+        assert tables.jdbc_options(url, "u", "p")["url"] == want
+    for url in ("mysql://h/db", "postgresql://", "postgresql:///db", "postgresql://host/"):
+        with pytest.raises(ValueError):
+            tables.jdbc_options(url, "u", "p")
