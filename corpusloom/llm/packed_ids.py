@@ -28,7 +28,7 @@ from corpusloom.llm.common import columns_of, scratch_path
 #: A block ends with the document that brings it to this number of ids.
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a task remembers at once.
-REMEMBERED_PIECES = 600_000
+REMEMBERED_PIECES = 400_000
 #: Texts that a task takes in hand at once.
 TEXTS = 128
 #: Bytes of text that one shard is to hold, about.
