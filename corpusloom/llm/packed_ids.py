@@ -9,12 +9,15 @@ in its block with the largest ``first``, at bit ``width * (i - start - first)``.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -29,8 +32,8 @@ from corpusloom.llm.common import columns_of, scratch_path
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a task remembers at once.
 REMEMBERED_PIECES = 400_000
-#: Texts that a task takes in hand at once.
-TEXTS = 128
+#: Code points of a remembered piece, at most.
+LONGEST_REMEMBERED = 64
 #: Bytes of text that one shard is to hold, about.
 SHARD_BYTES = 64 << 20
 
@@ -65,25 +68,76 @@ def unpack(bits: bytes, width: int, start: int, stop: int) -> np.ndarray:
 
 #: White space other than spaces and line ends.
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Letters and marks whose class no version of Unicode changes; pieces of other signs are left to the library whole.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0400-\u0481"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+_ID = attrgetter("id")
+
+
+class _ByteSigns(dict):
+    """The signs of a byte-level vocabulary for a character: printable Latin-1 stands for itself, the others follow U+0100."""
+
+    def __init__(self):
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = {x: 256 + n for n, x in enumerate(x for x in range(256) if x not in plain)}
+        self.of_byte = [chr(others.get(x, x)) for x in range(256)]
+
+    def __missing__(self, character: str) -> str:
+        self[character] = found = "".join(self.of_byte[x] for x in character.encode())
+        return found
+
+
+class _Pieces(dict):
+    """Ids by piece: missing ones are computed, and beyond ``limit`` the half that was met last is forgotten."""
+
+    def __init__(self, compute: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.compute, self.limit = compute, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.compute(piece)
+        if len(piece) == 1 or (len(piece) <= LONGEST_REMEMBERED and "\n" not in piece):  # others hardly come again
+            if len(self) >= self.limit:
+                for late in [*islice(self, self.limit // 2, None)]:
+                    del self[late]
+            self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
     """Ids of texts as 32-bit little-endian bytes, each distinct piece of text encoded by the library once.
 
-    The byte-level pre-tokenizer never joins characters across a single space or line end between two other
-    characters, nor a word with a mark at its end, so texts are cut there, the library encodes the pieces
-    (a leading space stays with its piece), and their ids are put together.  Where white space meets white
-    space nothing is cut.  At most ``limit`` pieces are remembered.
+    The byte-level pre-tokenizer never joins characters across a single space between two other characters, so
+    texts are cut there (a leading space stays with its piece) and the ids of the pieces are put together.
+    Where white space meets white space nothing is cut.  A piece of plain letters, digits, marks and single line
+    ends is cut on by the pre-tokenizer's own pattern and its parts go straight to the library's model; all other
+    pieces, and all pieces under other pre-tokenizers, go through the whole library.  At most ``limit`` pieces are
+    remembered; when they grow beyond it, the half that was met first stays.
     """
 
-    _MARKS = frozenset(".,;:!?")
-
     def __init__(self, tokenizer_path: str, limit: int = REMEMBERED_PIECES):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), limit
-        self.known: dict[str, bytes] = {}
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model, self.signs = self.tokenizer.model, _ByteSigns()
+        self.known = _Pieces(self._of_piece, limit)
+        self.plain = self._plain_pieces()
+        # The fixed pattern of byte-level tokenizers, over the signs of a plain piece.
+        marks = re.escape(_MARKS)
+        self.part = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{marks}]+|\n")
+
+    def _plain_pieces(self) -> re.Pattern | None:
+        """What pieces may be cut by the pattern, if the tokenizer is a byte-level one; none with a sign that begins an added token."""
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        begins = {t["content"][:1] for t in made["added_tokens"]}
+        if made["normalizer"] or made["model"]["type"] != "BPE" or made["model"].get("dropout") or before.get("type") != "ByteLevel":
+            return None
+        if before.get("add_prefix_space") or not before.get("use_regex", True) or not begins <= set(_MARKS):
+            return None
+        signs = f"{_LETTERS}0-9{re.escape(''.join(m for m in _MARKS if m not in begins))}"
+        return re.compile(f" ?[{signs}]+(?:\n[{signs}]+)*")
 
     def pieces(self, text: str) -> list[str]:
         """The text cut before each space, where the neighbours allow it."""
@@ -101,53 +155,17 @@ class PieceEncoder:
                 out[-1] = last + piece
         return [x for x in out if x]
 
-    def units(self, piece: str) -> list[str]:
-        """The piece cut at line ends and before a mark that ends a word."""
-        lines, out = piece.split("\n"), []
-        if any(not x or x[-1].isspace() or (x[0].isspace() and (k or x[1:2].isspace() or len(x) == 1)) for k, x in enumerate(lines)):
-            return [piece]
-        for k, line in enumerate(lines):
-            if k:
-                out.append("\n")
-            word = line[:-1]
-            out += [word, line[-1]] if line[-1] in self._MARKS and word.removeprefix(" ").isalpha() else [line]
-        return out
-
-    def _learn(self, units: list[str]) -> None:
-        """Encode units: those without white space at either end as the lines of one text, the others each alone."""
-        alone = [u for u in units if "\n" in u or u[-1].isspace() or (u[0].isspace() and (u[0] != " " or u[1].isspace()))]
-        lines = [*set(units).difference(alone)] if alone else units
-        if len(self.line_end) != 1:
-            alone, lines = units, []
-        for at in range(0, len(alone), 4096):
-            some = alone[at : at + 4096]
-            for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[unit] = array("I", found.ids).tobytes()
-        for at in range(0, len(lines), 4096):
-            some = lines[at : at + 4096]
-            (found,) = self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_end[0])
-            raw, starts, ends = ids.tobytes(), (np.r_[-1, cuts] + 1) * 4, np.r_[cuts, len(ids)] * 4
-            self.known.update(zip(some, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], strict=True))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        every = set().union(*cut)
-        fresh = every.difference(self.known)
-        if len(self.known) + len(fresh) > self.limit:
-            self.known, fresh = {}, every
-        marks = self._MARKS
-        made = {p: self.units(p) for p in fresh if p[-1] in marks or "\n" in p}
-        fresh.difference_update(made)
-        known, new = self.known, [*fresh.union(*made.values()).difference(self.known)]
-        self._learn(new)
-        known.update({p: b"".join(map(known.__getitem__, units)) for p, units in made.items()})
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in made:  # pieces over a line end hardly come again
-            if "\n" in piece and len(piece) > 1:
-                del known[piece]
-        return out
+    def _of_piece(self, piece: str) -> bytes:
+        if self.plain is None or self.plain.fullmatch(piece) is None:
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        parts = self.part.findall(piece)
+        if len(parts) > 1:
+            return b"".join([self.known[x] for x in parts])
+        found = self.model.tokenize("".join(map(self.signs.__getitem__, piece)))
+        return array("I", map(_ID, found)).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
 
 def write_packed(
@@ -195,19 +213,16 @@ def write_packed(
             )
 
         for batch in batches:
-            for at in range(0, len(batch), TEXTS):
-                part = batch.slice(at, TEXTS)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for name, coded in zip(part.column(0).to_pylist(), encoder.encode_many(texts)):
-                    coded += closing
-                    ids.append(coded)
-                    names.append(name)
-                    lengths.append(len(coded) // 4)
-                    held += len(coded) // 4
-                    if held >= block_ids:
-                        yield row()
-                        block, first = block + 1, first + held
-                        ids, names, lengths, held = [], [], [], 0
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                coded = encoder.encode(text.as_py() or "") + closing
+                ids.append(coded)
+                names.append(name)
+                lengths.append(len(coded) // 4)
+                held += len(coded) // 4
+                if held >= block_ids:
+                    yield row()
+                    block, first = block + 1, first + held
+                    ids, names, lengths, held = [], [], [], 0
         if names:
             yield row()
 
