@@ -34,6 +34,8 @@ BLOCK_IDS = 1 << 16
 REMEMBERED_PIECES = 300_000
 #: Code points of a remembered piece, at most.
 LONGEST_REMEMBERED = 64
+#: Texts that travel to a task's Python worker at once.
+BATCH_ROWS = 500
 #: Bytes of text that one shard is to hold, about.
 SHARD_BYTES = 64 << 20
 
@@ -228,7 +230,12 @@ def write_packed(
 
     shards = max(1, -(-size // shard_bytes), min(spark.sparkContext.defaultParallelism, size >> 20))
     ordered = rows.repartitionByRange(int(shards), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(packed, BLOCKS).write.parquet(f"{path}/blocks")
+    batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    try:
+        ordered.mapInArrow(packed, BLOCKS).write.parquet(f"{path}/blocks")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
     sums = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     sums.select(
@@ -237,6 +244,12 @@ def write_packed(
     return path
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one: a row holds a whole block, so only one is copied at a time."""
+    for at in range(len(batch)):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
 def _located(spark: SparkSession, path: str) -> DataFrame:
     shards = spark.read.schema("shard int, start long, n_ids long, width int").parquet(f"{path}/shards")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
@@ -249,7 +262,7 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.to_pylist():
+            for b in _rows(batch):
                 ids = unpack(b["bits"], b["width"], 0, b["n_ids"])
                 ends = np.cumsum(b["lengths"])
                 starts = ends - np.array(b["lengths"])
@@ -273,7 +286,7 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.to_pylist():
+            for b in _rows(batch):
                 ids = unpack(b["bits"], b["width"], 0, b["n_ids"])
                 ends = np.cumsum(b["lengths"])
                 starts = ends - np.array(b["lengths"])
