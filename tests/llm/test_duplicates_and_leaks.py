@@ -85,6 +85,40 @@ def test_links_connect_all_pairs_of_a_crowd(spark, d, list_rows):
     assert len(got) < len(want)
 
 
+def test_wide_fingerprints():
+    assert simhash.fingerprint_of(b"a b c d e".split(), 4, 42, 4)[0] == simhash.fingerprint_of(b"a b c d e".split(), 4, 42)[0]
+    sets = simhash.index_sets(46, 4, 8)
+    groups = [{p for s in sets for p in s if s[0] % 7 == g} for g in range(7)]
+    assert len(sets) == sum(len(g) * (len(g) - 1) // 2 for g in groups) == 58
+
+
+@pytest.mark.parametrize("list_rows", [8192, 12])
+def test_similar_texts_meet(spark, docs, list_rows):
+    """Copies with an edited word every hundred fall together, unrelated texts do not; extra columns and nulls do no harm."""
+    long = docs.filter("size(split(text, ' ')) >= 100").dropDuplicates(["text"])
+    edited = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when(i % 100 == F.col("k") * 7 + 5, F.lit("edit")).otherwise(w)), " ")
+    copies = long.crossJoin(spark.range(12).toDF("k")).select((F.col("doc_id") * 100 + F.col("k") + 1).alias("doc_id"), edited.alias("text"))
+    rows = long.select((F.col("doc_id") * 100).alias("doc_id"), "text").union(copies).union(spark.createDataFrame([(-5, None), (-4, "")], "doc_id long, text string"))
+    got = simhash.near_duplicates(rows.withColumn("w0", F.lit("x")), list_rows=list_rows, **simhash.SIMILAR).collect()
+
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {r["doc_id"]: grams(r["text"]) for r in rows.collect()}
+    named = {r["doc_id"]: r["component_id"] for r in got}
+    originals = [d for d in sets if d > 0 and d % 100 == 0]
+    together = [named[d] == named[d + k] for d in originals for k in range(1, 13) if len(sets[d] & sets[d + k]) >= 0.8 * len(sets[d] | sets[d + k])]
+    assert len(together) > 100 and sum(together) >= 0.99 * len(together)
+    assert named[-5] == named[-4] == -5
+    members = {}
+    for d, c in named.items():
+        members.setdefault(c, []).append(d)
+    for group in members.values():  # no member is without a similar one
+        for x in group:
+            assert len(group) == 1 or not sets[x] or max(len(sets[x] & sets[y]) / len(sets[x] | sets[y]) for y in group if y != x) >= 0.6
+
+
 def test_one_of_each_group(spark, odd_docs, docs, no_docs):
     for df in (odd_docs, docs):
         kept = simhash.one_of_each_group(df)
