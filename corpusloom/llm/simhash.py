@@ -323,20 +323,30 @@ def near_duplicates(
     never the smallest, and a component of null ids alone has a null name.  An empty table gives an empty
     result; other columns are ignored.
     """
+    found = _grouped(docs, doc_id, text, shingle, max_bits, seed, list_rows, words, least_equal, repeats)
+    return found.select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, max_bits: int, seed: int, list_rows: int, words: int, least_equal: int | None, repeats: bool) -> DataFrame:
+    """``near_duplicates`` with ``text_hash`` and ``root``, the name of the group."""
     rows = columns_of(docs, [doc_id, text]).select(
-        F.col(f"`{doc_id}`").alias("doc_id"), fingerprint(F.col(f"`{text}`"), shingle, seed, words, repeats).alias("own")
+        F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), fingerprint(F.col(f"`{text}`"), shingle, seed, words, repeats).alias("own")
     )
     columns = ["fp"] if words == 1 else [f"w{k}" for k in range(words)]
     own = [F.col("own")[0].alias("fp"), *([F.col("own")[k + 1].alias(c) for k, c in enumerate(columns)] if words > 1 else [])]
-    prints = settled(rows.select("doc_id", *own), "fingerprints")
+    prints = settled(rows.select("doc_id", "text_hash", *own), "fingerprints")
     same = [F.max(c).alias(c) for c in columns if c != "fp"]
     nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows"), *same), "fingerprint-nodes")
     roots = settled(connected(fingerprint_links(nodes, max_bits, list_rows, columns, least_equal)), "fingerprint-roots")
-    prints = prints.select("doc_id", "fp")
+    return _named(prints.select("doc_id", "text_hash", "fp"), nodes, roots)
+
+
+def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Give ``rows`` of fingerprints ``fp`` the root of their group and its smallest id."""
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n_rows", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    facts = settled(rooted.join(names, "root").select("fp", "n_rows", "component_id"), "fingerprint-components")
-    return join_by_unique_key(prints, facts, "fp", "n_rows").select("doc_id", "fp", "component_id")
+    facts = settled(rooted.join(names, "root").select("fp", "n_rows", "component_id", "root"), "fingerprint-components")
+    return join_by_unique_key(rows, facts, "fp", "n_rows")
 
 
 def fingerprint_text(fp: Column) -> Column:
@@ -349,13 +359,15 @@ def fingerprint_text(fp: Column) -> Column:
 SIMILAR = {"shingle": 5, "words": 4, "max_bits": 44, "least_equal": 8, "repeats": False}
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (columns ``doc_id, text`` and any more) that stay: of each group the smallest id.
+def one_of_each_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42, list_rows: int = LIST_ROWS, words: int = 1, least_equal: int | None = None, repeats: bool = True) -> DataFrame:
+    """The rows of ``docs`` (columns ``doc_id, text`` and any more) that stay: exactly one of each group.
 
-    Rows that share an id are one document, of which one row stays; of rows with a null id, those of groups
-    without any id count as one document.
+    It is the row of the smallest id, of several texts with that id the one of the smallest hash; a row without an
+    id stays only in a group without any.  Groups are told apart by their texts, never by their ids.
     """
-    found = near_duplicates(docs, **options)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    found = _grouped(docs, "doc_id", "text", shingle, max_bits, seed, list_rows, words, least_equal, repeats)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    kept = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_kept"), F.col("first.text_hash").alias("_kept_hash"))
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    stay = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_text_hash") == F.col("_kept_hash")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")

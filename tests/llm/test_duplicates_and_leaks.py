@@ -129,6 +129,18 @@ def test_one_of_each_group(spark, odd_docs, docs, no_docs):
     assert simhash.one_of_each_group(no_docs).count() == 0
 
 
+def test_one_of_each_group_whatever_the_ids(spark):
+    """Clean rows that lack an id or share one all stay, and each group keeps one row."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (None, texts[5]), (6, texts[5]), (7, texts[6]), (7, texts[6])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, extra long")
+    for options in ({}, simhash.SIMILAR):
+        kept = simhash.one_of_each_group(df, **options)
+        assert kept.columns == df.columns
+        got = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+        assert got == sorted([*[("None", t) for t in texts[:3]], ("5", texts[3]), ("5", texts[4]), ("6", texts[5]), ("7", texts[6])])
+
+
 def test_components(spark):
     links = [(1, 2), (2, 1), (3, 2), (5, 5), (None, 4), (9, 8), (8, 7)] + [(k, k + 1) for k in range(100, 300)] + [(1000, k) for k in range(1001, 1200)]
     got = {r[0]: r[1] for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
