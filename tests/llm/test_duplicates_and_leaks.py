@@ -119,6 +119,35 @@ def test_similar_texts_meet(spark, docs, list_rows):
             assert len(group) == 1 or not sets[x] or max(len(sets[x] & sets[y]) / len(sets[x] | sets[y]) for y in group if y != x) >= 0.6
 
 
+def test_lone_pairs(spark, monkeypatch):
+    """An original with one copy: together from 0.8 on, apart below; very short texts; a crowd compared in parts."""
+    rng = np.random.default_rng(3)
+
+    def pair(shared, own, k):  # similarity shared / (shared + 2 own), words without repeats
+        words = [f"p{k}x{i}" for i in range(shared + 4)]
+        return [" ".join([*words, *(f"p{k}{side}{i}" for i in range(own))]) for side in "ab"]
+
+    pairs = [pair(8 * m, m, k) for k, m in enumerate(rng.integers(1, 60, 250))]  # 0.8
+    pairs += [pair(85 * m, 8 * m, 1000 + m) for m in range(1, 6)]  # 0.84
+    pairs += [pair(78 * m, 11 * m, 2000 + m) for m in range(1, 7)] + [pair(70, 14, 3000 + k) for k in range(40)]  # 0.78, 0.71
+    pairs += [(" ".join(f"s{k}x{i}" for i in range(8)), " ".join(f"s{k}x{i}" for i in range(9))) for k in range(120)]  # 4 of 5
+    pairs += [(" ".join(f"u{k}x{i}" for i in range(7)), " ".join(f"u{k}x{i}" for i in range(8))) for k in range(30)]  # 3 of 4
+    want = [a for n, yes in ((250 + 5, True), (6 + 40, False), (120, True), (30, False)) for a in [yes] * n]
+    rows = [(2 * k + side, text) for k, two in enumerate(pairs) for side, text in enumerate(two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    named = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, **simhash.SIMILAR).collect()}
+    assert [named[2 * k] == named[2 * k + 1] for k in range(len(pairs))] == want
+    assert simhash.one_of_each_group(df, **simhash.SIMILAR).count() == len(rows) - sum(want)
+
+    monkeypatch.setattr(simhash, "WHOLE_ROWS", 4)
+    base = [f"c{i}" for i in range(60)]
+    crowd = [(k, " ".join([*base[:k], "edit", *base[k + 1 :]])) for k in range(60)] + [(60, " ".join(base)), (61, " ".join(base[:46]))]
+    got = simhash.near_duplicates(spark.createDataFrame(crowd, "doc_id long, text string"), **simhash.SIMILAR).collect()
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in crowd]
+    roots = reach(len(crowd), [(a, b) for a, b in combinations(range(len(crowd)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9])
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(roots))
+
+
 def test_one_of_each_group(spark, odd_docs, docs, no_docs):
     for df in (odd_docs, docs):
         kept = simhash.one_of_each_group(df)
