@@ -146,46 +146,47 @@ def leaks_column(text: Column, benchmark: DataFrame, shingle: int = SHINGLE, thr
 
 
 def _joined_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """For a benchmark of any size: shingle hashes of documents meet the sketches in a join, then texts are verified."""
+    """``doc_key, item_key, n_shingles, n_shared`` for a benchmark of any size; keys are hashes of the texts.
+
+    Shingle hashes of documents meet the sketches in a join, then texts are verified, each text once.
+    """
 
     def sketched(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in rows:
             out = []
-            for item_id, text in zip(part["item_id"], part["text"]):
-                out += [(item_id, n, int(np.uint64(v).view(np.int64))) for n, v in Items([(item_id, text)], shingle, threshold).owners]
-            yield pd.DataFrame(out, columns=["item_id", "n", "value"])
+            for key, text in zip(part["item_key"], part["text"]):
+                out += [(key, n, int(np.uint64(v).view(np.int64))) for n, v in Items([(key, text)], shingle, threshold).owners]
+            yield pd.DataFrame(out, columns=["item_key", "n", "value"])
 
     def hashed(lengths: list[int]):
         def of(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = Remembered(_word_hash, 200_000)
             for part in rows:
-                for doc_id, text in zip(part["doc_id"], part["text"]):
+                for key, text in zip(part["doc_key"], part["text"]):
                     words = plain_words(text)
                     hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
                     for n in lengths:
                         values = np.unique(shingle_hashes(hashes, n)).view(np.int64)
-                        yield pd.DataFrame({"doc_id": pd.array([doc_id] * len(values), "Int64"), "n": n, "value": values})
+                        yield pd.DataFrame({"doc_key": np.full(len(values), key, np.int64), "n": n, "value": values})
 
         return of
 
     def verified(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in rows:
             out = []
-            for doc_id, text, item_id, item in zip(part["doc_id"], part["text"], part["item_id"], part["item"]):
-                out += [(doc_id, *x) for x in _finder(Items([(item_id, item)], shingle, threshold))(text)]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_shingles", "n_shared"])
+            for doc_key, text, item_key, item in zip(part["doc_key"], part["text"], part["item_key"], part["item"]):
+                out += [(doc_key, *x) for x in _finder(Items([(item_key, item)], shingle, threshold))(text)]
+            yield pd.DataFrame(out, columns=["doc_key", "item_key", "n_shingles", "n_shared"])
 
     from corpusloom.llm.common import settled
 
-    items = columns_of(benchmark, ["item_id", "text"])
-    sketches = settled(items.mapInPandas(sketched, "item_id long, n int, value long"), "sketches")
+    items = benchmark.select(F.xxhash64("text").alias("item_key"), "text").dropDuplicates(["item_key"])
+    rows = docs.select(F.xxhash64("text").alias("doc_key"), "text")
+    sketches = settled(items.mapInPandas(sketched, "item_key long, n int, value long"), "sketches")
     lengths = [r[0] for r in sketches.select("n").distinct().collect()]  # at most `shingle` numbers
-    pairs = (
-        docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).mapInPandas(hashed(lengths), "doc_id long, n int, value long")
-        .join(sketches, ["n", "value"]).select("doc_id", "item_id").distinct()
-    )
-    texts = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
-    return texts.mapInPandas(verified, "doc_id long, item_id long, n_shingles long, n_shared long")
+    pairs = rows.mapInPandas(hashed(lengths), "doc_key long, n int, value long").join(sketches, ["n", "value"]).select("doc_key", "item_key").distinct()
+    texts = pairs.join(rows.dropDuplicates(["doc_key"]), "doc_key").join(items.withColumnRenamed("text", "item"), "item_key")
+    return texts.mapInPandas(verified, "doc_key long, item_key long, n_shingles long, n_shared long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -193,14 +194,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, thresho
 
     Texts are compared by lower-cased runs of letters and digits.  An item of fewer words than a shingle is one
     shingle; an item or document without words (or null) matches nothing.  Repeated documents or items give
-    repeated rows; a null ``doc_id`` is reported as null while the benchmark is small enough to be broadcast
-    and left out beyond; empty tables give an empty result; other columns are ignored.
+    repeated rows; a null ``doc_id`` or ``item_id`` is reported as null; empty tables give an empty result; other
+    columns are ignored.
     """
     rows = columns_of(docs, ["doc_id", "text"])
     if fits(benchmark):
         found = rows.select("doc_id", F.explode(leaks_column(F.col("text"), benchmark, shingle, threshold)).alias("x")).select("doc_id", "x.*")
     else:
-        found = _joined_leaks(rows, benchmark, shingle, threshold)
+        keyed = benchmark.select("item_id", F.xxhash64("text").alias("item_key"))
+        found = rows.select("doc_id", F.xxhash64("text").alias("doc_key")).join(_joined_leaks(rows, benchmark, shingle, threshold), "doc_key").join(keyed, "item_key")
+        found = found.select("doc_id", "item_id", "n_shingles", "n_shared")
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
@@ -208,4 +211,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     """The rows of ``docs`` (columns ``doc_id, text`` and any more) that hold no item."""
     if fits(benchmark):
         return docs.filter(F.size(leaks_column(F.col("text"), benchmark, shingle, threshold)) == 0)
-    return docs.join(leaks(docs, benchmark, shingle, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    leaking = _joined_leaks(docs, benchmark, shingle, threshold).select(F.col("doc_key").alias("_doc_key")).distinct()
+    return docs.withColumn("_doc_key", F.xxhash64("text")).join(leaking, "_doc_key", "left_anti").select(*docs.columns)

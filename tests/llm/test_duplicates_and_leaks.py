@@ -227,3 +227,19 @@ def test_leaks(spark, docs, odd_docs, no_docs, monkeypatch, broadcast):
     assert sorted(str(r[0]) for r in kept.collect()) == sorted(str(r[0]) for r in texts.collect() if str(r[0]) not in held)
     assert decontamination.leaks(no_docs, items).count() == 0
     assert decontamination.leaks(texts, items.limit(0)).count() == 0
+
+
+def test_leaks_are_the_same_beyond_the_broadcast(spark, monkeypatch):
+    """Null and shared ids, repeated rows and items: both paths judge each row by its own text."""
+    leak, clean = "the quick brown fox jumps over a lazy dog", "nothing of the sort is said in this text"
+    rows = [(None, leak, 0), (None, clean, 1), (1, leak, 2), (1, clean, 3), (2, leak, 4), (2, leak, 5), (3, None, 6), (4, clean, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own long")
+    items = spark.createDataFrame([(None, leak.upper()), (7, leak), (7, leak), (7, "unseen words"), (8, None)], "item_id long, text string")
+    results = []
+    for most in (decontamination.BROADCAST_ITEMS, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_ITEMS", most)
+        found = sorted(map(str, decontamination.leaks(docs, items).collect()))
+        kept = decontamination.without_leaks(docs, items)
+        assert kept.columns == docs.columns
+        results.append((found, sorted(map(str, kept.collect()))))
+    assert results[0] == results[1] and len(results[0][0]) == 4 * 3 and len(results[0][1]) == 4
