@@ -47,7 +47,7 @@ def shape(text: str | None) -> np.ndarray:
     shares = counts / len(raw)
     words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
     n = max(1, len(words))
-    upper = sum(1 for c in text if c.isupper()) / max(1, sum(1 for c in text if c.isalpha())) if len(text) <= 20_000 else counts[2] / max(1, counts[1] + counts[2])
+    upper = sum(1 for c in text if c.isupper()) / max(1, sum(1 for c in text if c.isalpha()))
     return np.array([*shares, upper, len(set(words)) / n, len(set(lines)) / max(1, len(lines)), np.log1p(len(words)) / 10, min(len(raw) / n, 40) / 40, 1.0])
 
 

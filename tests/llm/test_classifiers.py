@@ -117,3 +117,8 @@ def test_stages_keep_columns(spark):
         if name == "toxicity":
             assert 0.8 * n < docs.count() < n
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+def test_capitals_are_counted_alike_at_every_length():
+    for text in ("ΑΒΓδ εζ a ", "Привет МИР ok ", "Ünder ÄÖ x "):
+        assert abs(quality.shape(text)[10] - quality.shape(text * 5000)[10]) < 1e-12
