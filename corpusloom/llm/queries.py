@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontamination, mixing, neighbours, packed_ids, personal_data, quality, simhash, token_counts, toxicity
+from corpusloom.llm import chat, decontamination, mixing, neighbours, packed_ids, personal_data, quality, repeats, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,6 +100,11 @@ def op10(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source")
 
 
+@query("op13_repeated_passages")
+def op13(spark, folder):
+    return repeats.removal_facts(repeats.without_repeats(table(spark, folder, "documents")))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     top = str(Path(__file__).resolve().parents[2])
