@@ -211,5 +211,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     """The rows of ``docs`` (columns ``doc_id, text`` and any more) that hold no item."""
     if fits(benchmark):
         return docs.filter(F.size(leaks_column(F.col("text"), benchmark, shingle, threshold)) == 0)
-    leaking = _joined_leaks(docs, benchmark, shingle, threshold).select(F.col("doc_key").alias("_doc_key")).distinct()
-    return docs.withColumn("_doc_key", F.xxhash64("text")).join(leaking, "_doc_key", "left_anti").select(*docs.columns)
+    leaking = _joined_leaks(docs, benchmark, shingle, threshold).select("doc_key").distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("doc_key"))
+    return keyed.join(leaking, "doc_key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

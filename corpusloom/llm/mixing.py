@@ -122,34 +122,56 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with the columns of ``docs`` (``doc_id, text, source`` and any more): each as often as taken.
 
     The one document of a source that the budget cuts gives its first words, joined by single spaces; a column
-    ``n_chars`` follows.  Repeated rows (id, source and text) share their words evenly, in whole words each.
-    Documents without words come once whenever their source is taken in whole at least once.
+    ``n_chars`` follows.  Repeated rows (id, source and text) give together all words that are taken of them: where the
+    budget cuts among them, the extra copies come from one of these rows.  Documents without words come once whenever
+    their source is taken in whole at least once.
     """
     columns = docs.columns
-    rows = docs.withColumn("_tie", F.xxhash64("text"))
-    chosen = (
+    # The caller's row travels in one column, so that its names never clash with these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", "source", F.xxhash64("text").alias("own"))
+    shares = settled(
         _mixed(docs, **options)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_tie").alias("_text"))
+        .groupBy(F.col("doc_id").alias("same_id"), F.col("source").alias("same_source"), F.col("_tie").alias("same_own"))
         .agg(
-            F.max("size").alias("_size"),
-            F.floor(F.sum("taken") / F.count("*")).alias("_taken"),
-            F.max(F.round("target") >= F.col("source_size")).alias("_whole"),
-        )
-    )
-    joined = rows.join(
-        chosen,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_tie") == F.col("_text")),
+            F.max("size").alias("size"), F.sum("taken").alias("words"), F.count("*").alias("rows"),
+            F.max(F.round("target") >= F.col("source_size")).alias("whole"),
+        ),
+        "mix-shares",
     )
-    full = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.col("_whole").cast("int"))
-    part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(F.lit(0))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    cut = F.when(F.col("_words") < 0, F.col("text")).otherwise(
-        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest(F.lit(1), F.col("_words")).cast("int")), " ")
+    same = F.col("doc_id").eqNullSafe(F.col("same_id")) & F.col("source").eqNullSafe(F.col("same_source")) & (F.col("own") == F.col("same_own"))
+    even = F.col("words") % F.col("rows") == 0
+    # Words of each of the rows; where they don't divide, whole documents of each here and the rest below.
+    each = F.when(even, F.floor(F.col("words") / F.col("rows"))).otherwise(F.floor(F.col("words") / (F.col("rows") * F.col("size"))) * F.col("size"))
+    full = F.when(F.col("size") > 0, F.floor(each / F.col("size"))).otherwise(F.col("whole").cast("int"))
+    part = F.when(F.col("size") > 0, each % F.col("size")).otherwise(F.lit(0))
+    all_words = F.lit(-1).cast("long")
+    copies = F.concat(F.array_repeat(all_words, full.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    taken = rows.join(shares, same).select("row", F.explode(copies).alias("words"))
+    if shares.filter(~even).limit(1).count():
+        # One group of equal rows in a source at most: its rest is a number of whole documents and a part of one.
+        left = F.col("words") % (F.col("rows") * F.col("size"))
+        one = rows.join(shares.filter(~even), same).dropDuplicates(["doc_id", "source", "own"]).select("row", "size", left.alias("left"))
+        blocks = one.select("row", "size", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("left") / (F.col("size") * 1000)))).alias("block"))
+        more = blocks.repartition(F.col("block"), F.col("left")).select(
+            "row", F.explode(F.transform(F.sequence(F.col("block") * 1000, F.col("block") * 1000 + 999), lambda k: F.least(F.col("size"), F.col("left") - k * F.col("size")))).alias("some"), "size"
+        )
+        more = more.filter(F.col("some") > 0).select("row", F.when(F.col("some") == F.col("size"), all_words).otherwise(F.col("some")).alias("words"))
+        taken = taken.unionByName(more)
+    text = F.col("row").getField("text")
+    cut = F.when(F.col("words") < 0, text).otherwise(
+        F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest(F.lit(1), F.col("words")).cast("int")), " ")
     )
-    out = joined.withColumn("_words", F.explode(copies)).withColumn("text", cut)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    out = taken.select("row", "words", cut.alias("cut"))
+
+    def column(name):
+        if name == "text":
+            return F.col("cut").alias(name)
+        own = F.col("row").getField(name)
+        if name == "n_chars":
+            return F.when(F.col("words") < 0, own).otherwise(F.char_length("cut")).cast(docs.schema[name].dataType).alias(name)
+        return own.alias(name)
+
+    return out.select(*map(column, columns))
 
 
 MIX_SQL = """

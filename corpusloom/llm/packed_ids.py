@@ -12,10 +12,9 @@ from __future__ import annotations
 import json
 import os
 import re
-import tempfile
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 from operator import attrgetter
 
@@ -91,14 +90,21 @@ class _ByteSigns(dict):
 
 
 class _Pieces(dict):
-    """Ids by piece: missing ones are computed, and beyond ``limit`` the half that was met last is forgotten."""
+    """Ids of pieces: missing ones are computed, and beyond ``limit`` the half that was met last is forgotten.
 
-    def __init__(self, compute: Callable[[str], bytes], limit: int):
+    Holds all that computing takes and nothing that holds it, so it goes with its encoder at the end of a task.
+    """
+
+    def __init__(self, tokenizer, limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.tokenizer, self.model, self.limit, self.signs = tokenizer, tokenizer.model, limit, _ByteSigns()
+        self.plain = _plain_pieces(tokenizer)
+        # The fixed pattern of byte-level tokenizers, over the signs of a plain piece.
+        marks = re.escape(_MARKS)
+        self.part = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{marks}]+|\n")
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.compute(piece)
+        ids = self._ids(piece)
         if len(piece) == 1 or (len(piece) <= LONGEST_REMEMBERED and "\n" not in piece):  # others hardly come again
             if len(self) >= self.limit:
                 for late in [*islice(self, self.limit // 2, None)]:
@@ -106,6 +112,28 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def _ids(self, piece: str) -> bytes:
+        if self.plain is None or self.plain.fullmatch(piece) is None:
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        parts = self.part.findall(piece)
+        if len(parts) > 1:
+            return b"".join([self[x] for x in parts])
+        found = self.model.tokenize("".join(map(self.signs.__getitem__, piece)))
+        return array("I", map(_ID, found)).tobytes()
+
+
+def _plain_pieces(tokenizer) -> re.Pattern | None:
+    """What pieces may be cut by the pattern, if the tokenizer is a byte-level one; none with a sign that begins an added token."""
+    made = json.loads(tokenizer.to_str())
+    before = made["pre_tokenizer"] or {}
+    begins = {t["content"][:1] for t in made["added_tokens"]}
+    if made["normalizer"] or made["model"]["type"] != "BPE" or made["model"].get("dropout") or before.get("type") != "ByteLevel":
+        return None
+    if before.get("add_prefix_space") or not before.get("use_regex", True) or not begins <= set(_MARKS):
+        return None
+    signs = f"{_LETTERS}0-9{re.escape(''.join(m for m in _MARKS if m not in begins))}"
+    return re.compile(f" ?[{signs}]+(?:\n[{signs}]+)*")
+
 
 class PieceEncoder:
     """Ids of texts as 32-bit little-endian bytes, each distinct piece of text encoded by the library once.
@@ -118,28 +146,14 @@ class PieceEncoder:
     remembered; when they grow beyond it, the half that was met first stays.
     """
 
-    def __init__(self, tokenizer_path: str, limit: int = REMEMBERED_PIECES):
+    def __init__(self, tokenizer, limit: int = REMEMBERED_PIECES):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.model, self.signs = self.tokenizer.model, _ByteSigns()
-        self.known = _Pieces(self._of_piece, limit)
-        self.plain = self._plain_pieces()
-        # The fixed pattern of byte-level tokenizers, over the signs of a plain piece.
-        marks = re.escape(_MARKS)
-        self.part = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{marks}]+|\n")
-
-    def _plain_pieces(self) -> re.Pattern | None:
-        """What pieces may be cut by the pattern, if the tokenizer is a byte-level one; none with a sign that begins an added token."""
-        made = json.loads(self.tokenizer.to_str())
-        before = made["pre_tokenizer"] or {}
-        begins = {t["content"][:1] for t in made["added_tokens"]}
-        if made["normalizer"] or made["model"]["type"] != "BPE" or made["model"].get("dropout") or before.get("type") != "ByteLevel":
-            return None
-        if before.get("add_prefix_space") or not before.get("use_regex", True) or not begins <= set(_MARKS):
-            return None
-        signs = f"{_LETTERS}0-9{re.escape(''.join(m for m in _MARKS if m not in begins))}"
-        return re.compile(f" ?[{signs}]+(?:\n[{signs}]+)*")
+        if isinstance(tokenizer, bytes):
+            tokenizer = Tokenizer.from_buffer(tokenizer)
+        elif isinstance(tokenizer, str):
+            tokenizer = Tokenizer.from_file(tokenizer)
+        self.known = _Pieces(tokenizer, limit)
 
     def pieces(self, text: str) -> list[str]:
         """The text cut before each space, where the neighbours allow it."""
@@ -157,15 +171,6 @@ class PieceEncoder:
                 out[-1] = last + piece
         return [x for x in out if x]
 
-    def _of_piece(self, piece: str) -> bytes:
-        if self.plain is None or self.plain.fullmatch(piece) is None:
-            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        parts = self.part.findall(piece)
-        if len(parts) > 1:
-            return b"".join([self.known[x] for x in parts])
-        found = self.model.tokenize("".join(map(self.signs.__getitem__, piece)))
-        return array("I", map(_ID, found)).tobytes()
-
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
@@ -198,12 +203,7 @@ def write_packed(
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        with tempfile.NamedTemporaryFile(suffix=".json", delete=False) as copy:  # this task's own copy of the model
-            copy.write(model.value)
-        try:
-            encoder = PieceEncoder(copy.name)
-        finally:
-            os.unlink(copy.name)
+        encoder = PieceEncoder(model.value)
         shard = TaskContext.get().partitionId()
         block, first = 0, 0
         ids, names, lengths, held = [], [], [], 0

@@ -11,21 +11,25 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import columns_of
+from corpusloom.scale import top_per_group
 
 KINDS = ("email", "ip", "card", "phone")
 #: Digit groups of one segment, at most.
 LONGEST = 8
-#: Documents that training texts are taken from, and stretches of each, at most.
-SAMPLE_DOCS, SAMPLE_STRETCHES, MOST_STRETCHES = 600, 20, 1_500
+#: Stretches of digits that the field learns from, at most: of each kind of number, and without one.
+SAMPLE_STRETCHES = 400
 #: An added segment must win by this much over leaving its groups outside.
 MARGIN = 1.0
 
@@ -223,72 +227,101 @@ def train_field(stretches: list[tuple[str, int, int, list[Span]]], rounds: int =
     return {f: round(w, 6) for f, w in weights.items()}
 
 
-def _free(spans: list[Span], start: int, end: int) -> bool:
-    return all(end <= a or start >= b for _, a, b in spans)
+class _Taken:
+    """Spans that new ones must not touch, asked for in time that does not grow with their number."""
 
+    def __init__(self, spans: list[Span]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.ends = list(accumulate((b for _, b in ordered), max))
 
-def added_spans(text: str, base: list[Span], weights: dict[str, float]) -> list[Span]:
-    """Spans of the field that touch no base span."""
+    def free(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before == 0 or self.ends[before - 1] <= start
+
+
+def _numbers(text: str, taken: _Taken, weights: dict[str, float]) -> list[Span]:
     out: list[Span] = []
-    if not weights:
-        return out
-    ordered = sorted((a, b) for _, a, b in base)
     for m in _STRETCH.finditer(text):
         if m.end() - m.start() < 9 or sum(map(str.isdigit, m[0])) < 7:
             continue
-        groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
-        pieces, piece = [], []
-        for g in groups:  # base spans cut the stretch
-            if any(a < g[1] and g[0] < b for a, b in ordered):
-                pieces, piece = [*pieces, piece], []
-            else:
-                piece.append(g)
-        for piece in [*pieces, piece]:
+        pieces = [[]]
+        for g in _GROUP.finditer(text, *m.span()):  # base spans cut the stretch
+            if taken.free(*g.span()):
+                pieces[-1].append(g.span())
+            elif pieces[-1]:
+                pieces.append([])
+        for piece in pieces:
             if sum(b - a for a, b in piece) < 7:
                 continue
             for i, j, kind in decode(text, piece, weights, MARGIN):
                 start, end = piece[i][0], piece[j][1]
                 if start and text[start - 1] == "(" and ")" in text[start:end]:
                     start -= 1
-                if _free(base, start, end):
+                if taken.free(start, end):
                     out.append((kind, start, end))
+    return out
+
+
+def added_spans(text: str, base: list[Span], weights: dict[str, float]) -> list[Span]:
+    """Spans that touch no base span: those of the field, if it has weights, and masked addresses."""
+    taken = _Taken(base)
+    out = _numbers(text, taken, weights) if weights else []
+    numbers, masked = _Taken(out), 0
     for m in _MASK.finditer(text):
         start = m.start()
         while start > max(0, m.start() - 64) and text[start - 1] in _LOCAL:
             start -= 1
         found = _MASKED_DOMAIN.match(text, m.end())
-        if start < m.start() and found and _free([*base, *out], start, found.end()):
+        if start < m.start() and found and start >= masked and taken.free(start, found.end()) and numbers.free(start, found.end()):
             out.append(("email", start, found.end()))
+            masked = found.end()
     return out
 
 
-def stretches_of(text: str, most: int = SAMPLE_STRETCHES) -> list[tuple[str, int, int, list[Span]]]:
+def stretches_of(text: str) -> list[tuple[str, int, int, list[Span]]]:
     """Stretches of digits with some context and the base spans inside, for training."""
-    spans, out = base_spans(text), []
+    spans, out = sorted(base_spans(text), key=lambda s: s[1]), []
+    starts = [a for _, a, _ in spans]
     for m in _STRETCH.finditer(text):
         if sum(map(str.isdigit, m[0])) < 4 or m.end() - m.start() > 200:
             continue
         low, high = max(0, m.start() - 24), min(len(text), m.end() + 8)
-        inside = [(k, a - low, b - low) for k, a, b in spans if m.start() <= a and b <= m.end()]
-        out.append((text[low:high], m.start() - low, m.end() - low, inside))
-        if len(out) == most:
-            break
+        near = spans[bisect_left(starts, m.start()) : bisect_left(starts, m.end())]
+        out.append((text[low:high], m.start() - low, m.end() - low, [(k, a - low, b - low) for k, a, b in near if b <= m.end()]))
     return out
 
 
-def train(docs: DataFrame) -> dict[str, float]:
-    """Weights from at most ``SAMPLE_DOCS`` documents, those with the smallest hashed ids, in one place on the driver."""
-    rows = columns_of(docs, ["doc_id", "text"])
-    chosen = rows.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+def train(docs: DataFrame, most: int = SAMPLE_STRETCHES) -> dict[str, float]:
+    """Weights from at most ``most`` stretches of digits for each kind of number and as many without one.
+
+    All texts are searched for stretches; those with the smallest hashes of their context are taken, so a kind
+    that occurs anywhere is learned from and no document or source comes first.  Each task keeps ``most`` of a sort.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, dict[int, tuple]] = {}
         for batch in batches:
-            out = [(doc_id, s, a, b, [dict(zip(("kind", "start", "stop"), x)) for x in spans]) for doc_id, t in zip(batch["doc_id"], batch["text"]) if t for s, a, b, spans in stretches_of(t)]
-            yield pd.DataFrame(out, columns=["doc_id", "context", "start", "stop", "spans"])
-
-    schema = "doc_id long, context string, start int, stop int, spans array<struct<kind: string, start: int, stop: int>>"
-    found = rows.join(F.broadcast(chosen), "doc_id").mapInPandas(cut, schema).orderBy("doc_id", "context", "start").limit(MOST_STRETCHES).collect()
-    return train_field([(r["context"], r["start"], r["stop"], [(s["kind"], s["start"], s["stop"]) for s in r["spans"]]) for r in found])
+            for text in batch["text"]:
+                for context, start, stop, spans in stretches_of(text) if text else ():
+                    key = xxhash.xxh3_64_intdigest(context.encode()) >> 1
+                    row = (context, start, stop, [dict(zip(("kind", "start", "stop"), x)) for x in spans])
+                    for sort in {k for k, *_ in spans if k in NUMBERS} or {""}:
+                        rows = held.setdefault(sort, {})
+                        rows.setdefault(key, row)
+                        if len(rows) > 4 * most:
+                            held[sort] = {k: rows[k] for k in sorted(rows)[:most]}
+        out = [(sort, key, *rows[key]) for sort, rows in held.items() for key in sorted(rows)[:most]]
+        yield pd.DataFrame(out, columns=["sort", "key", "context", "start", "stop", "spans"])
+
+    schema = "sort string, key long, context string, start int, stop int, spans array<struct<kind: string, start: int, stop: int>>"
+    found = columns_of(docs, ["text"]).mapInPandas(cut, schema).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64)))
+    # Two steps, so that no task gets the rows of all others; equal contexts of two tasks meet in the first.
+    some = found.dropDuplicates(["sort", "key"])
+    some = top_per_group(some, ["sort", "part"], ["key"], most).drop("rank")
+    rows = top_per_group(some, ["sort"], ["key"], most).orderBy("key", "sort").collect()
+    stretches = {r["key"]: (r["context"], r["start"], r["stop"], [(s["kind"], s["start"], s["stop"]) for s in r["spans"]]) for r in rows}
+    return train_field(list(stretches.values()))
 
 
 def spans_column(spark, weights: dict[str, float], text: Column) -> Column:

@@ -118,7 +118,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Colu
     """
     weights = train(docs, labels, most)
     rows = docs.select(
-        "doc_id", F.xxhash64(F.lit(1), host).alias("host_key"), F.xxhash64(F.lit(2), host, path).alias("path_key"),
+        # A hash skips nulls: without the flags (a, null) and (null, a) would be one path.
+        "doc_id", F.xxhash64(F.lit(1), host.isNull(), host).alias("host_key"), F.xxhash64(F.lit(2), host.isNull(), host, path.isNull(), path).alias("path_key"),
         evidence(docs.sparkSession, weights, F.col("text")).alias("odds"),
     ).withColumn("own", 1 / (1 + F.exp(-F.col("odds"))))
     rows = settled(rows, "quality-evidence")

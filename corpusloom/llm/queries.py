@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontamination, mixing, neighbours, packed_ids, personal_data, quality, repeats, simhash, token_counts, toxicity
+from corpusloom.llm import chat, collocations, decontamination, mixing, neighbours, packed_ids, personal_data, quality, repeats, simhash, spelling, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,6 +100,16 @@ def op10(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source")
 
 
+@query("op11_collocations", collocations.COLLOCATIONS_SQL)
+def op11(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op12_spelling_variants")
+def op12(spark, folder):
+    return spelling.variant_groups(spelling.word_counts(table(spark, folder, "documents")))
+
+
 @query("op13_repeated_passages")
 def op13(spark, folder):
     return repeats.removal_facts(repeats.without_repeats(table(spark, folder, "documents")))

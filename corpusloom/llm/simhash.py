@@ -517,7 +517,8 @@ def one_of_each_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed
     """
     found = _grouped(docs, "doc_id", "text", shingle, max_bits, seed, list_rows, words, least_equal, repeats, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    kept = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_kept"), F.col("first.text_hash").alias("_kept_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    stay = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_text_hash") == F.col("_kept_hash")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    kept = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    # The caller's row travels in one column, so that its names never clash with these.
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    stay = hashed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
+    return stay.dropDuplicates(["own_id", "own_hash"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -23,6 +23,8 @@ from corpusloom.llm.linear import fit_logistic, sigmoid
 SAMPLE_ROWS = 8_000
 #: A feature is used if its rates in the two classes differ by so many standard errors.
 LEAST_Z = 4.0
+#: Features of the model, at most; those furthest apart.
+MOST_FEATURES = 20_000
 #: Weight of the penalty on score changes.
 SWAP_PENALTY = 1.0
 #: Code points of word beginnings.
@@ -70,22 +72,31 @@ def _features(words: set[str]) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """``text, y`` of at most ``most`` labelled documents outside the held-out fold, chosen by hashed id."""
-    chosen = (
+    """``doc_id, text, y`` of at most ``most`` labelled documents outside the held-out fold, chosen by hashed id.
+
+    Repeated rows of an id and text count once for each label; of an id with several texts each text is a document.
+    """
+    order = [F.xxhash64("doc_id"), "doc_id", "y", "own"]
+    labelled = (
         columns_of(labels, ["doc_id", label])
         .filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out("doc_id"))
         .select("doc_id", F.col(label).alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
+        .distinct()
+        .orderBy(*order[:3])
         .limit(most)
     )
-    return columns_of(docs, ["doc_id", "text"]).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = columns_of(docs, ["doc_id", "text"])
+    hashed = F.xxhash64(F.col("text").isNull(), "text").alias("own")
+    chosen = rows.join(F.broadcast(labelled), "doc_id").select("doc_id", hashed, "y").distinct().orderBy(*order).limit(most)
+    return rows.select("doc_id", "text", hashed).join(F.broadcast(chosen), ["doc_id", "own"]).dropDuplicates(["doc_id", "own", "y"]).select("doc_id", "text", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, most: int = SAMPLE_ROWS, penalty: float = SWAP_PENALTY) -> dict:
+def train(docs: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, most: int = SAMPLE_ROWS, penalty: float = SWAP_PENALTY, most_features: int = MOST_FEATURES) -> dict:
     """Weights by feature, and the intercept under the empty name.
 
-    Fitted on at most ``most`` rows (a documented bound); features are counted in tasks, and the driver gets
-    the features that tell the classes apart, and for each row which of them it has.  Without labelled rows
+    Fitted on at most ``most`` rows and ``most_features`` features, those that tell the classes apart best (documented
+    bounds of the fit); features are counted in tasks, and the driver gets these features, and for each row which of them
+    it has.  Without labelled rows
     of both classes every document gets the share of label 1 (one half without any).
     """
     swaps = {t: tuple(line) for line in terms for t in line}
@@ -110,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, terms: Sequence[Sequence[str]] = I
     pooled = (F.col("a") + F.col("b") + 1) / (n + 2)
     gap = F.col("a") / ones - F.col("b") / zeros
     apart = F.abs(gap) / F.sqrt(pooled * (1 - pooled) * (1 / ones + 1 / zeros))
-    telling = [r["f"] for r in counts.filter(apart >= LEAST_Z).orderBy(F.desc(apart), "f").limit(20_000).select("f").collect()]
+    telling = [r["f"] for r in counts.filter(apart >= LEAST_Z).orderBy(F.desc(apart), "f").limit(most_features).select("f").collect()]
     place = {f: k for k, f in enumerate(telling)}
     shared = docs.sparkSession.sparkContext.broadcast(place)
 
