@@ -8,6 +8,8 @@ and added up over the corpus, and partitions that are infrequent there are aband
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import LOWER_ASCII, settled
 from corpusloom.scale import top_per_group
 
-#: Bytes of text that are sorted together.
-BLOCK_BYTES = 12 << 20
+#: Bytes of text that are sorted together, and texts that are taken from a batch at once.
+BLOCK_BYTES, BATCH_TEXTS = 3 << 20, 256
+#: Phrases whose counts a task holds before it passes them on.
+HELD_PHRASES = 200_000
 #: Bits of the set of frequent phrases that tasks get: one bit for the hash of each, whatever their number.
 FILTER_BITS = 1 << 26
 
@@ -54,7 +58,7 @@ class Block:
         begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         sizes = np.array([len(t) + 1 for t in texts])
         text_of = np.searchsorted(np.cumsum(sizes), begins, side="right")
-        breaks = np.cumsum(kind == 2)[begins] if len(begins) else begins
+        breaks = np.cumsum(kind == 2, dtype=np.int32)[begins]
         offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data[word].tobytes())).dictionary_encode()
         self.vocabulary, self.ids = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -79,16 +83,17 @@ class Block:
 def _blocks(batches):
     langs, texts, size = [], [], 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            if not text:
-                continue
-            text = text.encode()
-            if texts and size + len(text) > BLOCK_BYTES:
-                yield Block(langs, texts)
-                langs, texts, size = [], [], 0
-            langs.append("und" if lang is None else lang)
-            texts.append(text)
-            size += len(text)
+        for at in range(0, batch.num_rows, BATCH_TEXTS):
+            some = batch.slice(at, BATCH_TEXTS)
+            for lang, text in zip(some.column("lang").to_pylist(), some.column("text").cast(pa.binary()).to_pylist()):
+                if not text:
+                    continue
+                if texts and size + len(text) > BLOCK_BYTES:
+                    yield Block(langs, texts)
+                    langs, texts, size = [], [], 0
+                langs.append("und" if lang is None else lang)
+                texts.append(text)
+                size += len(text)
     if texts:
         yield Block(langs, texts)
 
@@ -102,8 +107,9 @@ def split_three_ways(keys: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray,
     n = len(keys)
     order, starts = np.arange(n), np.zeros(n + 1, bool)
     starts[begins] = True
-    slots = np.arange(n)
-    group = np.cumsum(starts[:n]) - 1
+    group = np.cumsum(starts[:n], dtype=np.int32)
+    slots = np.flatnonzero(~(starts[:n] & np.concatenate([starts[1:n], [True]])))  # single keys are done
+    group = group[slots]
     chance = np.random.default_rng(1)
     while len(slots):
         values = keys[order[slots]]
@@ -133,24 +139,39 @@ def split_three_ways(keys: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray,
 
 
 def equal_partitions(block: Block, pointers: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """A pointer of each distinct phrase of ``depth`` words at ``pointers``, and the number of pointers to it."""
+    """A pointer of each distinct phrase of ``depth`` words at ``pointers``, and the number of pointers to it.
+
+    Pointers are dealt out by language and leading word; the quicksort splits them by the words after it.
+    """
     if not len(pointers):
         return pointers, pointers
-    order, begins = split_three_ways(block.lang[pointers], np.zeros(1, np.int64))
-    pointers = pointers[order]
-    for k in range(depth):
+    leading = block.lang[pointers] * len(block.vocabulary) + block.ids[pointers]
+    if depth == 1:
+        sizes = np.bincount(leading)
+        found = np.flatnonzero(sizes)
+        first = np.empty(len(sizes), np.int64)
+        first[leading] = pointers
+        return first[found], sizes[found]
+    dealt = np.argsort(leading, kind="stable")
+    pointers, leading = pointers[dealt], leading[dealt]
+    begins = np.flatnonzero(np.concatenate([[True], leading[1:] != leading[:-1]]))
+    for k in range(1, depth):
         order, begins = split_three_ways(block.ids[pointers + k], begins)
         pointers = pointers[order]
     return pointers[begins], np.diff(np.concatenate([begins, [len(pointers)]]))
 
 
-def _phrase_rows(block: Block, pointers, sizes, depth: int):
-    phrase = block.vocabulary.take(pa.array(block.ids[pointers]))
-    if depth > 1:
-        parts = [block.vocabulary.take(pa.array(block.ids[pointers + k])) for k in range(depth)]
-        phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+def _phrase_rows(block: Block, pointers, sizes, depth: int) -> pa.Table:
+    parts = [block.vocabulary.take(pa.array(block.ids[pointers + k])) for k in range(depth)]
+    phrase = parts[0] if depth == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
     langs = block.langs.take(pa.array(block.lang[pointers]))
-    return pa.RecordBatch.from_arrays([langs, phrase.cast(pa.string()), pa.array(sizes, pa.int64())], names=["lang", "phrase", "n"])
+    return pa.table([langs, phrase, pa.array(sizes, pa.int64())], names=["lang", "phrase", "n"])
+
+
+def _passed_on(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    if tables:
+        whole = pa.concat_tables(tables)
+        yield from pa.table([whole["lang"], whole["phrase"].cast(pa.string()), whole["n"]], names=["lang", "phrase", "n"]).to_batches(max_chunksize=50_000)
 
 
 _PHRASES = "lang string, phrase string, n long"
@@ -160,6 +181,7 @@ def _counts(depth: int, frequent=None):
     """Counts of the phrases of ``depth`` words whose two shorter halves may be frequent."""
 
     def counts(batches):
+        held, rows = [], 0
         for block in _blocks(batches):
             n = len(block.ids)
             keep = np.ones(n, bool)
@@ -169,13 +191,18 @@ def _counts(depth: int, frequent=None):
                 known = (bits[at >> 3] >> (at & 7)) & 1 == 1
                 for k in range(depth - 1):
                     keep[: n - k] &= block.joined[k:]
-                    keep[n - k :] = False
                 keep &= known
                 keep[:-1] &= known[1:]
                 keep[-(depth - 1) :] = False
-            pointers, sizes = equal_partitions(block, np.flatnonzero(keep), depth)
-            for at in range(0, len(pointers), 100_000):
-                yield _phrase_rows(block, pointers[at : at + 100_000], sizes[at : at + 100_000], depth)
+            found = _phrase_rows(block, *equal_partitions(block, np.flatnonzero(keep), depth), depth)
+            held, rows = [*held, found], rows + found.num_rows
+            if rows > HELD_PHRASES:
+                whole = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+                held, rows = [whole], whole.num_rows
+                if rows > HELD_PHRASES // 2:
+                    yield from _passed_on(held)
+                    held, rows = [], 0
+        yield from _passed_on(held)
 
     return counts
 
