@@ -26,8 +26,9 @@ from corpusloom.llm.common import LOWER_ASCII, Remembered, settled
 LETTERS = "A-Za-zÀ-ÿ"
 #: Parts that the elements of words are dealt to.
 PARTS = 6
-#: Words with the same signature that are compared one with another; more of them must share a spelling without one letter.
-CROWD = 32
+#: Words with the same signature that are compared one with another; more of them must share the first or the last half of
+#: their letters in order, and more than the second number all letters but one.
+CROWD, GREAT_CROWD = 32, 2000
 #: Elements whose frequency is counted: so many of one letter.
 COUNTED_REPEATS = 16
 #: Distinct words that a task counts before it passes them on.
@@ -128,36 +129,41 @@ def _signatures(part_of: dict):
     def signatures(batches):
         codes = Remembered(lambda e: xxhash.xxh3_64_intdigest(repr(e).encode()), 1 << 20)
         for batch in batches:
-            batch = batch.select(["word", "n"])
             for at in range(0, batch.num_rows, 10_000):
-                some = batch.slice(at, 10_000)
-                found = [signatures_of(w, part_of, codes) for w in some.column("word").to_pylist()]
-                if not found:
-                    continue
+                words = batch.column("word").slice(at, 10_000)
+                found = [signatures_of(w, part_of, codes) for w in words.to_pylist()]
                 each = len(found[0])
                 flat = np.array([s for row in found for s, _ in row], np.uint64).view(np.int64)
                 row = pa.array(np.repeat(np.arange(len(found)), each))
                 roles = np.array([r for _, r in found[0]] * len(found), np.int8)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat), pa.array(roles, pa.int8()), some.column("word").take(row), some.column("n").take(row)], names=["signature", "role", "word", "n"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(roles, pa.int8()), words.take(row)], names=["signature", "role", "word"])
 
     return signatures
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """``a, a_n, b, b_n``: each pair of ``words`` (``word, n``, distinct) that differ by one inserted, deleted or replaced code point.
+    """``a, b``: each pair of ``words`` (``word``, distinct) that differ by one inserted, deleted or replaced code point.
 
-    Signatures that more than ``CROWD`` words share are joined on the signature together with a spelling: the words
-    without one letter, and the shorter of two words itself, which at most as many words share as there are letters.
+    Signatures of one word alone, or of no word that is longer or shorter by one, are left out.  Of a crowd of words with
+    one signature those meet that share a half: one edit leaves the first or the last half of the shorter word as it was.
+    Of a great crowd those meet that are equal without one letter; as many words can be as there are letters.
     """
     counts = words.mapInArrow(_element_counts, "letter string, repeat int, n long").groupBy("letter", "repeat").agg(F.sum("n").alias("n"))
     part_of = dealt_parts([tuple(r) for r in counts.collect()])  # at most COUNTED_REPEATS rows a letter
-    signed = settled(words.select("word", "n").mapInArrow(_signatures(part_of), "signature long, role byte, word string, n long"), "spelling-signatures")
-    crowds = signed.groupBy("signature").agg(F.count("*").alias("size")).filter(F.col("size") > CROWD).select("signature", F.lit(True).alias("crowded"))
-
+    signed = settled(words.select("word").mapInArrow(_signatures(part_of), "signature long, role byte, word string"), "spelling-signatures")
+    shared = (
+        signed.groupBy("signature").agg(F.count("*").alias("size"), F.min("role").alias("least"), F.max("role").alias("most"))
+        .filter((F.col("size") > 1) & ((F.col("least") == SAME) | (F.col("least") < F.col("most")))).select("signature", "size")
+    )
+    size = F.char_length("word")
+    short = size - F.when(F.col("role") == LONGER, 1).otherwise(0)
+    half = F.floor(short / 2).cast("int")
+    halves = F.array(
+        F.xxhash64("signature", F.lit(1), F.substring("word", F.lit(1), half)),
+        F.xxhash64("signature", F.lit(2), F.substring("word", size - (short - half) + 1, size)),
+    )
     spelt = F.transform(
-        F.sequence(F.lit(1), F.char_length("word")),
+        F.sequence(F.lit(1), size),
         lambda i: F.xxhash64(
             F.col("signature"),
             F.when(F.col("role") == SAME, i).otherwise(0),
@@ -165,15 +171,17 @@ def near_words(words: DataFrame) -> DataFrame:
         ),
     )
     keys = (
-        F.when(F.col("crowded").isNull(), F.array("signature"))
+        F.when(F.col("size") <= CROWD, F.array("signature"))
+        .when(F.col("size") <= GREAT_CROWD, halves)
         .when(F.col("role") == SHORTER, F.array(F.xxhash64("signature", F.lit(0), "word")))
         .otherwise(F.array_distinct(spelt))
     )
-    keyed = settled(signed.join(crowds, "signature", "left").select(F.explode(keys).alias("key"), "role", "word", "n"), "spelling-keys")
-    a = keyed.filter(F.col("role") != LONGER).select("key", F.col("role").alias("a_role"), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    b = keyed.filter(F.col("role") != SHORTER).select("key", F.col("role").alias("b_role"), F.col("word").alias("b"), F.col("n").alias("b_n"))
-    roles = ((F.col("a_role") == SAME) & (F.col("b_role") == SAME) & (F.col("a") < F.col("b"))) | ((F.col("a_role") == SHORTER) & (F.col("b_role") == LONGER))
-    return a.join(b, "key").filter(roles & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n").distinct()
+    keyed = settled(signed.join(shared, "signature").select(F.explode(keys).alias("key"), "role", "word"), "spelling-keys")
+    a = keyed.filter(F.col("role") != LONGER).select("key", F.col("word").alias("a"))
+    b = keyed.filter(F.col("role") != SHORTER).select("key", F.col("word").alias("b"))
+    more = F.char_length("b") - F.char_length("a")
+    ordered = (more == 1) | ((more == 0) & (F.col("a") < F.col("b")))
+    return a.join(b, "key").filter(ordered & (F.levenshtein("a", "b", 1) == 1)).select("a", "b").distinct()
 
 
 def variant_groups(words: DataFrame, factor: int = 5) -> DataFrame:
@@ -183,14 +191,9 @@ def variant_groups(words: DataFrame, factor: int = 5) -> DataFrame:
     is ``factor`` times the word's or more; the root is where the forms lead, the word itself without a form.
     """
     words = settled(words.select("word", "n"), "spelling-words")
-    both = F.explode(F.array(
-        F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")),
-        F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")),
-    ))
-    best = (
-        near_words(words).select(both.alias("p")).select("p.*").groupBy("word")
-        .agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
-    )
+    both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"))))
+    found = near_words(words).select(both.alias("p")).select("p.*").join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    best = found.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
     strong = -F.col("best.less") >= factor * F.col("n")
     formed = settled(
         words.join(best, "word", "left").select(

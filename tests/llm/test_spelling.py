@@ -64,9 +64,10 @@ def vocabulary(seed):
     return words
 
 
-@pytest.mark.parametrize("crowd", [32, 2])
-def test_groups_equal_all_comparisons(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "great"), [(32, 2000), (2, 2000), (2, 4)])
+def test_groups_equal_all_comparisons(spark, monkeypatch, crowd, great):
     monkeypatch.setattr(spelling, "CROWD", crowd)
+    monkeypatch.setattr(spelling, "GREAT_CROWD", great)
     words = vocabulary(crowd)
     df = spark.createDataFrame(list(words.items()), "word string, n long")
     assert sorted(map(tuple, spelling.variant_groups(df).collect()), key=str) == plain_groups(words)
