@@ -21,9 +21,9 @@ from corpusloom.llm.common import LOWER_ASCII, settled
 from corpusloom.scale import top_per_group
 
 #: Bytes of text that are sorted together, and texts that are taken from a batch at once.
-BLOCK_BYTES, BATCH_TEXTS = 3 << 20, 256
-#: Phrases whose counts a task holds before it passes them on.
-HELD_PHRASES = 200_000
+BLOCK_BYTES, BATCH_TEXTS = 5 << 20, 256
+#: Words whose counts a task holds before it passes them on; longer phrases hardly come again in the next block.
+HELD_WORDS = 200_000
 #: Bits of the set of frequent phrases that tasks get: one bit for the hash of each, whatever their number.
 FILTER_BITS = 1 << 26
 
@@ -34,8 +34,7 @@ _KIND[list(_BREAKS)] = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _code(value: str) -> int:
-    return xxhash.xxh64_intdigest(value.encode())
+_code = xxhash.xxh64_intdigest
 
 
 def phrase_code(lang: str, phrase: str) -> int:
@@ -70,7 +69,7 @@ class Block:
 
     def phrase_codes(self, depth: int) -> np.ndarray:
         """:func:`phrase_code` of the ``depth`` words at each pointer; those at the end of the block are cut short."""
-        words, langs = (np.array([_code(v) for v in values.to_pylist()], np.uint64) for values in (self.vocabulary, self.langs))
+        words, langs = (np.fromiter(map(_code, values.to_pylist()), np.uint64, len(values)) for values in (self.vocabulary, self.langs))
         if not len(self.ids):
             return words
         out = langs[self.lang]
@@ -196,12 +195,12 @@ def _counts(depth: int, frequent=None):
                 keep[-(depth - 1) :] = False
             found = _phrase_rows(block, *equal_partitions(block, np.flatnonzero(keep), depth), depth)
             held, rows = [*held, found], rows + found.num_rows
-            if rows > HELD_PHRASES:
-                whole = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
-                held, rows = [whole], whole.num_rows
-                if rows > HELD_PHRASES // 2:
-                    yield from _passed_on(held)
-                    held, rows = [], 0
+            if depth == 1 and rows > HELD_WORDS:
+                held = [pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])]
+                rows = held[0].num_rows
+            if depth > 1 or rows > HELD_WORDS // 2:
+                yield from _passed_on(held)
+                held, rows = [], 0
         yield from _passed_on(held)
 
     return counts
@@ -239,16 +238,21 @@ def frequent_set(phrases: DataFrame, bits: int = FILTER_BITS) -> bytes:
     return bytes(out)
 
 
+def _summed(counts: DataFrame) -> DataFrame:
+    """Counts of the blocks added up; a block has a row for each phrase, so nothing is added before they are routed."""
+    return counts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
 def phrase_counts(docs: DataFrame, most_words: int = 3, least: int = 10) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, n`` of all phrases of up to ``most_words`` words with ``least`` occurrences, and ``lang, n`` of all words."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select("lang", "text")
-    words = settled(texts.mapInArrow(_counts(1), _PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "collocations-1")
+    words = settled(_summed(texts.mapInArrow(_counts(1), _PHRASES)), "collocations-1")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     found = [words.filter(F.col("n") >= least)]
     for depth in range(2, most_words + 1):
         shared = spark.sparkContext.broadcast(frequent_set(found[-1]))
-        counted = texts.mapInArrow(_counts(depth, shared), _PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        counted = _summed(texts.mapInArrow(_counts(depth, shared), _PHRASES))
         found.append(settled(counted.filter(F.col("n") >= least), f"collocations-{depth}"))
     every = None
     for depth, rows in enumerate(found, 1):
