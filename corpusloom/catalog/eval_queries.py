@@ -9,9 +9,8 @@ from corpusloom.catalog.fragments import (
     CHUNKS_SQL,
     QUESTIONS_SQL,
     SENTENCES_SQL,
-    chunks,
+    corpus,
     embed_text,
-    embedded_chunks,
     expected_chunks,
     questions,
     sql_keyword_hits,
@@ -76,8 +75,8 @@ scored AS (
 
 
 def _scored(spark, folder):
-    c, q = chunks(spark, folder), questions(spark, folder)
-    return evaluation.score_items(_items(spark, folder), expected_chunks(c, q), _by_item(keyword_topk(c, q, 10)))
+    c, q = corpus(spark, folder), questions(spark, folder)
+    return evaluation.score_items(_items(spark, folder), expected_chunks(c.chunks, q), _by_item(keyword_topk(c.keywords, q, 10)))
 
 
 @query(
@@ -110,7 +109,7 @@ def mean_metrics(spark, folder):
         SELECT quality::BIGINT AS quality, count(*)::BIGINT AS items, round(avg(reciprocal_rank), 9) AS mrr FROM scored JOIN tagged USING (item_id) GROUP BY 1""",
 )
 def metrics_by_quality(spark, folder):
-    c, q = chunks(spark, folder), questions(spark, folder)
+    c, q = corpus(spark, folder).chunks, questions(spark, folder)
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     expected = expected_chunks(c, q).withColumn("doc_id", F.regexp_extract("chunk_id", r"\A(\d+)-", 1).cast("long"))
     tagged = expected.join(labels, "doc_id").select("item_id", "quality").distinct()
@@ -128,7 +127,7 @@ labelled AS (
 
 
 def _labelled(spark, folder):
-    c, q = chunks(spark, folder), questions(spark, folder)
+    c, q = corpus(spark, folder).chunks, questions(spark, folder)
     expected = expected_chunks(c, q)
     source = join_small_side(c.select("chunk_id", "source"), expected, "chunk_id").groupBy("item_id").agg(
         F.min("source").alias("expected_source")
@@ -153,8 +152,8 @@ def _sql_first_hit(name: str, hits: str) -> str:
         SELECT item_id, first_rank::BIGINT AS first_hit_rank FROM benchmark LEFT JOIN firsts USING (item_id)""",
 )
 def source_snippet_ranks(spark, folder):
-    c = chunks(spark, folder)
-    hits = _by_item(with_chunk_text(keyword_topk(c, questions(spark, folder), 10), c, _items(spark, folder)))
+    c = corpus(spark, folder)
+    hits = _by_item(with_chunk_text(keyword_topk(c.keywords, questions(spark, folder), 10), c.chunks, _items(spark, folder)))
     ranks = evaluation.first_hit_ranks(_labelled(spark, folder), hits)
     return ranks.select("item_id", big("first_hit_rank").alias("first_hit_rank"))
 
@@ -180,11 +179,11 @@ def _sql_lists(name: str, hits: str) -> str:
         LEFT JOIN (SELECT DISTINCT query_id FROM khits) k ON k.query_id = b.item_id""",
 )
 def vector_hybrid_comparison(spark, folder):
-    c, q = embedded_chunks(spark, folder), questions(spark, folder)
-    v = vector_topk(c, q.withColumn("embedding", embed_text(F.col("query"))), 10)
-    k = keyword_topk(c, q, 10)
+    c, q = corpus(spark, folder), questions(spark, folder)
+    v = vector_topk(c.chunks, q.withColumn("embedding", embed_text(F.col("query"))), 10)
+    k = keyword_topk(c.keywords, q, 10)
     fused = fuse_two_lists(v, k, 10)
-    texts = chunks(spark, folder)
+    texts = c.chunks
     counts = evaluation.vector_hybrid_counts(
         _labelled(spark, folder), _by_item(with_chunk_text(v, texts, q)), _by_item(k), _by_item(with_chunk_text(fused, texts, q))
     )
@@ -206,8 +205,8 @@ compared AS (
 
 
 def _rerank_comparison(spark, folder):
-    c, q = chunks(spark, folder), questions(spark, folder)
-    hits = with_chunk_text(keyword_topk(c, q, 10), c, q)
+    c, q = corpus(spark, folder), questions(spark, folder)
+    hits = with_chunk_text(keyword_topk(c.keywords, q, 10), c.chunks, q)
     again = rerank(hits.join(q, "query_id"), 5)
     return evaluation.compare_runs(
         _labelled(spark, folder), _by_item(hits.filter("rank <= 5")), _by_item(again.drop("query", "candidate_rank"))
@@ -274,11 +273,11 @@ def metric_report(spark, folder):
         FROM benchmark LEFT JOIN (SELECT query_id AS item_id, string_agg(content, chr(10) ORDER BY rank) AS contexts FROM hits JOIN chunks USING (chunk_id) WHERE rank <= 5 GROUP BY 1) USING (item_id)""",
 )
 def answer_eval_rows(spark, folder):
-    c = chunks(spark, folder)
+    c = corpus(spark, folder)
     b = table(spark, folder, "benchmark")
     items = b.select("item_id", F.col("text").alias("question"), F.concat(F.lit("Ref: "), "text").alias("ground_truth"))
     responses = b.select("item_id", F.concat(F.lit("answer "), F.col("item_id").cast("string")).alias("response"))
-    hits = _by_item(with_chunk_text(keyword_topk(c, questions(spark, folder), 5), c, b))
+    hits = _by_item(with_chunk_text(keyword_topk(c.keywords, questions(spark, folder), 5), c.chunks, b))
     rows = evaluation.answer_eval_rows(items, hits, responses)
     return rows.withColumn("contexts", F.array_join("retrieved_contexts", "\n")).drop("retrieved_contexts")
 
@@ -332,8 +331,8 @@ def fact_questions(spark, folder):
           FROM hits h WHERE NOT EXISTS (SELECT 1 FROM expected e WHERE e.item_id = h.query_id AND e.chunk_id = h.chunk_id)) WHERE negative_rank <= 3""",
 )
 def hard_negatives(spark, folder):
-    c, q = chunks(spark, folder), questions(spark, folder)
-    n = evaluation.hard_negatives(_by_item(keyword_topk(c, q, 10)), expected_chunks(c, q), 3)
+    c, q = corpus(spark, folder), questions(spark, folder)
+    n = evaluation.hard_negatives(_by_item(keyword_topk(c.keywords, q, 10)), expected_chunks(c.chunks, q), 3)
     return n.select("item_id", "chunk_id", big("hit_rank").alias("hit_rank"), big("negative_rank").alias("negative_rank"))
 
 
@@ -359,9 +358,10 @@ l AS (SELECT e.item_id, count(*) FILTER (rank <= 5) AS f, min(rank) FILTER (rank
         FROM benchmark LEFT JOIN sizes USING (item_id) LEFT JOIN w USING (item_id) LEFT JOIN l USING (item_id)""",
 )
 def hard_negative_ablation(spark, folder):
-    c, q = chunks(spark, folder), questions(spark, folder)
+    stored, q = corpus(spark, folder), questions(spark, folder)
+    c = stored.chunks
     expected = expected_chunks(c, q)
-    hits = _by_item(keyword_topk(c, q, 10))
+    hits = _by_item(keyword_topk(stored.keywords, q, 10))
     alike = evaluation.hard_negatives(hits, expected, 1).select("chunk_id").distinct()
     lean = _by_item(keyword_topk(join_small_side(c, alike, "chunk_id", "left_anti"), q, 10))
     a = evaluation.ablation(_items(spark, folder), expected, hits, lean)

@@ -9,7 +9,9 @@ from corpusloom.catalog.registry import table
 from corpusloom.functions.hooks import embed_tokens
 from corpusloom.functions.tokens import WORD_PATTERN, match_tokens
 from corpusloom.operators.chunking import split_windows
+from corpusloom.plans.corpus import StoredCorpus, store_corpus
 from corpusloom.scale import spread
+from corpusloom.session import scratch_folder
 
 DIMENSIONS = 64
 ASCII = "[A-Za-z0-9_.:/#-]+"
@@ -81,6 +83,17 @@ def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return base.withColumn("embedding", embed_text(F.col("content")))
 
 
+_STORED: dict[tuple[str, str], StoredCorpus] = {}
+
+
+def corpus(spark: SparkSession, folder: str) -> StoredCorpus:
+    """The chunks with vectors and their keyword index, stored once in a session and then searched."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        _STORED[key] = store_corpus(embedded_chunks(spark, folder), scratch_folder(spark, "corpus"))
+    return _STORED[key]
+
+
 def sql_vectors(name: str, source: str, key: str, text: str) -> str:
     """Sparse unit vectors ``(key, slot, v)`` of a text column, as CTEs ending in ``name``."""
     return f"""

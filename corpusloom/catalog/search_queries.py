@@ -10,8 +10,8 @@ from corpusloom.catalog.fragments import (
     CHUNKS_SQL,
     QUESTIONS_SQL,
     chunks,
+    corpus,
     embed_text,
-    embedded_chunks,
     questions,
     sql_keyword_hits,
     sql_keywords,
@@ -27,7 +27,7 @@ from corpusloom.catalog.registry import big, query, table
 from corpusloom.catalog.text_queries import _sql_rewrite
 from corpusloom.operators import fusion, keyword_search, rerank, vector_search
 from corpusloom.plans import retrieve as plan
-from corpusloom.scale import top_per_group
+from corpusloom.session import scratch_folder
 
 _TERMS_SQL = sql_query_terms("terms", "questions", "query_id", "query")
 
@@ -43,7 +43,7 @@ def _ranked(df, *more):
         FROM terms JOIN chunk_tokens USING (token) GROUP BY 1, 2""",
 )
 def term_statistics(spark, folder):
-    s = keyword_search.term_statistics(chunks(spark, folder), questions(spark, folder))
+    s = keyword_search.term_statistics(corpus(spark, folder).keywords, questions(spark, folder))
     return s.select("query_id", "token", big("chunks").alias("chunks"), big("positions").alias("positions"))
 
 
@@ -53,7 +53,7 @@ def term_statistics(spark, folder):
         SELECT query_id, count(DISTINCT chunk_id)::BIGINT AS chunks FROM terms JOIN chunk_tokens USING (token) GROUP BY 1""",
 )
 def matching_chunk_counts(spark, folder):
-    return keyword_search.matching_chunk_counts(chunks(spark, folder), questions(spark, folder))
+    return keyword_search.matching_chunk_counts(corpus(spark, folder).keywords, questions(spark, folder))
 
 
 @query(
@@ -70,7 +70,7 @@ def postings(spark, folder):
         SELECT query_id, chunk_id, score, rank::BIGINT AS rank FROM hits""",
 )
 def keyword_top_hits(spark, folder):
-    return _ranked(keyword_search.keyword_topk(chunks(spark, folder), questions(spark, folder), 20))
+    return _ranked(keyword_search.keyword_topk(corpus(spark, folder).keywords, questions(spark, folder), 20))
 
 
 @query(
@@ -85,7 +85,7 @@ def keyword_top_hits(spark, folder):
 )
 def keyword_hits_in_source(spark, folder):
     q = questions(spark, folder).withColumn("source", F.when(F.length("query") > 200, "src3"))
-    return _ranked(keyword_search.keyword_topk(chunks(spark, folder), q, 10))
+    return _ranked(keyword_search.keyword_topk(corpus(spark, folder).keywords, q, 10))
 
 
 @query(
@@ -102,7 +102,7 @@ def keyword_hits_in_source(spark, folder):
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 20""",
 )
 def keyword_bm25_hits(spark, folder):
-    return _ranked(keyword_search.keyword_topk(chunks(spark, folder), questions(spark, folder), 20, scorer="bm25"))
+    return _ranked(keyword_search.keyword_topk(corpus(spark, folder).keywords, questions(spark, folder), 20, scorer="bm25"))
 
 
 def _all_vectors(spark, folder):
@@ -187,19 +187,31 @@ def experience_texts(spark, folder):
     f"WITH {_EXACT_SQL} SELECT query_id, chunk_id, score, rank::BIGINT AS rank FROM exact",
 )
 def list_probing_all_lists(spark, folder):
-    return _ranked(
-        vector_search.approximate_topk(
-            _all_vectors(spark, folder), _vector_questions(spark, folder), 10, lists=8, probes=8
-        )
-    )
+    lists = _vector_lists(spark, folder, 8)
+    return _ranked(vector_search.lists_topk(lists, _vector_questions(spark, folder), 10, probes=8))
+
+
+def _vector_lists(spark, folder, lists):
+    return vector_search.write_vector_lists(_all_vectors(spark, folder), scratch_folder(spark, "vector-lists"), lists=lists)
 
 
-@query("list_probing_recall")
+@query(
+    "list_probing_recall",
+    f"""WITH {_EXACT_SQL} SELECT count(DISTINCT query_id)::BIGINT AS queries, count(*)::BIGINT AS exact_hits, true AS recall_reached, true AS less_than_half_compared
+        FROM exact""",
+)
 def list_probing_recall(spark, folder):
-    corpus, asked = _all_vectors(spark, folder), _vector_questions(spark, folder)
-    exact = vector_search.vector_topk(corpus, asked, 10)
-    near = vector_search.approximate_topk(corpus, asked, 10, lists=16, probes=4)
-    return vector_search.recall_against(exact, near)
+    """Recall of at least 0.9 from fewer than half of the stored rows for each query, on average."""
+    asked = _vector_questions(spark, folder)
+    lists = _vector_lists(spark, folder, 128)
+    exact = vector_search.vector_topk(_all_vectors(spark, folder), asked, 10)
+    near = vector_search.lists_topk(lists, asked, 10, probes=60)
+    recall = vector_search.recall_against(exact, near).join(exact.groupBy("query_id").count(), "query_id")
+    share = vector_search.compared_share(lists, asked, 60)
+    return recall.join(share, "query_id").agg(
+        F.count("*").alias("queries"), big(F.sum("count")).alias("exact_hits"),
+        (F.avg("recall") >= 0.9).alias("recall_reached"), (F.avg("share") < 0.5).alias("less_than_half_compared"),
+    )
 
 
 # Both paths for the questions as they stand.
@@ -217,9 +229,9 @@ _BOTH_SQL = f"""
                keyword_rank::BIGINT AS keyword_rank FROM fused""",
 )
 def fused_hits(spark, folder):
-    c, q = embedded_chunks(spark, folder), questions(spark, folder)
-    v = vector_search.vector_topk(c, q.withColumn("embedding", embed_text(F.col("query"))), 20)
-    k = keyword_search.keyword_topk(c, q, 20)
+    c, q = corpus(spark, folder), questions(spark, folder)
+    v = vector_search.vector_topk(c.chunks, q.withColumn("embedding", embed_text(F.col("query"))), 20)
+    k = keyword_search.keyword_topk(c.keywords, q, 20)
     return _ranked(
         fusion.fuse_two_lists(v, k, 20), big("vector_rank").alias("vector_rank"), big("keyword_rank").alias("keyword_rank")
     )
@@ -325,22 +337,21 @@ def query_variants_off(spark, folder):
     return _variant_rows(plan.query_variants(_asked(spark, folder), rewrite=False))
 
 
-# Questions with a supplied answer text: the first sentence stands in for a question that
-# sounds colloquial, the passage itself is the answer.
-def _short_questions(spark, folder):
+# Questions with a supplied answer text: the whole passage between two words of speech, and the passage itself as the answer.
+def asked_passages(spark, folder):
     b = table(spark, folder, "benchmark")
     return b.select(
         F.col("item_id").alias("query_id"),
-        F.concat(F.lit("这块 "), F.regexp_extract("text", r"\A[^.]*", 0)).alias("query"),
+        F.concat(F.lit("这块 "), "text", F.lit(" 那个")).alias("query"),
         F.lit(None).cast("string").alias("contextual_query"),
         F.col("text").alias("hyde_document"),
-    ).withColumn("query", F.concat("query", F.lit(" 那个")))
+    )
 
 
 # The fillers go, the marker word stays, so every question gets its hyde variant.
-_SHORT_SQL = f"""
+PASSAGES_SQL = f"""
 {CHUNKS_SQL}, {CHUNK_TOKENS_SQL},
-asked AS (SELECT item_id AS query_id, '这块 ' || regexp_extract(text, '\\A[^.]*') || ' 那个' AS query, text AS hyde FROM benchmark),
+asked AS (SELECT item_id AS query_id, '这块 ' || text || ' 那个' AS query, text AS hyde FROM benchmark),
 variants AS (
   SELECT query_id, query_id || '#1' AS variant_id, 1 AS variant_no, 1.0::DOUBLE AS weight, {_sql_rewrite("query")} AS variant_text, 'query' AS kind FROM asked
   UNION ALL SELECT query_id, query_id || '#2', 2, 0.6::DOUBLE, {sql_normalize("hyde")}, 'hyde' FROM asked
@@ -352,8 +363,8 @@ plain AS (SELECT * FROM variants WHERE kind = 'query'),
 {sql_vector_hits("vhits", "qvec", "variant_id", "cvec", "chunk_id", 40)},
 {sql_keyword_hits("khits", "terms", "variant_id", 40)},
 {sql_rrf("branches", "variant_id", "vhits", "khits", 40)}"""
-_HYBRID_SQL = f"""
-{_SHORT_SQL},
+HYBRID_SQL = f"""
+{PASSAGES_SQL},
 merged AS (
   SELECT query_id, chunk_id,
          coalesce(max(weight / (60 + rank)) FILTER (variant_no = 1), 0.0::DOUBLE) + coalesce(max(weight / (60 + rank)) FILTER (variant_no = 2), 0.0::DOUBLE) AS score,
@@ -366,35 +377,35 @@ hybrid AS (
 
 @query(
     "variant_candidates",
-    f"""WITH {_SHORT_SQL}
+    f"""WITH {PASSAGES_SQL}
         SELECT query_id, variant_no::BIGINT AS variant_no, chunk_id, round(score, 9) AS score, rank::BIGINT AS rank
         FROM branches JOIN variants USING (variant_id)""",
 )
 def variant_candidates(spark, folder):
-    variants = plan.query_variants(_short_questions(spark, folder), mode="balanced")
-    found = plan.variant_candidates(embedded_chunks(spark, folder), variants, 20, embed_text)
+    variants = plan.query_variants(asked_passages(spark, folder), mode="balanced")
+    found = plan.variant_candidates(corpus(spark, folder), variants, 20, embed_text)
     return _ranked(found, big("variant_no").alias("variant_no"))
 
 
 @query(
     "hybrid_candidates",
-    f"WITH {_HYBRID_SQL} SELECT query_id, chunk_id, round(score, 9) AS score, rank::BIGINT AS rank FROM hybrid",
+    f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(score, 9) AS score, rank::BIGINT AS rank FROM hybrid",
 )
 def hybrid_candidates(spark, folder):
     return _ranked(
-        plan.hybrid_candidates(embedded_chunks(spark, folder), _short_questions(spark, folder), embed_text, mode="balanced")
+        plan.hybrid_candidates(corpus(spark, folder), asked_passages(spark, folder), embed_text, mode="balanced")
     )
 
 
 @query(
     "retrieved_hits",
-    f"WITH {_HYBRID_SQL} SELECT query_id, chunk_id, round(score, 9) AS score, rank::BIGINT AS rank FROM hybrid WHERE rank <= 5",
+    f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(score, 9) AS score, rank::BIGINT AS rank FROM hybrid WHERE rank <= 5",
 )
 def retrieved_hits(spark, folder):
-    return _ranked(plan.retrieve(embedded_chunks(spark, folder), _short_questions(spark, folder), embed_text, mode="balanced"))
+    return _ranked(plan.retrieve(corpus(spark, folder), asked_passages(spark, folder), embed_text, mode="balanced"))
 
 
-_OVERLAP_SQL = f"""
+OVERLAP_SQL = f"""
 pairs AS (SELECT h.query_id, h.chunk_id, h.rank AS candidate_rank, h.score AS candidate_score, {sql_match_tokens("q.query")} AS qt, {sql_match_tokens("c.content")} AS ct
           FROM hybrid h JOIN asked q USING (query_id) JOIN chunks c USING (chunk_id)),
 scored AS (SELECT *, CASE WHEN len(list_distinct(qt)) > 0 THEN len(list_intersect(qt, ct)) / len(list_distinct(qt))::DOUBLE ELSE 0.0::DOUBLE END AS score FROM pairs),
@@ -403,12 +414,12 @@ reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score D
 
 @query(
     "reranked_hits",
-    f"WITH {_HYBRID_SQL}, {_OVERLAP_SQL} SELECT query_id, chunk_id, round(score, 9) AS score, rank::BIGINT AS rank FROM reranked WHERE rank <= 5",
+    f"WITH {HYBRID_SQL}, {OVERLAP_SQL} SELECT query_id, chunk_id, round(score, 9) AS score, rank::BIGINT AS rank FROM reranked WHERE rank <= 5",
 )
 def reranked_hits(spark, folder):
     return _ranked(
         plan.retrieve(
-            embedded_chunks(spark, folder), _short_questions(spark, folder), embed_text, mode="balanced", use_rerank=True
+            corpus(spark, folder), asked_passages(spark, folder), embed_text, mode="balanced", use_rerank=True
         )
     )
 
@@ -444,7 +455,7 @@ def backfilled_scores(spark, folder):
         UNION ALL SELECT query_id, 'fused', rank, chunk_id, round(score, 9) FROM fused""",
 )
 def stage_trace(spark, folder):
-    t = plan.stage_trace(embedded_chunks(spark, folder), questions(spark, folder), embed_text)
+    t = plan.stage_trace(corpus(spark, folder), questions(spark, folder), embed_text)
     return t.select("query_id", "stage", big("rank").alias("rank"), "value", F.round("score", 9).alias("score"))
 
 
@@ -460,8 +471,8 @@ contexts AS (
 
 
 def _payload(spark, folder):
-    c, q = chunks(spark, folder), questions(spark, folder)
-    hits = plan.with_chunk_text(keyword_search.keyword_topk(c, q, 5), c)
+    c, q = corpus(spark, folder), questions(spark, folder)
+    hits = plan.with_chunk_text(keyword_search.keyword_topk(c.keywords, q, 5), c.chunks)
     return plan.retrieval_payload(q, hits, plan.query_variants(q), gate=2.5)
 
 
@@ -498,6 +509,6 @@ def quality_labels(spark, folder):
         FROM hits JOIN chunks USING (chunk_id, source) GROUP BY 1""".replace("USING (chunk_id, source)", "USING (chunk_id)"),
 )
 def evidence_contexts(spark, folder):
-    c, q = chunks(spark, folder), questions(spark, folder)
-    hits = plan.with_chunk_text(keyword_search.keyword_topk(c, q, 5), c)
+    c, q = corpus(spark, folder), questions(spark, folder)
+    hits = plan.with_chunk_text(keyword_search.keyword_topk(c.keywords, q, 5), c.chunks)
     return plan.evidence_context(hits, with_id=False).select("query_id", "context_text")

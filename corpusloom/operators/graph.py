@@ -1,7 +1,8 @@
 """Levels, closures and subtrees over edge tables, by rounds of joins.
 
-Each round works on the frontier only and is checkpointed, so lineage stays
-short and a lost executor costs one round.
+Levels and closures jump: a node with one open dependency passes on where that leads, so the steps of a chain or a
+tree double with every round and the rounds grow with the logarithm of its length.  No round makes more rows than
+there are nodes and edges.  Each round is checkpointed, so lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -18,72 +19,94 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes``: ``graph_id, node``; ``edges``: ``graph_id, node, depends_on``.
     Dependencies on unknown nodes are ignored.  A graph with a cycle gives no
-    rows.  Needs as many rounds as the deepest graph has levels.
+    rows.  Needs about as many rounds as the logarithm of the longest chain, and
+    one more for each layer of nodes that wait for several open ones.
     """
+    levels, _ = levels_and_rounds(nodes, edges)
+    return levels
+
+
+def levels_and_rounds(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`dependency_levels` with the number of rounds it took."""
     ensure_checkpoint_dir(nodes.sparkSession)
-    all_nodes = nodes.select("graph_id", "node").distinct().checkpoint()
-    node_count = all_nodes.count()
-    known = all_nodes.withColumnRenamed("node", "depends_on")
-    own = join_small_side(
-        edges.select("graph_id", "node", "depends_on").distinct(), known, ["graph_id", "depends_on"], "left_semi",
+    all_nodes = nodes.select("graph_id", "node").distinct()
+    known = all_nodes.select("graph_id", F.col("node").alias("depends_on"))
+    own = edges.select("graph_id", "node", "depends_on").distinct()
+    own = join_small_side(join_small_side(own, known, ["graph_id", "depends_on"], "left_semi"), all_nodes, ["graph_id", "node"], "left_semi")
+    # A row says that the level is at least ``base`` and, with a dependency, ``add`` more than that one's level.
+    rows = own.select("graph_id", "node", "depends_on", F.lit(0).cast("long").alias("base"), F.lit(1).cast("long").alias("add"))
+    sizes = all_nodes.groupBy("graph_id").agg(F.count("*").alias("size"))
+    depends_on = own.schema["depends_on"].dataType
+    rows = rows.unionByName(
+        all_nodes.select("graph_id", "node", F.lit(None).cast(depends_on).alias("depends_on"), F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("add"))
     )
-    # A node is blocked in a round while one of its dependencies was blocked in the round
-    # before, so its level is the number of rounds it is blocked in.
-    open_edges = join_small_side(
-        own, all_nodes, ["graph_id", "node"], "left_semi"
-    ).checkpoint()
-    left = open_edges.count()
-    rounds: list[DataFrame] = []
-    cyclic: DataFrame | None = None
+    rows = rows.join(sizes, "graph_id").checkpoint()
+    rounds, left = 0, rows.agg(F.count("depends_on")).first()[0]
     while left:
-        blocked = open_edges.select("graph_id", "node").distinct()
-        remaining = join_small_side(
-            open_edges, blocked.withColumnRenamed("node", "depends_on"), ["graph_id", "depends_on"], "left_semi",
-        ).checkpoint()
-        count = remaining.count()
-        if count == left:
-            # No edge was resolved: what is left waits for a cycle.
-            cyclic = blocked.select("graph_id").distinct()
-            break
-        rounds.append(open_edges.select("graph_id", "node", F.lit(len(rounds) + 1).alias("_level")))
-        open_edges, left = remaining, count
-    result = all_nodes.withColumn("level", F.lit(0))
-    if rounds:
-        blocked_rounds = rounds[0]
-        for more in rounds[1:]:
-            blocked_rounds = blocked_rounds.unionAll(more)
-        # Plain rows of the rounds, not their distinct nodes: no shuffled input below the union.
-        levels = blocked_rounds.groupBy("graph_id", "node").agg(F.max("_level").alias("_level"))
-        result = all_nodes.join(levels, ["graph_id", "node"], "left").select(
-            "graph_id", "node", F.coalesce("_level", F.lit(0)).alias("level")
-        )
-    if cyclic is None:
-        return result
-    return join_small_side(result, cyclic, "graph_id", "left_anti")
+        rows, moved, left = _jumped(rows)
+        rounds += 1
+        if not moved:
+            break  # what is left waits for a cycle
+    cyclic = rows.filter(F.col("depends_on").isNotNull() | F.col("cycle")).select("graph_id").distinct() if rounds else None
+    levels = rows.groupBy("graph_id", "node").agg(F.max("base").alias("level"))
+    return (levels if cyclic is None else join_small_side(levels, cyclic, "graph_id", "left_anti")), rounds
+
+
+def _jumped(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """One round: rows, how many dependencies were resolved or led on, and how many are left."""
+    if "cycle" not in rows.columns:
+        rows = rows.withColumn("cycle", F.lit(False))
+    opens = F.when(F.col("depends_on").isNotNull(), F.struct(F.col("depends_on").alias("to"), F.col("add")))
+    nodes = rows.groupBy("graph_id", F.col("node").alias("depends_on")).agg(
+        F.max("base").alias("its_base"), F.count("depends_on").alias("its_open"), F.max(opens).alias("its_one")
+    )
+    met = rows.join(nodes, ["graph_id", "depends_on"], "left")
+    waits = F.col("depends_on").isNotNull()
+    done, leads = waits & (F.col("its_open") == 0), waits & (F.col("its_open") == 1)
+    add = F.when(done, F.lit(None)).when(leads, F.col("add") + F.col("its_one.add")).otherwise(F.col("add"))
+    # A way of more steps than the graph has nodes goes round a cycle.
+    round_trip = F.coalesce(add > F.col("size"), F.lit(False))
+    base = F.when(done | leads, F.greatest("base", F.col("add") + F.col("its_base"))).otherwise(F.col("base"))
+    depends_on = F.when(done | round_trip, F.lit(None)).when(leads, F.col("its_one.to")).otherwise(F.col("depends_on"))
+    moved = met.select(
+        "graph_id", "node", depends_on.alias("depends_on"), base.alias("base"), F.when(~round_trip, add).alias("add"), "size",
+        (F.col("cycle") | round_trip).alias("cycle"), (done | leads).alias("moved"),
+    )
+    kept = (
+        moved.groupBy("graph_id", "node", "depends_on")
+        .agg(F.max("base").alias("base"), F.max("add").alias("add"), F.max("size").alias("size"), F.max("cycle").alias("cycle"), F.max("moved").alias("moved"))
+        .checkpoint()
+    )
+    steps, left = kept.agg(F.count_if("moved"), F.count("depends_on")).first()
+    return kept.drop("moved"), steps, left
 
 
 def dependency_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """The seeds and everything they depend on, directly or not: ``graph_id, node``."""
+    visited, _ = closure_and_rounds(seeds, edges)
+    return visited
+
+
+def closure_and_rounds(seeds: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`dependency_closure` with the number of rounds it took.
+
+    Nodes with one dependency also carry a pointer that leads twice as far each round; all nodes reached
+    so far follow it, and the dependencies of new ones are followed as they are, so nothing is left out.
+    """
     ensure_checkpoint_dir(seeds.sparkSession)
     links = edges.select("graph_id", "node", "depends_on").distinct().checkpoint()
+    ways = links.groupBy("graph_id", "node").agg(F.count("*").alias("n"), F.min("depends_on").alias("to")).filter("n = 1").select("graph_id", "node", "to")
     visited = seeds.select("graph_id", "node").distinct().checkpoint()
-    frontier = visited
-    frontier_count = visited_count = visited.count()
-    while frontier_count:
-        reached = (
-            join_small_side(
-                links, frontier, ["graph_id", "node"], "left_semi"
-            )
-            .select("graph_id", F.col("depends_on").alias("node"))
-            .distinct()
-        )
-        frontier = join_small_side(
-            reached, visited, ["graph_id", "node"], "left_anti"
-        ).checkpoint()
-        frontier_count = frontier.count()
-        visited_count += frontier_count
-        visited = visited.unionByName(frontier)
-    return visited
+    new, rounds = visited, 0
+    while not new.isEmpty():
+        near = join_small_side(links, new, ["graph_id", "node"], "left_semi").select("graph_id", F.col("depends_on").alias("node"))
+        far = join_small_side(ways, visited, ["graph_id", "node"], "left_semi").select("graph_id", F.col("to").alias("node"))
+        new = join_small_side(near.unionByName(far).distinct(), visited, ["graph_id", "node"], "left_anti").checkpoint()
+        visited = visited.unionByName(new).checkpoint()
+        further = ways.select("graph_id", F.col("node").alias("to"), F.col("to").alias("next"))
+        ways = ways.join(further, ["graph_id", "to"], "left").select("graph_id", "node", F.coalesce("next", "to").alias("to")).checkpoint()
+        rounds += 1
+    return visited, rounds
 
 
 def children(nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -1,29 +1,18 @@
 """Keyword search: every query against every chunk that holds one of its terms.
 
-Chunks are tokenised by column expressions; matching and scoring happen in the
-kernels of :mod:`corpusloom.operators.scoring`, so the corpus is not shuffled.
+Searches run on a stored index, see :mod:`corpusloom.operators.keyword_index`; given chunks instead, they write one
+below the checkpoint folder first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import match_tokens, query_keywords
-from corpusloom.operators.scoring import SCORE_DECIMALS, best_of_blocks, outside_source, query_blocks
-from corpusloom.scale import join_small_side
-
-# Weight of one occurrence, and the BM25 parameters.
-OCCURRENCE_WEIGHT = 0.1
-BM25_K1 = 1.2
-BM25_B = 0.75
-# A query carries at most a dozen short terms.
-_QUERY_BYTES = 1024
+from corpusloom.operators import keyword_index
+from corpusloom.operators.keyword_index import KeywordIndex, token_counts, write_keyword_index
+from corpusloom.session import scratch_folder
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query", limit: int = 12) -> DataFrame:
@@ -32,252 +21,28 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "content") -> DataFrame:
-    """Token counts per chunk: ``(chunk_id, token, tf)``."""
-    return (
-        chunks.select(chunk_id, F.explode(match_tokens(text)).alias("token"))
-        .groupBy(chunk_id, "token")
-        .agg(F.count("*").alias("tf"))
-    )
-
-
-def term_statistics(
-    chunks: DataFrame, queries: DataFrame, *, text: str = "content", query_id: str = "query_id",
-    query_text: str = "query", keyword_limit: int = 12,
-) -> DataFrame:
-    """Chunks and positions each query term is found in: ``(query_id, token, chunks, positions)``.
-
-    Occurrences are counted per token before they meet the queries, so a token
-    found everywhere is one row when it is joined.
-    """
-    terms = query_terms(queries, query_id, query_text, keyword_limit)
-    per_chunk = chunks.select(F.explode(_token_counts(match_tokens(text))).alias("t"))
-    found = join_small_side(
-        per_chunk.select("t.token", "t.tf"), terms.select("token").distinct(), "token", "left_semi"
-    )
-    counted = found.groupBy("token").agg(F.count("*").alias("chunks"), F.sum("tf").alias("positions"))
-    return terms.join(counted, "token").select(query_id, "token", "chunks", "positions")
-
-
-def _token_counts(tokens):
-    """Distinct tokens of a chunk with their counts, from runs of the sorted tokens."""
-    ordered = F.array_sort(tokens)
-    # Positions where a new token starts, then the distance to the next start.
-    starts = F.filter(
-        F.transform(
-            F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("string")), ordered), lambda a, b: F.struct(a.alias("token"), b.alias("before"))),
-            lambda p, i: F.struct(p["token"].alias("token"), i.alias("at"), (~p["token"].eqNullSafe(p["before"])).alias("first")),
-        ),
-        lambda p: p["first"],
-    )
-    following = F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1)))
-    return F.zip_with(
-        F.filter(starts, lambda p: p["token"].isNotNull()),
-        following,
-        lambda a, b: F.struct(a["token"].alias("token"), (b["at"] - a["at"]).alias("tf")),
-    )
-
-
-def _blocks(queries: DataFrame, query_id: str, query_text: str, limit: int):
-    """Blocks of (ids, terms per query, sources)."""
-    by_source = "source" in queries.columns
-    small = queries.select(
-        query_id, query_keywords(query_text, limit).alias("_terms"), *(["source"] if by_source else [])
-    )
-    for rows in query_blocks(small, query_id, _QUERY_BYTES):
-        yield [r[query_id] for r in rows], [r["_terms"] or [] for r in rows], (
-            [r["source"] for r in rows] if by_source else None
-        )
-
-
-def keyword_topk(
-    chunks: DataFrame,
-    queries: DataFrame,
-    k: int,
-    *,
-    chunk_id: str = "chunk_id",
-    text: str = "content",
-    query_id: str = "query_id",
-    query_text: str = "query",
-    keyword_limit: int = 12,
-    scorer: str = "occurrence",
-) -> DataFrame:
-    """Top ``k`` chunks per query as ``(query_id, chunk_id, score, rank)``.
-
-    A chunk matches when it holds any keyword of the query.  ``occurrence``
-    scores 0.1 per matching position; ``bm25`` uses the usual formula.  A
-    ``source`` column on the queries limits each to that source (null: all).
-    """
-    if scorer not in ("occurrence", "bm25"):
-        raise ValueError(f"unknown scorer: {scorer}")
-    by_source = "source" in queries.columns
-    corpus = chunks.select(chunk_id, match_tokens(text).alias("_tokens"), *(["source"] if by_source else []))
-    context = chunks.sparkSession.sparkContext
-
-    def blocks():
-        for ids, terms, sources in _blocks(queries, query_id, query_text, keyword_limit):
-            index = _term_index(terms, sources)
-            if scorer == "bm25":
-                _weigh(index, *_corpus_statistics(corpus, index["vocabulary"]))
-            yield ids, _keyword_scorer(context.broadcast(index))
-
-    return best_of_blocks(corpus, chunk_id, queries.schema[query_id], blocks(), k)
-
-
-def _term_index(terms: list[list[str]], sources: list | None) -> dict:
-    """Terms of a query block and, per term, the queries that ask for it.
-
-    A plain dictionary, as broadcast values are read without this package.
-    """
-    vocabulary = sorted({t for row in terms for t in row})
-    number = {t: i for i, t in enumerate(vocabulary)}
-    asked = sorted((number[t], q) for q, row in enumerate(terms) for t in row)
-    degree = np.bincount(np.array([t for t, _ in asked], dtype="int64"), minlength=len(vocabulary))
-    return {
-        "queries": len(terms),
-        "sources": sources,
-        "vocabulary": vocabulary,
-        "askers": np.array([q for _, q in asked], dtype="int64"),
-        "degree": degree,
-        "first": np.cumsum(degree) - degree,
-        "idf": None,
-        "average_length": 1.0,
-    }
-
-
-def _weigh(index: dict, total: int, average_length: float, frequency: dict[str, int]) -> None:
-    df = np.array([frequency.get(t, 0) for t in index["vocabulary"]], dtype="float64")
-    index["idf"] = np.log(1 + (total - df + 0.5) / (df + 0.5))
-    index["average_length"] = average_length or 1.0
-
-
-def _occurrences(tokens: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunk row and term number of every occurrence of a known term, and the chunk lengths."""
-    lengths = np.diff(tokens.offsets.to_numpy())
-    codes = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-    known = codes >= 0
-    return np.repeat(np.arange(len(tokens)), lengths)[known], codes[known].astype("int64"), lengths
-
-
-def _one_array(column: pa.ChunkedArray | pa.Array) -> pa.ListArray:
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return array.chunk(0) if isinstance(array, pa.ChunkedArray) else array
-
-
-def _keyword_scorer(shared):
-    def make():
-        index = shared.value
-        vocabulary = pa.array(index["vocabulary"], type=pa.string())
-        everyone = np.arange(index["queries"])
-
-        def score(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            n = part.num_rows
-            rows, terms, lengths = _occurrences(_one_array(part["_tokens"]), vocabulary)
-            weights = None
-            if index["idf"] is not None:
-                cells, tf = np.unique(rows * len(index["vocabulary"]) + terms, return_counts=True)
-                rows, terms = np.divmod(cells, len(index["vocabulary"]))
-                length = BM25_K1 * (1 - BM25_B + BM25_B * lengths[rows] / index["average_length"])
-                weights = index["idf"][terms] * tf * (BM25_K1 + 1) / (tf + length)
-            # One cell per (occurrence, query asking for the term).
-            degree = index["degree"][terms]
-            ends = np.cumsum(degree)
-            step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - degree, degree)
-            asker = index["askers"][np.repeat(index["first"][terms], degree) + step]
-            cell = asker * n + np.repeat(rows, degree)
-            matched = np.bincount(cell, minlength=index["queries"] * n).reshape(index["queries"], n)
-            if weights is None:
-                scores = np.round(matched * OCCURRENCE_WEIGHT, SCORE_DECIMALS)
-            else:
-                summed = np.bincount(cell, weights=np.repeat(weights, degree), minlength=index["queries"] * n)
-                scores = np.round(summed, SCORE_DECIMALS).reshape(index["queries"], n)
-            scores[matched == 0] = -np.inf
-            if index["sources"] is not None:
-                scores[outside_source(index["sources"], part, np.arange(n), everyone)] = -np.inf
-            yield everyone, scores, np.arange(n)
-
-        return score
-
-    return make
-
-
-def _corpus_statistics(corpus: DataFrame, vocabulary: list[str]) -> tuple[int, float, dict[str, int]]:
-    """Chunk count, mean length and the chunk frequency of each term, in one pass.
-
-    Each task sends one row per known term; the result is bounded by the terms
-    of one query block.
-    """
-    shared = corpus.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pa.array(shared.value, type=pa.string())
-        frequency = np.zeros(len(words), dtype="int64")
-        chunks = length = 0
-        for batch in batches:
-            rows, terms, lengths = _occurrences(batch.column(0), words)
-            cells = np.unique(rows * max(len(words), 1) + terms)
-            frequency += np.bincount(cells % max(len(words), 1), minlength=len(words)).astype("int64")[: len(words)]
-            chunks += batch.num_rows
-            length += int(lengths.sum())
-        seen = np.nonzero(frequency)[0]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([None, None, *(shared.value[i] for i in seen)], type=pa.string()),
-                pa.array([0, 1, *([2] * len(seen))], type=pa.int32()),
-                pa.array([chunks, length, *frequency[seen].tolist()], type=pa.int64()),
-            ],
-            names=["token", "kind", "n"],
-        )
-
-    totals = corpus.select("_tokens").mapInArrow(count, "token string, kind int, n long")
-    rows = totals.groupBy("kind", "token").agg(F.sum("n").alias("n")).collect()
-    n = sum(r["n"] for r in rows if r["kind"] == 0)
-    length = sum(r["n"] for r in rows if r["kind"] == 1)
-    return n, length / n if n else 0.0, {r["token"]: r["n"] for r in rows if r["kind"] == 2}
-
+    """Token counts per chunk: ``(chunk_id, token, tf)``; chunks never meet."""
+    found = chunks.select(chunk_id, F.explode(token_counts(match_tokens(text))).alias("t"))
+    return found.select(chunk_id, "t.token", F.col("t.tf").cast("long").alias("tf"))
 
-def matching_chunk_counts(
-    chunks: DataFrame, queries: DataFrame, *, text: str = "content", query_id: str = "query_id",
-    query_text: str = "query", keyword_limit: int = 12,
-) -> DataFrame:
-    """How many chunks hold any keyword of each query: ``(query_id, chunks)``.
 
-    Counted per task; queries that match nothing are left out.
-    """
-    from pyspark.sql import types as T
+def indexed(corpus: DataFrame | KeywordIndex, chunk_id: str = "chunk_id", text: str = "content") -> KeywordIndex:
+    """The index itself, or one written for the chunks that are given."""
+    if isinstance(corpus, KeywordIndex):
+        return corpus
+    return write_keyword_index(corpus, scratch_folder(corpus.sparkSession, "keyword-index"), chunk_id=chunk_id, text=text)
 
-    schema = T.StructType([queries.schema[query_id], T.StructField("chunks", T.LongType())])
-    corpus = chunks.select(match_tokens(text).alias("_tokens"))
-    context = chunks.sparkSession.sparkContext
-    counted = None
-    for ids, terms, _ in _blocks(queries.select(query_id, query_text), query_id, query_text, keyword_limit):
-        part = corpus.mapInArrow(_match_counter(context.broadcast(_term_index(terms, None)), ids, schema), schema)
-        counted = part if counted is None else counted.unionByName(part)
-    if counted is None:
-        counted = chunks.sparkSession.createDataFrame([], schema)
-    return counted.groupBy(query_id).agg(F.sum("chunks").alias("chunks"))
 
+def keyword_topk(corpus: DataFrame | KeywordIndex, queries: DataFrame, k: int, *, chunk_id: str = "chunk_id", text: str = "content", **options) -> DataFrame:
+    """Top ``k`` chunks per query as ``(query_id, chunk_id, score, rank)``; options as for :func:`keyword_index.search`."""
+    return keyword_index.search(indexed(corpus, chunk_id, text), queries, k, **options)
 
-def _match_counter(shared, ids: list, schema):
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow_schema = to_arrow_schema(schema)
+def term_statistics(corpus: DataFrame | KeywordIndex, queries: DataFrame, *, text: str = "content", **options) -> DataFrame:
+    """Chunks and positions each query term is found in: ``(query_id, token, chunks, positions)``."""
+    return keyword_index.term_statistics(indexed(corpus, text=text), queries, **options)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _keyword_scorer(shared)()
-        totals = np.zeros(len(ids), dtype="int64")
-        step = max(16, 4_000_000 // max(1, len(ids)))
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for start in range(0, table.num_rows, step):
-                for _, scores, _ in score(table.slice(start, step).combine_chunks()):
-                    totals += (scores > -np.inf).sum(axis=1)
-        hit = np.nonzero(totals)[0]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([ids[i] for i in hit], type=arrow_schema.field(0).type),
-                pa.array(totals[hit].tolist(), type=pa.int64()),
-            ],
-            schema=arrow_schema,
-        )
 
-    return run
+def matching_chunk_counts(corpus: DataFrame | KeywordIndex, queries: DataFrame, *, text: str = "content", **options) -> DataFrame:
+    """How many chunks hold any keyword of each query: ``(query_id, chunks)``."""
+    return keyword_index.matching_chunk_counts(indexed(corpus, text=text), queries, **options)

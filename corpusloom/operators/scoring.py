@@ -1,9 +1,8 @@
-"""Shared parts of batch search: query blocks, running best lists, per-task kernels.
+"""Shared parts of batch search: tiles of the corpus meet blocks of queries, each keeps its best.
 
-Queries travel to the corpus in blocks of bounded size.  Each corpus task scores
-its Arrow batches with numpy and keeps the best ``k`` rows per query, so only
-``k`` rows per query and task are shuffled.  No query-chunk pair becomes a row,
-and a token, list or source found in most of the corpus stays where it is.
+Corpus and queries are both tables.  A task scores one tile against one block with numpy and keeps the best ``k``
+rows per query, so only ``k`` rows per query and tile go on.  No query-chunk pair becomes a row, nothing passes
+through the driver, and a tile and a block are of bounded size whatever is searched.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ from corpusloom.scale import top_per_group
 
 # Scores are compared at this many decimals, so summing order cannot reorder ties.
 SCORE_DECIMALS = 9
-QUERY_BLOCK_ROWS = 8192
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+#: Rows of a tile and of a block, about, and rows that are worth a tile of their own while cores are idle.
+TILE_ROWS, QUERY_ROWS, LEAST_TILE_ROWS = 8192, 2048, 1024
 SCORE_CELLS = 4_000_000
 
 
@@ -59,76 +58,68 @@ class Best:
         self.ids[rows] = np.take_along_axis(all_ids, order, axis=1)
 
 
-def query_blocks(queries: DataFrame, query_id: str, row_bytes: int) -> Iterator[list]:
-    """Collect a query table in blocks below the row and byte bounds."""
-    n = queries.count()
-    per_block = max(1, min(QUERY_BLOCK_ROWS, QUERY_BLOCK_BYTES // max(1, row_bytes)))
-    # Hashed blocks vary in size; a margin keeps them below the bound.
-    blocks = 1 if n <= per_block else -(-2 * n // per_block)
-    for b in range(blocks if n else 0):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        rows = part.collect()
-        if rows:
-            yield rows
+# A scorer takes a part of a tile in id order and a block of queries, and yields (query rows, scores, candidate positions).
+Scorer = Callable[[pa.Table, pa.Table], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
-# A scorer takes a slice of the corpus in id order and yields (query rows, scores, candidate positions).
-Scorer = Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+def tiles_for(rows: int, cores: int) -> int:
+    """Tiles of a corpus: of bounded size, and no fewer than there are cores while each is worth it."""
+    return int(max(1, -(-rows // TILE_ROWS), min(cores, -(-rows // LEAST_TILE_ROWS))))
 
 
-def best_of_blocks(
-    corpus: DataFrame,
-    chunk_id: str,
-    query_field: T.StructField,
-    blocks: Iterator[tuple[list, Callable[[], Scorer]]],
-    k: int,
-) -> DataFrame:
-    """Run a kernel per query block over the corpus and rank the union of the task results.
+def query_block_of(query_id: str, queries: int):
+    return F.pmod(F.xxhash64(query_id), F.lit(int(max(1, -(-queries // QUERY_ROWS))))).cast("int")
 
-    ``blocks`` yields the query ids of a block and a function that builds its
-    scorer inside a task.  Returns ``(query_id, chunk_id, score, rank)``.
+
+def tiled_topk(corpus: DataFrame, queries: DataFrame, chunk_id: str, query_id: str, k: int, scorer: Scorer, corpus_rows: int | None = None) -> DataFrame:
+    """Rank every query against the whole corpus: ``(query_id, chunk_id, score, rank)``.
+
+    Both tables are dealt out by hashed id; every tile meets every block, so rows of the corpus travel once for
+    each block of queries, and queries once for each tile.
     """
-    query_id = query_field.name
+    rows = corpus.count() if corpus_rows is None else corpus_rows
+    asked = queries.count()
+    blocks, tiles = max(1, -(-asked // QUERY_ROWS)), tiles_for(rows, corpus.sparkSession.sparkContext.defaultParallelism)
+    left = corpus.withColumn("_tile", F.pmod(F.xxhash64(chunk_id), F.lit(tiles)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.withColumn("_block", query_block_of(query_id, asked)).withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    return best_of_tiles(left, right, ["_tile", "_block"], chunk_id, query_id, k, scorer)
+
+
+def best_of_tiles(corpus: DataFrame, queries: DataFrame, keys: list[str], chunk_id: str, query_id: str, k: int, scorer: Scorer) -> DataFrame:
+    """Score the rows of both tables that share ``keys`` and rank the best of all: ``(query_id, chunk_id, score, rank)``."""
     schema = T.StructType(
         [
-            T.StructField(query_id, query_field.dataType),
+            T.StructField(query_id, queries.schema[query_id].dataType),
             T.StructField(chunk_id, corpus.schema[chunk_id].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
-    best = None
-    for ids, make_scorer in blocks:
-        part = corpus.mapInArrow(_kernel(ids, make_scorer, k, chunk_id, query_id, schema), schema)
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        best = corpus.sparkSession.createDataFrame([], schema)
-    return top_per_group(best, [query_id], [F.desc("score"), F.asc(chunk_id)], k)
+    best = corpus.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_kernel(scorer, k, chunk_id, query_id, schema), schema)
+    return top_per_group(best, [query_id], [F.desc("score"), F.asc(chunk_id)], k, spread_by=F.spark_partition_id())
 
 
-def _kernel(query_ids: list, make_scorer, k: int, chunk_id: str, query_id: str, schema: T.StructType):
+def _kernel(scorer: Scorer, k: int, chunk_id: str, query_id: str, schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow_schema = to_arrow_schema(schema)
-    rows_per_step = max(16, SCORE_CELLS // max(1, len(query_ids)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = make_scorer()
+    def run(tile: pa.Table, block: pa.Table) -> pa.Table:
+        if not tile.num_rows or not block.num_rows:
+            return arrow_schema.empty_table()
+        block = block.combine_chunks()
+        rows_per_step = max(16, SCORE_CELLS // block.num_rows)
         best: Best | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for start in range(0, table.num_rows, rows_per_step):
-                part = table.slice(start, rows_per_step).sort_by(chunk_id).combine_chunks()
-                ids = np.asarray(part[chunk_id].to_pylist())
-                if best is None:
-                    best = Best(len(query_ids), k, ids.dtype)
-                for rows, scores, places in scorer(part):
-                    best.add(rows, scores, ids[places])
-        if best is None:
-            return
+        for start in range(0, tile.num_rows, rows_per_step):
+            part = tile.slice(start, rows_per_step).sort_by(chunk_id).combine_chunks()
+            ids = np.asarray(part[chunk_id].to_pylist())
+            if best is None:
+                best = Best(block.num_rows, k, ids.dtype)
+            for rows, scores, places in scorer(part, block):
+                best.add(rows, scores, ids[places])
         rows, cols = np.nonzero(best.scores > -np.inf)
-        yield pa.RecordBatch.from_arrays(
+        return pa.Table.from_arrays(
             [
-                pa.array([query_ids[r] for r in rows], type=arrow_schema.field(query_id).type),
+                block[query_id].take(pa.array(rows)).combine_chunks().cast(arrow_schema.field(query_id).type),
                 pa.array(best.ids[rows, cols].tolist(), type=arrow_schema.field(chunk_id).type),
                 pa.array(best.scores[rows, cols]),
             ],

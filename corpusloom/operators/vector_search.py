@@ -1,18 +1,21 @@
 """Exact and list-probing vector search with cosine similarity.
 
-The kernels and their bounds are described in :mod:`corpusloom.operators.scoring`.
+Exact search is described in :mod:`corpusloom.operators.scoring`.  Stored lists keep the vectors of a corpus in a
+folder for each list of like directions: a search reads the folders that its queries probe and no others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.scoring import SCORE_DECIMALS, best_of_blocks, outside_source, query_blocks
+from corpusloom.operators.scoring import QUERY_ROWS, SCORE_DECIMALS, TILE_ROWS, best_of_tiles, outside_source, query_block_of, tiled_topk
+from corpusloom.session import scratch_folder
 
 
 def _unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -23,14 +26,35 @@ def _unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
     return np.divide(matrix, norms[:, None], out=np.zeros_like(matrix), where=usable[:, None]), usable
 
 
-def _list_matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+def _list_matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = array.flatten().to_numpy(zero_copy_only=False)
-    if len(values) != len(array) * width:
+    width = len(values) // max(1, len(array)) if width is None else width
+    if len(values) != len(array) * width or len(set(np.diff(np.asarray(array.offsets)).tolist())) > 1:
         raise ValueError(f"all vectors must have {width} components")
     return values.astype("float64").reshape(len(array), width)
 
 
+def _cosine_scorer(embedding: str, query_embedding: str, by_source: bool):
+    def score(part: pa.Table, block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        unit, usable = _unit_rows(_list_matrix(block[query_embedding]))
+        vectors, has_length = _unit_rows(_list_matrix(part[embedding], unit.shape[1]))
+        rows, places = np.nonzero(usable)[0], np.nonzero(has_length)[0]
+        if len(rows) and len(places):
+            scores = np.round(unit[rows] @ vectors[places].T, SCORE_DECIMALS) + 0.0
+            if by_source:
+                scores[outside_source(block["_wanted"].to_pylist(), part, places, rows)] = -np.inf
+            yield rows, scores, places
+
+    return score
+
+
+def _asked(queries: DataFrame, query_id: str, embedding: str) -> tuple[DataFrame, bool]:
+    by_source = "source" in queries.columns
+    wanted = [F.col("source").alias("_wanted")] if by_source else []
+    return queries.filter(F.col(embedding).isNotNull()).select(query_id, F.col(embedding).alias("_vector"), *wanted), by_source
+
+
 def vector_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -40,71 +64,16 @@ def vector_topk(
     query_id: str = "query_id",
     embedding: str = "embedding",
     query_embedding: str = "embedding",
-    list_col: str | None = None,
-    probes_col: str | None = None,
 ) -> DataFrame:
     """Top ``k`` chunks per query by cosine as ``(query_id, chunk_id, score, rank)``.
 
     Null vectors on either side are left out.  A ``source`` column on the
-    queries limits each to chunks of that source (null: all).  With ``list_col``
-    (corpus) and ``probes_col`` (queries, array of list ids) a query only meets
-    chunks of the lists it probes.
+    queries limits each to chunks of that source (null: all).
     """
-    by_source = "source" in queries.columns
-    wanted = [F.col(query_id), F.col(query_embedding).alias("_vector")]
-    wanted += [F.col("source").alias("_source")] if by_source else []
-    wanted += [F.col(probes_col).alias("_probes")] if list_col else []
-    small = queries.filter(F.col(query_embedding).isNotNull()).select(*wanted)
-    columns = [chunk_id, embedding] + (["source"] if by_source else []) + ([list_col] if list_col else [])
-    corpus = chunks.filter(F.col(embedding).isNotNull()).select(*columns)
-    context = chunks.sparkSession.sparkContext
-    sample = small.select(F.size("_vector").alias("d")).first()
-
-    def blocks():
-        for rows in query_blocks(small, query_id, 8 * sample["d"]) if sample else ():
-            unit, usable = _unit_rows([r["_vector"] for r in rows])
-            shared = context.broadcast(
-                {
-                    "unit": unit,
-                    "usable": usable,
-                    "sources": [r["_source"] for r in rows] if by_source else None,
-                    "probes": [set(r["_probes"] or []) for r in rows] if list_col else None,
-                }
-            )
-            yield [r[query_id] for r in rows], _vector_scorer(shared, embedding, list_col)
-
-    return best_of_blocks(corpus, chunk_id, queries.schema[query_id], blocks(), k)
-
-
-def _vector_scorer(shared, embedding: str, list_col: str | None):
-    def make():
-        block = shared.value
-        unit, usable, probes, sources = block["unit"], block["usable"], block["probes"], block["sources"]
-        asking = np.nonzero(usable)[0]
-
-        def score(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            vectors, has_length = _unit_rows(_list_matrix(part[embedding], unit.shape[1]))
-            if probes is None:
-                groups = [(asking, np.nonzero(has_length)[0])]
-            else:
-                lists = np.asarray(part[list_col].to_pylist())
-                groups = [
-                    (
-                        np.array([q for q in asking if name in probes[q]], dtype=int),
-                        np.nonzero(has_length & (lists == name))[0],
-                    )
-                    for name in set(lists.tolist())
-                ]
-            for rows, places in groups:
-                if len(rows) and len(places):
-                    scores = np.round(unit[rows] @ vectors[places].T, SCORE_DECIMALS) + 0.0
-                    if sources is not None:
-                        scores[outside_source(sources, part, places, rows)] = -np.inf
-                    yield rows, scores, places
-
-        return score
-
-    return make
+    asked, by_source = _asked(queries, query_id, query_embedding)
+    corpus = chunks.filter(F.col(embedding).isNotNull()).select(chunk_id, embedding, *(["source"] if by_source else []))
+    # Counted without the vectors, which may still have to be computed.
+    return tiled_topk(corpus, asked, chunk_id, query_id, k, _cosine_scorer(embedding, "_vector", by_source), chunks.select(chunk_id).count())
 
 
 # --- list-probing search ------------------------------------------------------------------------
@@ -146,6 +115,91 @@ def assign_lists(
     return df.filter(F.col(embedding).isNotNull()).withColumn(to, nearest.asNondeterministic()(embedding))
 
 
+@dataclass(frozen=True)
+class VectorLists:
+    """Vectors stored by list, the directions of the lists and the rows of each."""
+
+    spark: SparkSession
+    path: str
+    chunk_id: str
+    embedding: str
+    centroids: np.ndarray
+    sizes: DataFrame
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/vectors")
+
+
+def write_vector_lists(
+    chunks: DataFrame, path: str, *, lists: int = 100, chunk_id: str = "chunk_id", embedding: str = "embedding", centroids: np.ndarray | None = None, **training
+) -> VectorLists:
+    """Store ``chunks`` (``chunk_id``, ``embedding`` and perhaps ``source``) below ``path``, one folder for each list.
+
+    Lists are learnt from the vectors unless given.  Null vectors are left out; a large list has several files.
+    """
+    centres = train_lists(chunks, lists, embedding=embedding, **training) if centroids is None else centroids
+    keep = [chunk_id, embedding, *(["source"] if "source" in chunks.columns else [])]
+    listed = assign_lists(chunks.select(*keep), centres, 1, embedding=embedding).withColumn("list", F.element_at("lists", 1)).drop("lists")
+    part = F.pmod(F.xxhash64(chunk_id), F.greatest(F.lit(1), F.lit(chunks.sparkSession.sparkContext.defaultParallelism // len(centres))).cast("int"))
+    listed.repartition("list", part).write.mode("overwrite").option("maxRecordsPerFile", 1 << 20).partitionBy("list").parquet(f"{path}/vectors")
+    spark = chunks.sparkSession
+    spark.read.parquet(f"{path}/vectors").groupBy("list").agg(F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
+    # As many rows as lists, a parameter.
+    rows = [(n, [float(x) for x in c], chunk_id, embedding) for n, c in enumerate(centres)]
+    spark.createDataFrame(rows, _CENTROIDS).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    return open_vector_lists(spark, path)
+
+
+_CENTROIDS = "list int, centre array<double>, chunk_id string, embedding string"
+
+
+def open_vector_lists(spark: SparkSession, path: str) -> VectorLists:
+    """The lists stored below ``path``, also those that another session wrote."""
+    rows = spark.read.schema(_CENTROIDS).parquet(f"{path}/centroids").orderBy("list").collect()
+    sizes = spark.read.schema("list int, rows long").parquet(f"{path}/sizes")
+    return VectorLists(spark, path, rows[0]["chunk_id"], rows[0]["embedding"], np.array([r["centre"] for r in rows]), sizes)
+
+
+def probed_lists(lists: VectorLists, queries: DataFrame, probes: int, query_embedding: str = "embedding") -> DataFrame:
+    """``queries`` with a row for each of the ``probes`` nearest lists: ``list`` and its ``place`` from 1."""
+    near = assign_lists(queries, lists.centroids, len(lists.centroids), embedding=query_embedding, to="_near")
+    placed = near.select(*queries.columns, F.posexplode("_near").alias("place", "list")).withColumn("place", F.col("place") + 1)
+    # A filter that Spark takes for selective: with it the scan of the lists is pruned at run time.
+    return placed.filter(F.col("place") <= probes)
+
+
+def probed_vectors(lists: VectorLists, probing: DataFrame) -> DataFrame:
+    """Stored vectors of the probed lists; folders of other lists are not read."""
+    wanted = probing.select("list").distinct()  # at most as many rows as lists
+    return lists.rows.join(F.broadcast(wanted), "list", "left_semi")
+
+
+def lists_topk(lists: VectorLists, queries: DataFrame, k: int, *, probes: int = 10, query_id: str = "query_id", query_embedding: str = "embedding") -> DataFrame:
+    """Top ``k`` among the chunks of the ``probes`` lists nearest to each query: ``(query_id, chunk_id, score, rank)``.
+
+    The stored rows of a list are dealt to tiles of bounded size and meet, tile by tile, the queries that probe it.
+    """
+    asked, by_source = _asked(queries, query_id, query_embedding)
+    n = queries.select(query_id).count()
+    parts = lists.sizes.select("list", F.ceil(F.col("rows") / TILE_ROWS).cast("int").alias("parts"))  # a row for each list
+    probing = probed_lists(lists, asked, probes, "_vector").drop("place")
+    blocks = max(1, -(-n // QUERY_ROWS))
+    corpus = (
+        probed_vectors(lists, probed_lists(lists, asked, probes, "_vector")).join(F.broadcast(parts), "list")
+        .withColumn("_part", F.pmod(F.xxhash64(lists.chunk_id), F.col("parts"))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    )
+    right = (
+        probing.join(F.broadcast(parts), "list").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+        .withColumn("_block", query_block_of(query_id, n))
+    )
+    keep = [lists.chunk_id, lists.embedding, *(["source"] if by_source else [])]
+    keys = ["list", "_part", "_block"]
+    left = corpus.select(*keys, *keep)
+    right = right.select(*keys, query_id, "_vector", *(["_wanted"] if by_source else []))
+    return best_of_tiles(left, right, keys, lists.chunk_id, query_id, k, _cosine_scorer(lists.embedding, "_vector", by_source))
+
+
 def approximate_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -158,14 +212,17 @@ def approximate_topk(
     embedding: str = "embedding",
     centroids: np.ndarray | None = None,
 ) -> DataFrame:
-    """Top ``k`` among the chunks of the ``probes`` lists nearest to each query."""
-    centres = train_lists(chunks, lists, embedding=embedding) if centroids is None else centroids
-    corpus = assign_lists(chunks, centres, 1, embedding=embedding).withColumn("_list", F.element_at("lists", 1))
-    probing = assign_lists(queries, centres, probes, embedding=embedding)
-    return vector_topk(
-        corpus, probing, k, chunk_id=chunk_id, query_id=query_id, embedding=embedding,
-        query_embedding=embedding, list_col="_list", probes_col="lists",
-    )
+    """:func:`lists_topk` over lists that are written for this search alone."""
+    path = scratch_folder(chunks.sparkSession, "vector-lists")
+    stored = write_vector_lists(chunks, path, lists=lists, chunk_id=chunk_id, embedding=embedding, centroids=centroids)
+    return lists_topk(stored, queries, k, probes=probes, query_id=query_id, query_embedding=embedding)
+
+
+def compared_share(lists: VectorLists, queries: DataFrame, probes: int, *, query_id: str = "query_id", query_embedding: str = "embedding") -> DataFrame:
+    """Stored rows that each query is compared with, as a share of all: ``(query_id, share)``."""
+    total = lists.sizes.agg(F.sum("rows")).first()[0] or 1
+    probing = probed_lists(lists, queries.filter(F.col(query_embedding).isNotNull()).select(query_id, query_embedding), probes, query_embedding)
+    return probing.join(F.broadcast(lists.sizes), "list").groupBy(query_id).agg((F.sum("rows") / F.lit(total)).alias("share"))
 
 
 def recall_against(exact: DataFrame, approximate: DataFrame, query_id: str = "query_id", chunk_id: str = "chunk_id") -> DataFrame:

@@ -12,6 +12,7 @@ from corpusloom.operators.fusion import fuse_two_lists, fuse_variants
 from corpusloom.operators.keyword_search import keyword_topk
 from corpusloom.operators.rerank import rerank, token_overlap
 from corpusloom.operators.vector_search import vector_topk
+from corpusloom.plans.corpus import StoredCorpus
 from corpusloom.scale import join_small_side
 
 # Defaults of the retrieval settings and the score gate.
@@ -22,6 +23,14 @@ HYDE_WEIGHT = 0.6
 REWRITE_MODES = ("fast", "balanced", "deep")
 
 
+def _rows(corpus: DataFrame | StoredCorpus) -> DataFrame:
+    return corpus.chunks if isinstance(corpus, StoredCorpus) else corpus
+
+
+def _keywords(corpus: DataFrame | StoredCorpus):
+    return corpus.keywords if isinstance(corpus, StoredCorpus) else corpus
+
+
 def candidate_depth(candidate_top_k: int) -> int:
     """Rows taken from each path before fusion."""
     return max(candidate_top_k * 2, 20)
@@ -80,11 +89,11 @@ def query_variants(queries: DataFrame, *, rewrite: bool = True, mode: str = "fas
     )
 
 
-def variant_candidates(chunks: DataFrame, variants: DataFrame, candidate_top_k: int, embed) -> DataFrame:
+def variant_candidates(chunks: DataFrame | StoredCorpus, variants: DataFrame, candidate_top_k: int, embed) -> DataFrame:
     """Fused vector and keyword candidates of each variant.
 
-    ``chunks`` has ``chunk_id, content, embedding`` (and ``source``); ``embed``
-    maps a text column to vectors.  Hypothetical answers only use vectors.
+    ``chunks`` has ``chunk_id, content, embedding`` (and ``source``), as rows or
+    stored with its keyword index; ``embed`` maps a text column to vectors.  Hypothetical answers only use vectors.
     """
     depth = candidate_depth(candidate_top_k)
     id_cols = ["query_id", "variant_no"]
@@ -94,9 +103,9 @@ def variant_candidates(chunks: DataFrame, variants: DataFrame, candidate_top_k:
         *id_cols, "variant_text", "weight", "variant_type", *source,
     )
     vector_queries = keyed.select("variant_id", embed(F.col("variant_text")).alias("embedding"), *source)
-    vector_hits = vector_topk(chunks, vector_queries, depth, query_id="variant_id")
+    vector_hits = vector_topk(_rows(chunks), vector_queries, depth, query_id="variant_id")
     keyword_hits = keyword_topk(
-        chunks, keyed.filter(F.col("variant_type") == "query"), depth,
+        _keywords(chunks), keyed.filter(F.col("variant_type") == "query"), depth,
         query_id="variant_id", query_text="variant_text",
     )
     fused = fuse_two_lists(vector_hits, keyword_hits, depth, by=["variant_id"])
@@ -104,7 +113,7 @@ def variant_candidates(chunks: DataFrame, variants: DataFrame, candidate_top_k:
 
 
 def hybrid_candidates(
-    chunks: DataFrame, queries: DataFrame, embed, *,
+    chunks: DataFrame | StoredCorpus, queries: DataFrame, embed, *,
     candidate_top_k: int = CANDIDATE_TOP_K, rewrite: bool = True, mode: str = "fast",
 ) -> DataFrame:
     """Candidates of all queries in one job: ``(query_id, chunk_id, score, rank)``."""
@@ -122,7 +131,7 @@ def with_chunk_text(
 
 
 def retrieve(
-    chunks: DataFrame, queries: DataFrame, embed, *,
+    chunks: DataFrame | StoredCorpus, queries: DataFrame, embed, *,
     top_k: int | None = None, candidate_top_k: int | None = None,
     use_rerank: bool = False, rewrite: bool = True, mode: str = "fast", scorer=token_overlap,
 ) -> DataFrame:
@@ -134,17 +143,17 @@ def retrieve(
     if not use_rerank:
         return candidates.filter(F.col("rank") <= k)
     pool = max(candidate_top_k or CANDIDATE_TOP_K, k)
-    texts = with_chunk_text(candidates, chunks, ("content",))
+    texts = with_chunk_text(candidates, _rows(chunks), ("content",))
     # The question as asked is scored, not a variant of it.
     paired = join_small_side(texts, queries.select("query_id", "query"), "query_id")
     return rerank(paired, k, scorer=scorer).select("query_id", "chunk_id", "score", "rank")
 
 
-def stage_trace(chunks: DataFrame, queries: DataFrame, embed, k: int = 10) -> DataFrame:
+def stage_trace(chunks: DataFrame | StoredCorpus, queries: DataFrame, embed, k: int = 10) -> DataFrame:
     """The stages of one retrieval side by side: tokens, vector, keyword and fused lists."""
     vector_queries = queries.select("query_id", embed(F.col("query")).alias("embedding"))
-    vector_hits = vector_topk(chunks, vector_queries, k)
-    keyword_hits = keyword_topk(chunks, queries, k)
+    vector_hits = vector_topk(_rows(chunks), vector_queries, k)
+    keyword_hits = keyword_topk(_keywords(chunks), queries, k)
     fused = fuse_two_lists(vector_hits, keyword_hits, k)
 
     def stage(df: DataFrame, name: str) -> DataFrame:

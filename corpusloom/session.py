@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "corpusloom", memory: str = "16g") -> SparkSession:
@@ -48,6 +49,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, which the driver and all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new scratch folder and read it back.
+
+    It is computed once, and the planner knows its size: what is small is broadcast, what is not is shuffled.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Switch off an unsafe planner shortcut of Spark 4.1 for this session.
 

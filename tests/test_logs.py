@@ -205,3 +205,44 @@ def test_answer_rows_need_references(spark):
         evaluation.answer_eval_rows(items, hits, responses)
     row = evaluation.answer_eval_rows(items.filter("position = 1"), hits, responses).first()
     assert row["retrieved_contexts"] == ["one", "two"]
+
+
+def test_levels_and_closures_of_long_chains_take_few_rounds(spark):
+    from corpusloom.operators import graph
+
+    chain = spark.range(1, 1000).selectExpr("'chain' AS graph_id", "id AS node", "id - 1 AS depends_on")
+    nodes = spark.range(1000).selectExpr("'chain' AS graph_id", "id AS node")
+    levels, rounds = graph.levels_and_rounds(nodes, chain)
+    assert rounds <= 12
+    assert {r.node: r.level for r in levels.collect()} == {i: i for i in range(1000)}
+    reached, rounds = graph.closure_and_rounds(spark.createDataFrame([("chain", 999)], "graph_id string, node long"), chain)
+    assert rounds <= 12 and reached.count() == 1000
+
+
+def test_levels_of_random_graphs(spark):
+    import random
+
+    from corpusloom.operators import graph
+
+    rng = random.Random(8)
+    nodes, edges, want = [], [], {}
+    for g in range(12):
+        n = rng.randint(1, 25)
+        own = {(a, b) for a in range(n) for b in range(a) if rng.random() < rng.choice([0.05, 0.15])}
+        own |= {(a, a - 1) for a in range(1, n) if rng.random() < 0.6}
+        cyclic = g % 4 == 3 and n > 3
+        if cyclic:
+            length = rng.randint(1, 3)
+            own |= {(k, (k + 1) % length) for k in range(length)}
+        own.add((n - 1, 1000))  # unknown
+        nodes += [(g, a) for a in range(n)] * 2
+        edges += [(g, a, b) for a, b in own]
+        level = {}
+        if not cyclic:
+            for a in range(n):
+                level[a] = max([level[b] + 1 for x, b in own if x == a and b < n], default=0)
+                want[g, a] = level[a]
+    levels = graph.dependency_levels(
+        spark.createDataFrame(nodes, "graph_id long, node long"), spark.createDataFrame(edges, "graph_id long, node long, depends_on long")
+    )
+    assert {(r.graph_id, r.node): r.level for r in levels.collect()} == want

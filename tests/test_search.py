@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import fusion, keyword_search, rerank, scoring, vector_search
+from corpusloom.operators import fusion, keyword_index, keyword_search, rerank, scoring, vector_search
 from corpusloom.plans import retrieve as plan
 from corpusloom.scale import join_small_side, top_per_group
 
@@ -57,7 +57,8 @@ def triples(hits):
 @pytest.mark.parametrize("block_rows", [8192, 3])
 @pytest.mark.parametrize("by_source", [False, True])
 def test_vector_search_matches_brute_force(corpus, queries, monkeypatch, block_rows, by_source):
-    monkeypatch.setattr(scoring, "QUERY_BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(scoring, "QUERY_ROWS", block_rows)
+    monkeypatch.setattr(scoring, "TILE_ROWS", 5 * block_rows)
     monkeypatch.setattr(scoring, "SCORE_CELLS", 200)
     asked = queries if by_source else queries.drop("source")
     assert triples(vector_search.vector_topk(corpus, asked, 7)) == expected_vectors(corpus, queries, 7, by_source)
@@ -79,7 +80,8 @@ def expected_keywords(corpus, queries, k, by_source):
 @pytest.mark.parametrize("block_rows", [8192, 4])
 @pytest.mark.parametrize("by_source", [False, True])
 def test_keyword_search_matches_brute_force(corpus, queries, monkeypatch, block_rows, by_source):
-    monkeypatch.setattr(scoring, "QUERY_BLOCK_ROWS", block_rows)
+    for name, size in (("RANGE_CHUNKS", 128), ("SHARD_CHUNKS", 1 << 16)):
+        monkeypatch.setattr(keyword_index, name, min(size, block_rows))
     asked = queries if by_source else queries.drop("source")
     assert triples(keyword_search.keyword_topk(corpus, asked, 9)) == expected_keywords(corpus, queries, 9, by_source)
 
@@ -105,12 +107,40 @@ def test_bm25_matches_brute_force(corpus, queries):
     assert triples(got) == expected
 
 
-def test_search_does_not_shuffle_the_corpus(corpus, queries, spark, tmp_path):
-    corpus.coalesce(1).write.parquet(str(tmp_path / "c"))
-    hits = keyword_search.keyword_topk(spark.read.parquet(str(tmp_path / "c")), queries.drop("source"), 3)
-    plan_text = hits._jdf.queryExecution().executedPlan().toString()
-    # One exchange: the best rows of each task meet per query, already cut to k.
-    assert plan_text.count("Exchange") == 1 and "WindowGroupLimit" in plan_text
+@pytest.fixture(scope="module")
+def stored(spark):
+    """Rare words with high counts beside a word of every chunk, in several shards."""
+    rows = [(f"d{i:05d}", "every " * (1 + i % 3) + ("rare " * (i // 500) if i % 500 == 7 else f"w{i % 97} "), f"s{i % 2}") for i in range(6000)]
+    return spark.createDataFrame(rows, "chunk_id string, content string, source string")
+
+
+@pytest.mark.parametrize("scorer", ["occurrence", "bm25"])
+def test_blocks_below_the_bound_are_skipped_and_nothing_is_lost(spark, stored, tmp_path, scorer):
+    index = keyword_index.write_keyword_index(stored, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "rare every", None), (2, "w5 every", "s1"), (3, "nothing here", None), (4, "rare", "s0")], "query_id long, query string, source string")
+    for some in (asked, asked.drop("source")):
+        whole = keyword_index.search(index, some, 5, scorer=scorer, prune=False)
+        cut = keyword_index.search(index, some, 5, scorer=scorer)
+        assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+    terms = keyword_index._weighed_terms(index, asked.drop("source").filter("query_id = 1"), "query_id", "query", 12, scorer)
+    met = index.postings.join(terms, "token")
+    kept = keyword_index.ranges_to_score(index, met, terms, 5, scorer, False)
+    assert kept.count() < met.select("shard", "part").distinct().count() / 2
+
+
+def test_the_index_is_read_once_by_shard_and_only_what_is_asked(spark, stored, tmp_path):
+    index = keyword_index.write_keyword_index(stored, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "rare every")], "query_id long, query string")
+    plan_text = keyword_index.search(index, asked, 5, prune=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan_text.count("FileScan") == 2 and plan_text.count("Bucketed: true") == 1
+    # Matching, scoring and the first cut need no exchange; then the best meet in parts, then by query.
+    assert plan_text.count("Exchange hashpartitioning") == 2 and "source:" not in plan_text
+    again = keyword_index.open_keyword_index(spark, index.path)
+    assert (again.chunks, again.positions, again.shards) == (index.chunks, index.positions, index.shards)
+    spark.sql(f"DROP TABLE {index.table}")
+    again = keyword_index.open_keyword_index(spark, index.path)
+    assert keyword_index.search(again, asked, 5).count() == 5
+    assert again.tokens.filter("token = 'every'").first()["chunks"] == 6000
 
 
 def test_no_queries(corpus, queries):
@@ -224,12 +254,3 @@ def test_top_per_group_cuts_before_the_shuffle(spark):
     top = top_per_group(df, ["g"], [F.desc("id")], 3)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert {(r["g"], r["id"]) for r in top.collect()} == {(True, 999), (True, 998), (True, 997), (False, 300), (False, 299), (False, 298)}
-
-
-def test_broadcast_values_need_no_package():
-    """Workers read broadcast values with plain pickle and may have no copy of the package."""
-    import pickle
-
-    index = keyword_search._term_index([["a", "b"], ["b"]], None)
-    assert b"corpusloom" not in pickle.dumps(index)
-    assert index["vocabulary"] == ["a", "b"] and index["degree"].tolist() == [1, 2]
