@@ -125,7 +125,8 @@ def _sql_any(text: str, words) -> str:
 
 _ROUTE_SQL = f"""
 q AS (SELECT conv_id, turn, role, {sql_normalize("lower(short)")} AS t FROM (
-  SELECT *, CASE WHEN turn = 3 THEN ' ' WHEN turn = 5 THEN 'Oh  no' WHEN turn = 6 THEN 'HELLO in' ELSE text END AS short FROM conversations)),
+  SELECT conv_id, turn, role, text AS short FROM conversations
+  UNION ALL SELECT conv_id, turn + 1000, role, CASE turn WHEN 3 THEN ' ' WHEN 5 THEN 'Oh  no' ELSE 'HELLO in' END FROM conversations WHERE turn IN (3, 5, 6))),
 ruled AS (
   SELECT *, CASE WHEN t = '' THEN 'fallback' WHEN {_sql_any("t", _TOOLS)} THEN 'tool_only' WHEN {_sql_any("t", _KNOWLEDGE)} THEN 'knowledge_qa'
               WHEN {_sql_any("t", _GREETINGS)} AND length(t) <= 24 THEN 'direct_answer' WHEN length(t) <= 6 THEN 'direct_answer' ELSE 'knowledge_qa' END AS intent,
@@ -135,9 +136,10 @@ ruled AS (
 
 
 def _asked(spark, folder):
-    c = table(spark, folder, "conversations")
-    short = F.when(F.col("turn") == 3, " ").when(F.col("turn") == 5, "Oh  no").when(F.col("turn") == 6, "HELLO in").otherwise(F.col("text"))
-    return c.withColumn("query", short)
+    c = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.col("text").alias("query"))
+    # Beside all whole texts, short ones for the rules that they never meet.
+    short = F.when(F.col("turn") == 3, " ").when(F.col("turn") == 5, "Oh  no").otherwise("HELLO in")
+    return c.unionByName(c.filter(F.col("turn").isin(3, 5, 6)).select("conv_id", (F.col("turn") + 1000).alias("turn"), "role", short.alias("query")))
 
 
 @query("rule_intents", f"WITH {_ROUTE_SQL} SELECT conv_id, turn, intent, reason FROM ruled")

@@ -163,7 +163,7 @@ def rebuilt_search_fields(spark, folder):
         F.when(F.col("lang") != "en", F.col("lang")).otherwise("").alias("title"),
         F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("doc_name"),
         F.col("source").alias("document_source"),
-        F.to_json(F.struct("source", "doc_id")).alias("tags"),
+        F.to_json(F.struct("source", F.struct(F.array("doc_id").alias("ids"), F.lit(None).cast("string").alias("none")).alias("more"))).alias("tags"),
     )
     return store.rebuild_search_fields(c, d).select(
         "chunk_id", F.md5("search_text").alias("search_md5"), F.array_join("keywords", " ").alias("keywords")

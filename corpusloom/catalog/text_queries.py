@@ -39,6 +39,24 @@ def search_values(spark, folder):
     )
 
 
+@query(
+    "nested_search_values",
+    """SELECT conv_id, turn, role || ' ' || turn || ' ' || text || ' True x:y ' || conv_id AS nested_text, '' AS list_as_tags, '' AS broken
+       FROM conversations""",
+)
+def nested_search_values(spark, folder):
+    c = table(spark, folder, "conversations")
+    inner = F.array(F.struct(F.col("turn"), F.col("text").alias("a:b")))
+    nested = F.to_json(
+        F.struct("role", F.struct(inner.alias("said"), F.struct(F.lit(True).alias("yes"), F.lit("x:y").alias("z")).alias("deep")).alias("body"), F.array("conv_id").alias("ids"))
+    )
+    return c.select(
+        "conv_id", "turn", text.nested_search_value(nested).alias("nested_text"),
+        text.nested_search_value(F.concat(F.lit("["), nested, F.lit("]")), objects_only=True).alias("list_as_tags"),
+        text.nested_search_value(F.concat(nested, F.lit("}"))).alias("broken"),
+    )
+
+
 @query(
     "search_tokens",
     f"""SELECT doc_id, len({sql_tokens("text")})::BIGINT AS token_count, md5(array_to_string({sql_tokens("text")}, ' ')) AS segmented_md5
@@ -129,12 +147,14 @@ def normalized_queries(spark, folder):
     f"""SELECT conv_id, turn,
                (n <> o OR contains(lower(o), '咋') OR len({sql_keywords(sql_match_tokens("o"), 4)}) <= 2) AS wanted
         FROM (SELECT conv_id, turn, {sql_normalize("text")} AS o, {_sql_rewrite("text")} AS n
-              FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text ELSE role || ' 现在' END AS text FROM conversations))""",
+              FROM (SELECT conv_id, turn, text FROM conversations
+                    UNION ALL SELECT conv_id, turn + 1000, role || ' 现在' FROM conversations WHERE role <> 'user'))""",
 )
 def hypothetical_answer_wishes(spark, folder):
-    c = table(spark, folder, "conversations").withColumn(
-        "text", F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat("role", F.lit(" 现在")))
-    )
+    said = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    # Beside all whole texts, short ones that ask for an answer.
+    short = said.filter(F.col("role") != "user").select("conv_id", F.col("turn") + 1000, "role", F.concat("role", F.lit(" 现在")))
+    c = said.union(short)
     return c.select(
         "conv_id", "turn",
         rewrite.wants_hypothetical_answer(text.normalize_text("text"), rewrite.normalize_query("text")).alias("wanted"),

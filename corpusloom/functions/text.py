@@ -97,6 +97,28 @@ def parse_tags(c: Column | str) -> Column:
     return F.coalesce(parsed, F.create_map().cast("map<string,string>"))
 
 
+# Scalars and keys of a JSON text in their order; only keys are followed by a colon.
+_JSON_PARTS = r'"(?:[^"\\]|\\.)*"\s*:?|[^\s,:\[\]{}"]+'
+
+
+def nested_search_value(c: Column | str, objects_only: bool = False) -> Column:
+    """Text form of a JSON value used for search: its values at any depth in their order, joined by spaces, without keys.
+
+    Nulls are left out, true and false are written ``True`` and ``False``, numbers stay as they are written.  Null and
+    invalid texts give the empty text, and with ``objects_only`` all that are not objects.
+    """
+    c = _col(c)
+    # The parser takes a value with more text behind it; inside brackets it does not, and the value must be the only one.
+    whole = F.try_parse_json(F.concat(F.lit("[["), c, F.lit("]]")))
+    valid = whole.isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull() & F.try_variant_get(whole, "$[0][1]", "variant").isNull()
+    if objects_only:
+        valid = valid & F.startswith(F.ltrim(c), F.lit("{"))
+    parts = F.filter(F.regexp_extract_all(c, F.lit(_JSON_PARTS), F.lit(0)), lambda t: ~t.endswith(":") & (t != "null"))
+    spelt = F.transform(parts, lambda t: F.when(t == "true", F.lit('"True"')).when(t == "false", F.lit('"False"')).otherwise(t))
+    values = F.from_json(F.concat(F.lit("["), F.array_join(spelt, ","), F.lit("]")), "array<string>")
+    return F.coalesce(F.when(valid, F.array_join(values, " ")), F.lit(""))
+
+
 def evidence_block(
     rank: Column, score: Column, source: Column, start: Column, end: Column, text: Column, chunk_id: Column | None = None
 ) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import _col, nonempty, normalize_text, search_value
+from corpusloom.functions.text import _col, nested_search_value, nonempty, normalize_text, search_value
 
 # Word characters joined by the punctuation found in paths, codes and versions.
 WORD_PATTERN = r"[\p{L}\p{N}_]+(?:[.:/#-]+[\p{L}\p{N}_]+)*"
@@ -79,16 +79,20 @@ def chunk_search_text(
     keywords: Column | None = None,
     tags: Column | None = None,
     metadata: Column | None = None,
+    nested_tags: Column | None = None,
 ) -> Column:
     """Search text of a chunk: title, source, keywords, tags, metadata and content, tokenised.
 
-    ``keywords`` is an array, ``tags`` a map; ``metadata`` is already text.
+    ``keywords`` is an array, ``tags`` a map or, as ``nested_tags``, the JSON text of an object of any depth;
+    ``metadata`` is already text.
     """
     parts = [nonempty(title), nonempty(source)]
     if keywords is not None:
         parts.append(nonempty(search_value(keywords, "array")))
     if tags is not None:
         parts.append(nonempty(search_value(tags, "map")))
+    if nested_tags is not None:
+        parts.append(nonempty(nested_search_value(nested_tags, objects_only=True)))
     if metadata is not None:
         parts.append(nonempty(metadata))
     parts.append(nonempty(content))

@@ -29,21 +29,21 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def levels_and_rounds(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """:func:`dependency_levels` with the number of rounds it took."""
     ensure_checkpoint_dir(nodes.sparkSession)
-    all_nodes = nodes.select("graph_id", "node").distinct()
+    all_nodes = nodes.select("graph_id", "node").distinct().checkpoint()
+    largest = all_nodes.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
     known = all_nodes.select("graph_id", F.col("node").alias("depends_on"))
     own = edges.select("graph_id", "node", "depends_on").distinct()
     own = join_small_side(join_small_side(own, known, ["graph_id", "depends_on"], "left_semi"), all_nodes, ["graph_id", "node"], "left_semi")
     # A row says that the level is at least ``base`` and, with a dependency, ``add`` more than that one's level.
     rows = own.select("graph_id", "node", "depends_on", F.lit(0).cast("long").alias("base"), F.lit(1).cast("long").alias("add"))
-    sizes = all_nodes.groupBy("graph_id").agg(F.count("*").alias("size"))
     depends_on = own.schema["depends_on"].dataType
     rows = rows.unionByName(
         all_nodes.select("graph_id", "node", F.lit(None).cast(depends_on).alias("depends_on"), F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("add"))
     )
-    rows = rows.join(sizes, "graph_id").checkpoint()
+    rows = rows.withColumn("cycle", F.lit(False)).checkpoint()
     rounds, left = 0, rows.agg(F.count("depends_on")).first()[0]
     while left:
-        rows, moved, left = _jumped(rows)
+        rows, moved, left = _jumped(rows, largest)
         rounds += 1
         if not moved:
             break  # what is left waits for a cycle
@@ -52,10 +52,8 @@ def levels_and_rounds(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, in
     return (levels if cyclic is None else join_small_side(levels, cyclic, "graph_id", "left_anti")), rounds
 
 
-def _jumped(rows: DataFrame) -> tuple[DataFrame, int, int]:
+def _jumped(rows: DataFrame, largest: int) -> tuple[DataFrame, int, int]:
     """One round: rows, how many dependencies were resolved or led on, and how many are left."""
-    if "cycle" not in rows.columns:
-        rows = rows.withColumn("cycle", F.lit(False))
     opens = F.when(F.col("depends_on").isNotNull(), F.struct(F.col("depends_on").alias("to"), F.col("add")))
     nodes = rows.groupBy("graph_id", F.col("node").alias("depends_on")).agg(
         F.max("base").alias("its_base"), F.count("depends_on").alias("its_open"), F.max(opens).alias("its_one")
@@ -64,17 +62,17 @@ def _jumped(rows: DataFrame) -> tuple[DataFrame, int, int]:
     waits = F.col("depends_on").isNotNull()
     done, leads = waits & (F.col("its_open") == 0), waits & (F.col("its_open") == 1)
     add = F.when(done, F.lit(None)).when(leads, F.col("add") + F.col("its_one.add")).otherwise(F.col("add"))
-    # A way of more steps than the graph has nodes goes round a cycle.
-    round_trip = F.coalesce(add > F.col("size"), F.lit(False))
+    # A way of more steps than any graph has nodes goes round a cycle.
+    round_trip = F.coalesce(add > largest, F.lit(False))
     base = F.when(done | leads, F.greatest("base", F.col("add") + F.col("its_base"))).otherwise(F.col("base"))
     depends_on = F.when(done | round_trip, F.lit(None)).when(leads, F.col("its_one.to")).otherwise(F.col("depends_on"))
     moved = met.select(
-        "graph_id", "node", depends_on.alias("depends_on"), base.alias("base"), F.when(~round_trip, add).alias("add"), "size",
+        "graph_id", "node", depends_on.alias("depends_on"), base.alias("base"), F.when(~round_trip, add).alias("add"),
         (F.col("cycle") | round_trip).alias("cycle"), (done | leads).alias("moved"),
     )
     kept = (
         moved.groupBy("graph_id", "node", "depends_on")
-        .agg(F.max("base").alias("base"), F.max("add").alias("add"), F.max("size").alias("size"), F.max("cycle").alias("cycle"), F.max("moved").alias("moved"))
+        .agg(F.max("base").alias("base"), F.max("add").alias("add"), F.max("cycle").alias("cycle"), F.max("moved").alias("moved"))
         .checkpoint()
     )
     steps, left = kept.agg(F.count_if("moved"), F.count("depends_on")).first()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import content_hash, nonempty, parse_tags
+from corpusloom.functions.text import content_hash, nonempty
 from corpusloom.functions.tokens import chunk_search_text, search_keywords, segmented_text
 from corpusloom.scale import join_small_side
 from corpusloom.session import ensure_checkpoint_dir
@@ -122,7 +122,7 @@ def rebuild_search_fields(chunks: DataFrame, documents: DataFrame, *, include_ke
 
     ``chunks``: ``document_id, content, keywords, chunk_id, start, end`` and
     ``source`` (metadata source); ``documents``: ``document_id, title,
-    doc_name, document_source, tags`` (JSON text).
+    doc_name, document_source, tags`` (JSON text of any depth).
     """
     joined = join_small_side(chunks, documents, "document_id")
     title = F.coalesce(nonempty("title"), nonempty("doc_name"), F.lit(""))
@@ -132,7 +132,7 @@ def rebuild_search_fields(chunks: DataFrame, documents: DataFrame, *, include_ke
         source=source,
         content=F.col("content"),
         keywords=F.col("keywords") if include_keywords else None,
-        tags=parse_tags("tags"),
+        nested_tags=F.col("tags"),
         metadata=metadata_text(F.col("chunk_id"), F.col("source"), F.col("start"), F.col("end")),
     )
     return (

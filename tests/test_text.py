@@ -151,3 +151,20 @@ def test_feature_hashing_is_unit_length():
     vectors_ = hooks.feature_hashing(16)([["a", "b", "a"], [], ["c"]])
     lengths = [round(float((v * v).sum()), 9) for v in vectors_]
     assert lengths == [1.0, 0.0, 1.0]
+
+
+def test_nested_search_values(spark):
+    rows = {
+        '{"a":{"b":"x"},"c":["p","q"]}': "x p q",
+        '{"a":[1,[2.5,{"k":null,"l":[true,false]}]],"e":{},"u":"\\u00e9\\n \\"q\\": {"}': '1 2.5 True False é\n "q": {',
+        '["x",{"y":"a,b:c"}]': "x a,b:c",
+        '"only"': "only",
+        '{"a":1}}': "",
+        '{"a":1} x': "",
+        "{broken": "",
+        "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in rows], "j string").unionByName(spark.createDataFrame([(None,)], "j string"))
+    got = {r.j: (r.v, r.o) for r in df.select("j", text.nested_search_value("j").alias("v"), text.nested_search_value("j", objects_only=True).alias("o")).collect()}
+    assert {k: v for k, (v, _) in got.items()} == rows | {None: ""}
+    assert got['["x",{"y":"a,b:c"}]'][1] == "" and got['{"a":{"b":"x"},"c":["p","q"]}'][1] == "x p q"
