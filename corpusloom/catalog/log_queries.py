@@ -673,13 +673,46 @@ def streamed_memory(spark, folder):
 def streamed_documents(spark, folder):
     from pyspark.sql.types import _parse_datatype_string
 
-    from corpusloom.sources.tables import read_snapshot
-    from corpusloom.streaming.jobs import stream_ingest
+    from corpusloom.sources.buckets import read_buckets
+
+    root = _streamed_store(spark, folder)
+    return read_buckets(spark, f"{root}/documents", _parse_datatype_string("source string, content_hash string"))
+
 
-    d = _stream(spark, folder, "documents").select(
+def _documents(spark, folder):
+    return table(spark, folder, "documents").select(
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"), F.col("lang").alias("title"),
         F.lit("table").alias("doc_type"), "text", F.col("doc_id").alias("at"),
     )
-    root = scratch(spark, "documents")
-    stream_ingest(d, root, scratch(spark, "documents-log"), ["at"]).awaitTermination()
-    return read_snapshot(spark, f"{root}/documents", _parse_datatype_string("source string, content_hash string"))
+
+
+def _streamed_store(spark, folder):
+    """Drafts of all documents, then their texts twice, one in a batch after a later draft, then all texts again."""
+    from corpusloom.streaming.jobs import stream_ingest
+
+    d = _documents(spark, folder)
+    draft = d.withColumn("text", F.concat(F.lit("draft "), "text"))
+    batches = [draft, d.unionByName(draft.withColumn("at", F.col("at") - 1)), d.unionByName(d.withColumn("at", -F.col("at")))]
+    landed, root, log = (scratch(spark, f"documents-{name}") for name in ("landed", "store", "log"))
+    for batch in batches:
+        batch.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(d.schema).parquet(landed)
+        stream_ingest(stream, root, log, ["at"]).awaitTermination()
+    return root
+
+
+@query("streamed_chunks", "SELECT source || '/' || doc_id AS source, true AS equals_batch FROM documents WHERE trim(text, ' ') <> ''")
+def streamed_chunks(spark, folder):
+    from corpusloom.plans.ingest import build_chunks
+    from corpusloom.sources.buckets import read_buckets
+
+    root = _streamed_store(spark, folder)
+    batch = build_chunks(_documents(spark, folder))
+    streamed = read_buckets(spark, f"{root}/chunks", batch.schema)
+
+    def facts(rows, name):
+        row = F.xxhash64("chunk_id", "content", "search_text", "start", "end", "embedding")
+        return rows.groupBy("source").agg(F.struct(F.count("*"), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1 << 31)))).alias(name))
+
+    both = facts(streamed, "streamed").join(facts(batch, "batch"), "source", "full")
+    return both.select("source", F.col("streamed").eqNullSafe(F.col("batch")).alias("equals_batch"))

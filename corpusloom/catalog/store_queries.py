@@ -19,7 +19,7 @@ from corpusloom.functions.text import content_hash, normalize_text
 from corpusloom.operators import chunking, store
 from corpusloom.scale import spread
 from corpusloom.session import ensure_checkpoint_dir
-from corpusloom.sources import files, tables
+from corpusloom.sources import buckets, files, tables
 
 
 def scratch(spark, name: str) -> str:
@@ -116,6 +116,56 @@ def prechunked_load(spark, folder):
     return documents.select("source", "content_hash")
 
 
+def _bucketed(spark, folder):
+    """All stored documents and their chunks in buckets."""
+    root, stored = scratch(spark, "store"), _stored(spark, folder).select("source", "text", "content_hash")
+    buckets.write_buckets(stored, f"{root}/documents")
+    buckets.write_buckets(_window_chunks(stored), f"{root}/chunks")
+    return root
+
+
+def _read(spark, root, schema):
+    from pyspark.sql.types import _parse_datatype_string
+
+    return buckets.read_buckets(spark, root, _parse_datatype_string(schema))
+
+
+@query("stored_upsert_documents", f"WITH {_STORE_SQL} SELECT source, content_hash FROM documents_after")
+def stored_upsert_documents(spark, folder):
+    root = _bucketed(spark, folder)
+    store.upsert_stored_documents(spark, root, _incoming(spark, folder), _window_chunks, load=1)
+    return _read(spark, f"{root}/documents", "source string, content_hash string")
+
+
+@query(
+    "stored_upsert_chunks",
+    f"""WITH {_CHUNKS_AFTER_SQL}
+        SELECT source, (row_number() OVER (PARTITION BY source, text ORDER BY i) - 1)::BIGINT AS chunk_index, md5(content) AS content_md5 FROM cut WHERE content <> ''""",
+)
+def stored_upsert_chunks(spark, folder):
+    root = _bucketed(spark, folder)
+    store.upsert_stored_documents(spark, root, _incoming(spark, folder), _window_chunks, load=1)
+    after = _read(spark, f"{root}/chunks", "source string, chunk_index int, content_md5 string")
+    return after.select("source", big("chunk_index").alias("chunk_index"), "content_md5")
+
+
+@query(
+    "stored_prechunked_chunks",
+    f"""WITH {_STORE_SQL},
+        texts AS (SELECT source, text FROM stored_h WHERE source NOT IN (SELECT source FROM incoming WHERE source IS NOT NULL)
+                  UNION ALL SELECT source, text FROM incoming),
+        cut AS (
+          SELECT source, text, i, {sql_strip("substring(text, i * 400 + 1, 500)")} AS content
+          FROM (SELECT source, text, unnest(range(greatest(ceil((length(text) - 100) / 400.0), 1)::BIGINT)) AS i FROM texts WHERE length(text) > 0))
+        SELECT source, md5(content) AS content_md5, count(*)::BIGINT AS n FROM cut WHERE content <> '' GROUP BY 1, 2""",
+)
+def stored_prechunked_chunks(spark, folder):
+    root, new = _bucketed(spark, folder), _incoming(spark, folder).select("source", "text")
+    store.load_stored_prechunked(spark, root, new, _window_chunks(new), load=1)
+    after = _read(spark, f"{root}/chunks", "source string, content_md5 string")
+    return after.groupBy("source", "content_md5").agg(F.count("*").alias("n"))
+
+
 @query(
     "latest_per_source",
     """WITH rows AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type || user_id END AS source,

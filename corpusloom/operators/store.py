@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import content_hash, nonempty
 from corpusloom.functions.tokens import chunk_search_text, search_keywords, segmented_text
 from corpusloom.scale import join_small_side
-from corpusloom.session import ensure_checkpoint_dir
+from corpusloom.session import ensure_checkpoint_dir, written
+from corpusloom.sources.buckets import BUCKETS, read_buckets, replace_keys, touched_buckets
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -70,6 +71,37 @@ def upsert_documents(
     return documents, chunks, changed
 
 
+def upsert_stored_documents(
+    spark: SparkSession, root: str, incoming: DataFrame, make_chunks, order: Sequence[str] | None = None, *, buckets: int = BUCKETS, load: int = 0
+) -> DataFrame:
+    """:func:`upsert_documents` on the bucketed tables ``root/documents`` and ``root/chunks``; returns the changed documents.
+
+    Only buckets of incoming sources are read, only those of changed ones rewritten.  Chunks are written first
+    and documents decide what is stored, so a load that was cut off is run again with the same ``load``.
+    """
+    if order:
+        named = latest_per_key(incoming.filter(F.col("source").isNotNull()), ["source"], order)
+        incoming = named.unionByName(incoming.filter(F.col("source").isNull()))
+    if "content_hash" not in incoming.columns:
+        incoming = incoming.withColumn("content_hash", content_hash("text"))
+    incoming = incoming.drop(*(order or ()))
+    stored = read_buckets(spark, f"{root}/documents", incoming.schema, touched_buckets(incoming, "source", buckets))
+    changed = written(changed_documents(incoming, stored), "changed-documents")
+    sources = changed.filter(F.col("source").isNotNull()).select("source").distinct()
+    chunks = make_chunks(changed)
+    replace_keys(spark, f"{root}/chunks", chunks.schema, sources, chunks, buckets=buckets, load=load)
+    replace_keys(spark, f"{root}/documents", changed.schema, sources, changed, buckets=buckets, load=load)
+    return changed
+
+
+def load_stored_prechunked(spark: SparkSession, root: str, documents: DataFrame, chunks: DataFrame, *, buckets: int = BUCKETS, load: int = 0) -> None:
+    """:func:`load_prechunked` into the bucketed tables: never skipped, no content hash."""
+    new = documents.withColumn("content_hash", F.lit(None).cast("string"))
+    sources = new.filter(F.col("source").isNotNull()).select("source").distinct()
+    replace_keys(spark, f"{root}/chunks", chunks.schema, sources, chunks, buckets=buckets, load=load)
+    replace_keys(spark, f"{root}/documents", new.schema, sources, new, buckets=buckets, load=load)
+
+
 def changed_sources(changed: DataFrame) -> DataFrame:
     """Distinct sources of the changed documents, written once for the replacements that follow."""
     ensure_checkpoint_dir(changed.sparkSession)

@@ -174,3 +174,46 @@ def test_database_urls():
     for url in ("mysql://h/db", "postgresql://", "postgresql:///db", "postgresql://host/"):
         with pytest.raises(ValueError):
             tables.jdbc_options(url, "u", "p")
+
+
+def test_a_change_rewrites_its_buckets_only(spark, tmp_path):
+    from pathlib import Path
+
+    from corpusloom.sources import buckets
+
+    root = str(tmp_path / "store")
+
+    def chunked(documents):
+        parts = documents.filter("text <> ''").select("source", F.posexplode(F.split("text", " ")).alias("chunk_index", "content"))
+        return parts.select("source", "chunk_index", "content")
+
+    def files(name):
+        return {p.parent.name: sorted(x.name for x in p.parent.glob("part-*")) for p in Path(f"{root}/{name}").glob("bucket=*/part-*")}
+
+    def rows(name, schema):
+        from pyspark.sql.types import _parse_datatype_string
+
+        return sorted(map(str, map(tuple, buckets.read_buckets(spark, f"{root}/{name}", _parse_datatype_string(schema)).collect())))
+
+    kind = "source string, text string"
+    first = spark.createDataFrame([(f"s{i}", f"a{i} b{i}") for i in range(60)] + [(None, "no name"), (None, "no name")], kind)
+    store.upsert_stored_documents(spark, root, first, chunked, load=0)
+    before = files("documents"), files("chunks")
+    second = spark.createDataFrame([("s3", "a3 b3"), ("s7", "changed"), ("s9", ""), ("new", "new text"), (None, "no name")], kind)
+    changed = store.upsert_stored_documents(spark, root, second, chunked, load=1)
+    assert sorted(str(r.source) for r in changed.collect()) == ["None", "new", "s7", "s9"]
+    touched = {f"bucket={b}" for b in buckets.touched_buckets(changed)} | {"bucket=-2"}
+    for name, old in zip(("documents", "chunks"), before):
+        now = files(name)
+        assert {b for b in now if now[b] != old.get(b)} <= touched and {f for b, f in old.items() if b not in touched and now[b] != f} == set()
+        assert len(touched) <= 4
+    texts = {f"s{i}": f"a{i} b{i}" for i in range(60)} | {"s7": "changed", "s9": "", "new": "new text"}
+    want = sorted(str((s, t)) for s, t in [*texts.items(), *[(None, "no name")] * 3])
+    assert rows("documents", kind) == want
+    want_chunks = sorted(str((s, c)) for s, t in [*texts.items(), *[(None, "no name")] * 3] if t for c in t.split(" "))
+    assert rows("chunks", "source string, content string") == want_chunks
+    # A load that is run again changes nothing.
+    store.upsert_stored_documents(spark, root, second, chunked, load=1)
+    assert rows("documents", kind) == want and rows("chunks", "source string, content string") == want_chunks
+    store.load_stored_prechunked(spark, root, spark.createDataFrame([("s1", "x y")], kind), chunked(spark.createDataFrame([("s1", "p q r")], kind)), load=2)
+    assert ("('s1', 'r')" in rows("chunks", "source string, content string")) and rows("documents", "source string, content_hash string").count("('s1', None)") == 1

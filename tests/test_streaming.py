@@ -2,9 +2,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.memory import fold_overflow
 from corpusloom.operators.store import upsert_sessions
+from corpusloom.sources.buckets import read_buckets
 from corpusloom.sources.tables import current_version, read_snapshot
 from corpusloom.streaming.jobs import fold_memory, stream_ingest, stream_sessions
 
+def schema_of(text):
+    from pyspark.sql.types import _parse_datatype_string
+
+    return _parse_datatype_string(text)
+
+
 MESSAGE = "session_id string, turn long, content string"
 
 
@@ -69,7 +76,7 @@ def test_ingest_stream(spark, tmp_path):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(source)
         stream = spark.readStream.schema(kind).json(source)
         stream_ingest(stream, root, str(tmp_path / "log"), ["at"]).awaitTermination()
-    docs = spark.read.parquet(f"{root}/documents/data/version=2")
-    chunks = spark.read.parquet(f"{root}/chunks/data/version=2")
+    docs = read_buckets(spark, f"{root}/documents", schema_of("source string, text string"))
+    chunks = read_buckets(spark, f"{root}/chunks", schema_of("source string, content string"))
     assert {(r["source"], r["text"]) for r in docs.collect()} == {("a", "one again"), ("b", "two changed"), ("c", "three")}
     assert {(r["source"], r["content"]) for r in chunks.collect()} == {("a", "one again"), ("b", "two changed"), ("c", "three")}
