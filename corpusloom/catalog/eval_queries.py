@@ -21,6 +21,7 @@ from corpusloom.catalog.fragments import (
     sql_vectors,
 )
 from corpusloom.catalog.registry import big, query, table
+from corpusloom.catalog.search_queries import HYBRID_SQL, OVERLAP_SQL, asked_passages
 from corpusloom.operators import evaluation
 from corpusloom.operators.fusion import fuse_two_lists
 from corpusloom.operators.keyword_search import keyword_topk
@@ -60,8 +61,7 @@ def expected_ids(spark, folder):
     return c.select("conv_id", "turn", F.array_join(evaluation.expected_ids(evidence), "|").alias("ids"))
 
 
-_SCORES_SQL = f"""
-{_BASE_SQL},
+_SCORED_SQL = """
 sizes AS (SELECT item_id, count(*) AS expected_count FROM expected GROUP BY 1),
 found AS (
   SELECT e.item_id, min(rank) AS first_hit_rank, count(*) FILTER (rank <= 1) AS f1, count(*) FILTER (rank <= 3) AS f3, count(*) FILTER (rank <= 5) AS f5, count(*) FILTER (rank <= 10) AS f10
@@ -72,6 +72,12 @@ scored AS (
          coalesce(f5 / expected_count::DOUBLE, 0.0::DOUBLE) AS recall_at_5, coalesce(f10 / expected_count::DOUBLE, 0.0::DOUBLE) AS recall_at_10,
          coalesce(1.0::DOUBLE / first_hit_rank, 0.0::DOUBLE) AS reciprocal_rank
   FROM benchmark b LEFT JOIN sizes USING (item_id) LEFT JOIN found USING (item_id))"""
+_SCORES_SQL = f"{_BASE_SQL}, {_SCORED_SQL}"
+_SCORE_NAMES = ("recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "reciprocal_rank")
+_MEANS_SQL = """SELECT count(*)::BIGINT AS total, round(avg(recall_at_1), 9) AS recall_at_1, round(avg(recall_at_3), 9) AS recall_at_3,
+        round(avg(recall_at_5), 9) AS recall_at_5, round(avg(recall_at_10), 9) AS recall_at_10, round(avg(reciprocal_rank), 9) AS mrr FROM scored"""
+# The same items by the full retrieval: variants, both paths, fusion.
+_RETRIEVED_SQL = f"{HYBRID_SQL}, {QUESTIONS_SQL}, {SENTENCES_SQL}, hits AS (SELECT query_id, chunk_id, rank FROM hybrid WHERE rank <= 10)"
 
 
 def _scored(spark, folder):
@@ -255,15 +261,86 @@ def judge_rollup(spark, folder):
     )
 
 
-@query("metric_report")
+def _retrieved(spark, folder, **options):
+    return retrieve.retrieve(corpus(spark, folder), asked_passages(spark, folder), embed_text, mode="balanced", **options)
+
+
+def _retrieval_scored(spark, folder):
+    c, q = corpus(spark, folder), questions(spark, folder)
+    return evaluation.score_items(_items(spark, folder), expected_chunks(c.chunks, q), _by_item(_retrieved(spark, folder, top_k=10)))
+
+
+@query(
+    "retrieval_item_scores",
+    f"""WITH {_RETRIEVED_SQL}, {_SCORED_SQL} SELECT item_id, expected_count, first_hit_rank, {", ".join(f"round({c}, 9) AS {c}" for c in _SCORE_NAMES)} FROM scored""",
+)
+def retrieval_item_scores(spark, folder):
+    s = _retrieval_scored(spark, folder)
+    return s.select(
+        "item_id", big("expected_count").alias("expected_count"), big("first_hit_rank").alias("first_hit_rank"), *[F.round(c, 9).alias(c) for c in _SCORE_NAMES]
+    )
+
+
+@query("retrieval_mean_metrics", f"WITH {_RETRIEVED_SQL}, {_SCORED_SQL} {_MEANS_SQL}")
+def retrieval_mean_metrics(spark, folder):
+    m = evaluation.mean_metrics(_retrieval_scored(spark, folder))
+    return m.select("total", *[F.round(c, 9).alias(c) for c in m.columns if c != "total"])
+
+
+@query(
+    "retrieval_rerank_comparison",
+    f"""WITH {HYBRID_SQL}, {OVERLAP_SQL}, {QUESTIONS_SQL}, {SENTENCES_SQL}, {_SNIPPETS_SQL},
+        top5 AS (SELECT * FROM hybrid WHERE rank <= 5), again AS (SELECT * FROM reranked WHERE rank <= 5),
+        {_sql_first_hit("a", "top5")}, {_sql_first_hit("z", "again")}, {_sql_lists("al", "top5")}, {_sql_lists("zl", "again")},
+        compared AS (
+          SELECT item_id, a.first_rank AS first_rank, z.first_rank AS second_rank, coalesce(al.sources, '') <> coalesce(zl.sources, '') AS sources_changed
+          FROM benchmark LEFT JOIN a USING (item_id) LEFT JOIN z USING (item_id) LEFT JOIN al USING (item_id) LEFT JOIN zl USING (item_id))
+        SELECT count(*)::BIGINT AS total, count(*) FILTER (sources_changed)::BIGINT AS sources_changed,
+               count(*) FILTER (first_rank IS DISTINCT FROM second_rank)::BIGINT AS rank_changed,
+               count(*) FILTER (second_rank IS NOT NULL AND (first_rank IS NULL OR second_rank < first_rank))::BIGINT AS improved,
+               count(*) FILTER (first_rank IS NOT NULL AND (second_rank IS NULL OR second_rank > first_rank))::BIGINT AS degraded FROM compared""",
+)
+def retrieval_rerank_comparison(spark, folder):
+    c = corpus(spark, folder)
+    plain, again = (_by_item(with_chunk_text(_retrieved(spark, folder, use_rerank=r), c.chunks)) for r in (False, True))
+    return evaluation.comparison_counts(evaluation.compare_runs(_labelled(spark, folder), plain, again))
+
+
+@query(
+    "evidence_gaps",
+    f"""WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {SENTENCES_SQL} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM expected)""",
+)
+def evidence_gaps(spark, folder):
+    expected = expected_chunks(corpus(spark, folder).chunks, questions(spark, folder)).groupBy("item_id").agg(F.collect_set("chunk_id").alias("expected_evidences"))
+    return evaluation.items_without_evidence(_items(spark, folder).join(expected, "item_id", "left")).select("item_id")
+
+
+@query(
+    "metric_report_scores",
+    f"WITH {_SCORES_SQL} SELECT item_id, round(reciprocal_rank, 9) AS reciprocal_rank FROM scored",
+)
+def metric_report_scores(spark, folder):
+    path = _report(spark, folder)
+    return spark.read.schema("item_id long, reciprocal_rank double").json(f"{path}/scores").select("item_id", F.round("reciprocal_rank", 9).alias("reciprocal_rank"))
+
+
+@query(
+    "metric_report",
+    f"WITH {_SCORES_SQL}, means AS ({_MEANS_SQL}) SELECT *, 10::BIGINT AS top_k FROM means",
+)
 def metric_report(spark, folder):
+    m = spark.read.json(f"{_report(spark, folder)}/summary")
+    return m.select(big("total").alias("total"), *[F.round(c, 9).alias(c) for c in m.columns if c not in ("total", "top_k")], big("top_k").alias("top_k"))
+
+
+def _report(spark, folder):
     from corpusloom.catalog.store_queries import scratch
     from corpusloom.sources.tables import write_report
 
     s = _scored(spark, folder)
     path = scratch(spark, "report")
     write_report(evaluation.mean_metrics(s), s.select("item_id", "reciprocal_rank"), path, top_k=10)
-    return spark.read.json(f"{path}/summary")
+    return path
 
 
 @query(

@@ -25,6 +25,7 @@ from corpusloom.catalog.fragments import (
 )
 from corpusloom.catalog.registry import big, query, table
 from corpusloom.catalog.text_queries import _sql_rewrite
+from corpusloom.functions.hooks import scorer_with_rule
 from corpusloom.operators import fusion, keyword_search, rerank, vector_search
 from corpusloom.plans import retrieve as plan
 from corpusloom.session import scratch_folder
@@ -424,6 +425,33 @@ def reranked_hits(spark, folder):
     )
 
 
+_HOOK_SQL = """
+paired AS (SELECT h.query_id, h.chunk_id, h.rank AS candidate_rank, c.content, {query_tokens} AS qt, {chunk_tokens} AS ct
+           FROM hits h JOIN questions q USING (query_id) JOIN chunks c USING (chunk_id)),
+scored AS (SELECT *, CASE WHEN contains(content, 'an') THEN CASE WHEN len(list_distinct(qt)) > 0 THEN len(list_intersect(qt, ct)) / len(list_distinct(qt))::DOUBLE ELSE 0.0::DOUBLE END
+                          ELSE (length(content) % 97) / 97::DOUBLE END AS score FROM paired)"""
+
+
+def _length_model(pairs):
+    """Stands in for a model that fails on some texts."""
+    if any("an" in text for _, text in pairs):
+        raise RuntimeError("this text is refused")
+    return [len(text) % 97 / 97 for _, text in pairs]
+
+
+@query(
+    "reranked_by_hook",
+    f"""WITH {CHUNKS_SQL}, {CHUNK_TOKENS_SQL}, {QUESTIONS_SQL}, {_TERMS_SQL}, {sql_keyword_hits("hits", "terms", "query_id", 20)},
+        {_HOOK_SQL.format(query_tokens=sql_match_tokens("q.query"), chunk_tokens=sql_match_tokens("c.content"))}
+        SELECT query_id, chunk_id, round(score, 9) AS score, rank::BIGINT AS rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_rank) AS rank FROM scored) WHERE rank <= 5""",
+)
+def reranked_by_hook(spark, folder):
+    c, q = corpus(spark, folder), questions(spark, folder)
+    hits = plan.with_chunk_text(keyword_search.keyword_topk(c.keywords, q, 20), c.chunks, ("content",)).join(q, "query_id")
+    return _ranked(rerank.rerank(hits, 5, scorer=scorer_with_rule(_length_model, rerank.token_overlap)))
+
+
 @query(
     "backfilled_scores",
     f"""WITH {_EXACT_SQL},

@@ -391,6 +391,58 @@ def directory_scan(spark, folder):
     )
 
 
+def _a_file_each(spark, folder):
+    """Every document as a file of its own, in a folder by language."""
+    path = scratch(spark, "files")
+    d = table(spark, folder, "documents").select("lang", "doc_id", F.col("text").alias("value"))
+    d.repartition("lang", "doc_id").write.partitionBy("lang", "doc_id").text(path)
+    return path
+
+
+def _file_facts(documents):
+    return (
+        F.regexp_extract("source", r"/lang=([^/]+)/", 1).alias("lang"), F.regexp_extract("source", r"/doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"),
+        "content_hash",
+    )
+
+
+@query(
+    "ordered_directory_scan",
+    """SELECT lang, doc_id, sha256(text || chr(10)) AS content_hash, row_number() OVER (ORDER BY 'lang=' || lang, 'doc_id=' || doc_id) - 1 AS position
+       FROM documents""",
+)
+def ordered_directory_scan(spark, folder):
+    d = files.in_path_order(files.read_directory(spark, _a_file_each(spark, folder), "*.txt"))
+    return d.select(*_file_facts(d), big("position").alias("position"))
+
+
+@query(
+    "single_file_scan",
+    """SELECT lang, doc_id, sha256(text || chr(10)) AS content_hash, 'local_file' AS doc_type, true AS named FROM documents""",
+)
+def single_file_scan(spark, folder):
+    d = files.read_file(spark, f"{_a_file_each(spark, folder)}/lang=*/doc_id=*/*.txt")
+    named = F.endswith(F.col("source"), F.concat(F.lit("/"), F.col("title"), F.lit(".txt"))) & (F.col("tags")["path"] == F.col("source")) & (F.col("chunk_id_prefix") == F.col("title"))
+    return d.select(*_file_facts(d), "doc_type", named.alias("named"))
+
+
+@query(
+    "first_items_of_files",
+    """SELECT item_id, text AS question, position::BIGINT AS position FROM (
+         SELECT 'case_' || item_id AS item_id, text, row_number() OVER (ORDER BY 'part=' || item_id % 4, item_id) - 1 AS position FROM benchmark) WHERE position < 20""",
+)
+def first_items_of_files(spark, folder):
+    """Items of four files of JSON arrays, in the order of file names and of places in a file."""
+    path = scratch(spark, "eval-files")
+    b = table(spark, folder, "benchmark")
+    item = F.to_json(F.struct(F.concat(F.lit("case_"), F.col("item_id").cast("string")).alias("item_id"), F.col("text").alias("question")))
+    rows = b.select((F.col("item_id") % 4).alias("part"), F.struct("item_id", item.alias("item")).alias("r"))
+    lists = rows.groupBy("part").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    lists.select("part", F.concat(F.lit("["), F.array_join(F.transform("rs", lambda r: r["item"]), ",\n"), F.lit("]")).alias("value")).repartition("part").write.partitionBy("part").text(path)
+    items = tables.read_eval_items(spark, f"{path}/part=*/*.txt")
+    return tables.first_items(items, 20).select("item_id", "question", big("position").alias("position"))
+
+
 @query(
     "downloaded_files",
     "SELECT 'conv_id' AS kind, sum(length(text) + 1)::BIGINT AS characters FROM conversations",

@@ -20,9 +20,14 @@ def _refuse(bad: DataFrame, what: str) -> None:
         raise ValueError(f"{n} {what}, first of them: {', '.join(str(r['item_id']) for r in first)}")
 
 
+def items_without_evidence(items: DataFrame, evidences: str = "expected_evidences") -> DataFrame:
+    """Items with a null or empty list of expected evidence."""
+    return items.filter(F.coalesce(F.size(evidences), F.lit(0)) <= 0)
+
+
 def require_evidence(items: DataFrame, evidences: str = "expected_evidences") -> DataFrame:
     """Raise when an item has no expected evidence at all; otherwise return the items."""
-    _refuse(items.filter(F.coalesce(F.size(evidences), F.lit(0)) <= 0), "items without expected evidence")
+    _refuse(items_without_evidence(items, evidences), "items without expected evidence")
     return items
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import content_hash, file_stem
+from corpusloom.numbering import number_rows
 
 # Document types and the prefix of downloaded files.
 LOCAL_FILE_TYPE = "local_file"
@@ -45,8 +46,17 @@ def read_directory(spark: SparkSession, folder: str, pattern: str = "*.md") -> D
     return _described(files)
 
 
+def in_path_order(documents: DataFrame, path: str = "source") -> DataFrame:
+    """Documents with their ``position`` (from 0) in the order of their paths, folder by folder.
+
+    The scan itself reads files in any order; only here are rows put in order, by ranges of paths.
+    """
+    placed = number_rows(documents, [F.split(path, "/")], "position")
+    return placed.withColumn("position", F.col("position") - 1)
+
+
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """One file as one document row."""
+    """One file as one document row; a pattern of paths gives one for each."""
     return _described(_whole_texts(spark.read.format("text").option("wholetext", True).load(path)))
 
 
