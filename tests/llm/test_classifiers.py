@@ -102,7 +102,7 @@ def test_registered(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM[1:]) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM[1:]) == list(range(1, 14))
 
 
 def test_stages_keep_columns(spark):
@@ -122,3 +122,31 @@ def test_stages_keep_columns(spark):
 def test_capitals_are_counted_alike_at_every_length():
     for text in ("ΑΒΓδ εζ a ", "Привет МИР ok ", "Ünder ÄÖ x "):
         assert abs(quality.shape(text)[10] - quality.shape(text * 5000)[10]) < 1e-12
+
+
+def test_the_penalty_acts_on_names_that_occur(spark, more_docs, labels):
+    free = toxicity.train(more_docs, labels, penalty=0.0)
+    held = toxicity.train(more_docs, labels)
+    pairs, change = toxicity.mean_swap_change(more_docs, labels, held)
+    again, without = toxicity.mean_swap_change(more_docs, labels, free)
+    assert pairs == again > 0
+    assert change <= without
+
+
+def test_names_are_words_with_capitals_inside_sentences(spark):
+    assert toxicity.capitals("Here comes Anna, Berta and anna. Zoe is here\nToo") == {
+        "comes": (0, 1), "anna": (1, 2), "berta": (1, 1), "and": (0, 1), "is": (0, 1), "here": (0, 1),
+    }
+    df = spark.createDataFrame([("we met Anna and Berta", ), ("so Anna saw Berta the",)] * 5, "text string")
+    assert toxicity.learnt_lines(df) == [("anna", "berta")]
+
+
+def test_feature_changes_equal_those_of_swapped_sets():
+    words = {"anna", "annabel", "berta", "saw", "bertas", "clara"}
+    swaps = {w: ("anna", "berta", "clara", "annabella") for w in ("anna", "berta", "clara", "annabella")}
+    changes = toxicity.feature_changes(words, swaps)
+    pairs = toxicity.counterparts(words, swaps)
+    assert pairs == [("anna", "berta"), ("anna", "clara"), ("berta", "clara"), ("berta", "annabella"), ("clara", "annabella"), ("clara", "anna")]
+    for (word, other), (gone, come) in zip(pairs, changes):
+        before, after = toxicity._features(words), toxicity._features((words - {word}) | {other})
+        assert (set(gone), set(come)) == (before - after, after - before)
