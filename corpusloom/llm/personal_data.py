@@ -28,7 +28,7 @@ from corpusloom.scale import top_per_group
 KINDS = ("email", "ip", "card", "phone")
 #: Digit groups of one segment, at most.
 LONGEST = 8
-#: Stretches of digits that the field learns from, at most: of each kind of number, and without one.
+#: Stretches of digits that the field learns from, at most, of each kind of number; four times as many without one.
 SAMPLE_STRETCHES = 400
 #: An added segment must win by this much over leaving its groups outside.
 MARGIN = 1.0
@@ -293,11 +293,12 @@ def stretches_of(text: str) -> list[tuple[str, int, int, list[Span]]]:
 
 
 def train(docs: DataFrame, most: int = SAMPLE_STRETCHES) -> dict[str, float]:
-    """Weights from at most ``most`` stretches of digits for each kind of number and as many without one.
+    """Weights from at most ``most`` stretches of digits for each kind of number and four times as many without one.
 
     All texts are searched for stretches; those with the smallest hashes of their context are taken, so a kind
-    that occurs anywhere is learned from and no document or source comes first.  Each task keeps ``most`` of a sort.
+    that occurs anywhere is learned from and no document or source comes first.  Each task keeps as many of a sort.
     """
+    several = 4 * most
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, dict[int, tuple]] = {}
@@ -309,19 +310,29 @@ def train(docs: DataFrame, most: int = SAMPLE_STRETCHES) -> dict[str, float]:
                     for sort in {k for k, *_ in spans if k in NUMBERS} or {""}:
                         rows = held.setdefault(sort, {})
                         rows.setdefault(key, row)
-                        if len(rows) > 4 * most:
-                            held[sort] = {k: rows[k] for k in sorted(rows)[:most]}
-        out = [(sort, key, *rows[key]) for sort, rows in held.items() for key in sorted(rows)[:most]]
+                        if len(rows) > 2 * several:
+                            held[sort] = {k: rows[k] for k in sorted(rows)[:several]}
+        out = [(sort, key, *rows[key]) for sort, rows in held.items() for key in sorted(rows)[: several if sort == "" else most]]
         yield pd.DataFrame(out, columns=["sort", "key", "context", "start", "stop", "spans"])
 
     schema = "sort string, key long, context string, start int, stop int, spans array<struct<kind: string, start: int, stop: int>>"
     found = columns_of(docs, ["text"]).mapInPandas(cut, schema).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64)))
     # Two steps, so that no task gets the rows of all others; equal contexts of two tasks meet in the first.
     some = found.dropDuplicates(["sort", "key"])
-    some = top_per_group(some, ["sort", "part"], ["key"], most).drop("rank")
-    rows = top_per_group(some, ["sort"], ["key"], most).orderBy("key", "sort").collect()
+    some = top_per_group(some, ["sort", "part"], ["key"], several).drop("rank")
+    rows = top_per_group(some, ["sort"], ["key"], several).filter((F.col("sort") == "") | (F.col("rank") <= most)).orderBy("key", "sort").collect()
     stretches = {r["key"]: (r["context"], r["start"], r["stop"], [(s["kind"], s["start"], s["stop"]) for s in r["spans"]]) for r in rows}
-    return train_field(list(stretches.values()))
+    return train_field([*stretches.values(), *_dates()])
+
+
+def _dates() -> list[tuple[str, int, int, list[Span]]]:
+    """Dates and times as stretches without a number of any kind: many corpora hold too few to learn them from."""
+    out = []
+    for k in range(60):
+        year, month, day, hour = 1970 + k, 1 + k % 12, 1 + k % 28, k % 24
+        written = (f"{year}-{month:02}-{day:02}", f"{day:02}.{month:02}.{year}", f"{month}/{day}/{year}", f"{hour:02}:{k:02}:{59 - k:02}", f"{year}-{month:02}-{day:02} {hour:02}:{k:02}")
+        out.append((written[k % 5], 0, len(written[k % 5]), []))
+    return out
 
 
 def spans_column(spark, weights: dict[str, float], text: Column) -> Column:
