@@ -613,8 +613,9 @@ def block_rows(spark, folder):
 
 
 def _stream(spark, folder, name):
+    """A table as a stream, be it one file or a folder of files; a stream takes a file only as a pattern."""
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}[.]parquet")
 
 
 @query(

@@ -80,3 +80,13 @@ def test_ingest_stream(spark, tmp_path):
     chunks = read_buckets(spark, f"{root}/chunks", schema_of("source string, content string"))
     assert {(r["source"], r["text"]) for r in docs.collect()} == {("a", "one again"), ("b", "two changed"), ("c", "three")}
     assert {(r["source"], r["content"]) for r in chunks.collect()} == {("a", "one again"), ("b", "two changed"), ("c", "three")}
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    from corpusloom.catalog import QUERIES
+
+    rows = [(c, t, "user", f"text {c} {t}") for c in range(20) for t in range(1, 9)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    messages.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["streamed_memory"](spark, str(tmp_path)).collect()
+    assert sorted((int(r["session_id"]), r["message_count"]) for r in got) == [(c, 8) for c in range(20)]
