@@ -9,6 +9,7 @@ from corpusloom.catalog.fragments import (
     CHUNKS_SQL,
     QUESTIONS_SQL,
     SENTENCES_SQL,
+    chunks,
     corpus,
     embed_text,
     expected_chunks,
@@ -311,7 +312,7 @@ def retrieval_rerank_comparison(spark, folder):
     f"""WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {SENTENCES_SQL} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM expected)""",
 )
 def evidence_gaps(spark, folder):
-    expected = expected_chunks(corpus(spark, folder).chunks, questions(spark, folder)).groupBy("item_id").agg(F.collect_set("chunk_id").alias("expected_evidences"))
+    expected = expected_chunks(chunks(spark, folder), questions(spark, folder)).groupBy("item_id").agg(F.collect_set("chunk_id").alias("expected_evidences"))
     return evaluation.items_without_evidence(_items(spark, folder).join(expected, "item_id", "left")).select("item_id")
 
 

@@ -143,6 +143,28 @@ def test_the_index_is_read_once_by_shard_and_only_what_is_asked(spark, stored, t
     assert again.tokens.filter("token = 'every'").first()["chunks"] == 6000
 
 
+def test_blocks_and_counts_match_the_postings_of_the_chunks(spark, corpus, queries, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyword_index, "RANGE_CHUNKS", 70)  # bits on both sides
+    index = keyword_index.write_keyword_index(corpus, str(tmp_path / "index"))
+    one = index.postings.select("shard", "token", "part", "n", "positions", F.bit_count("low").alias("a"), F.bit_count("high").alias("b"), F.explode("postings").alias("p"))
+    assert one.filter("a + b <> n").count() == 0 and one.filter("b > 0").count() > 0
+    got = sorted((r["chunk_id"], r["token"], r["tf"], r["length"]) for r in one.select("token", "p.*").collect())
+    counted = [(c["chunk_id"], t, c["content"].split().count(t), len(c["content"].split())) for c in corpus.collect() for t in set(c["content"].split())]
+    assert got == sorted(counted)
+    asked = queries.drop("source")
+    found = {r["query_id"]: r["chunks"] for r in keyword_index.matching_chunk_counts(index, asked).collect()}
+    texts = [set(c["content"].split()) for c in corpus.collect()]
+    assert found == {q["query_id"]: sum(bool(t & set(q["query"].split())) for t in texts) for q in asked.collect() if q["query_id"] != 99}
+
+
+def test_scores_make_no_row_for_each_match(spark, stored, tmp_path):
+    index = keyword_index.write_keyword_index(stored, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(i, "rare every") for i in range(30)], "query_id long, query string")
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (keyword_index.search(index, asked, 5), keyword_index.matching_chunk_counts(index, asked))]
+    assert all("explode(" not in plan for plan in plans)
+    assert keyword_index.search(index, asked, 5).count() == 150
+
+
 def test_no_queries(corpus, queries):
     none = queries.filter("false")
     assert vector_search.vector_topk(corpus, none, 3).count() == 0
