@@ -59,6 +59,15 @@ def test_crowded_hashes_are_compared_window_by_window(spark, monkeypatch):
     assert found == want
 
 
+def test_crowded_windows_that_touch_are_one_span(spark):
+    rng = random.Random(8)
+    passage, other, length = words(rng, 60).encode(), words(rng, 60).encode(), 70
+    pieces = [(1, b"g", 1, passage + other[:40]), (1, b"i", 1, b"x" + passage), (1, b"k", 2, other)]
+    marks = repeats._crowded_marks(spark.createDataFrame(pieces, "h long, g binary, copies long, piece binary"), length).collect()
+    found = {bytes(r["g"]): (r["starts"], r["ends"]) for r in marks}
+    assert found == {b"g": ([0], [len(passage)]), b"i": ([1], [1 + len(passage)]), b"k": ([0], [len(other)])}
+
+
 def test_small_blocks_and_pieces_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 300)
     monkeypatch.setattr(repeats, "PIECE_WINDOWS", 16)
