@@ -13,6 +13,7 @@ from corpusloom.catalog.fragments import (
     corpus,
     embed_text,
     expected_chunks,
+    keyword_corpus,
     questions,
     sql_keyword_hits,
     sql_query_terms,
@@ -82,7 +83,7 @@ _RETRIEVED_SQL = f"{HYBRID_SQL}, {QUESTIONS_SQL}, {SENTENCES_SQL}, hits AS (SELE
 
 
 def _scored(spark, folder):
-    c, q = corpus(spark, folder), questions(spark, folder)
+    c, q = keyword_corpus(spark, folder), questions(spark, folder)
     return evaluation.score_items(_items(spark, folder), expected_chunks(c.chunks, q), _by_item(keyword_topk(c.keywords, q, 10)))
 
 
@@ -116,7 +117,7 @@ def mean_metrics(spark, folder):
         SELECT quality::BIGINT AS quality, count(*)::BIGINT AS items, round(avg(reciprocal_rank), 9) AS mrr FROM scored JOIN tagged USING (item_id) GROUP BY 1""",
 )
 def metrics_by_quality(spark, folder):
-    c, q = corpus(spark, folder).chunks, questions(spark, folder)
+    c, q = keyword_corpus(spark, folder).chunks, questions(spark, folder)
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     expected = expected_chunks(c, q).withColumn("doc_id", F.regexp_extract("chunk_id", r"\A(\d+)-", 1).cast("long"))
     tagged = expected.join(labels, "doc_id").select("item_id", "quality").distinct()
@@ -134,7 +135,7 @@ labelled AS (
 
 
 def _labelled(spark, folder):
-    c, q = corpus(spark, folder).chunks, questions(spark, folder)
+    c, q = keyword_corpus(spark, folder).chunks, questions(spark, folder)
     expected = expected_chunks(c, q)
     source = join_small_side(c.select("chunk_id", "source"), expected, "chunk_id").groupBy("item_id").agg(
         F.min("source").alias("expected_source")
@@ -159,7 +160,7 @@ def _sql_first_hit(name: str, hits: str) -> str:
         SELECT item_id, first_rank::BIGINT AS first_hit_rank FROM benchmark LEFT JOIN firsts USING (item_id)""",
 )
 def source_snippet_ranks(spark, folder):
-    c = corpus(spark, folder)
+    c = keyword_corpus(spark, folder)
     hits = _by_item(with_chunk_text(keyword_topk(c.keywords, questions(spark, folder), 10), c.chunks, _items(spark, folder)))
     ranks = evaluation.first_hit_ranks(_labelled(spark, folder), hits)
     return ranks.select("item_id", big("first_hit_rank").alias("first_hit_rank"))
@@ -212,7 +213,7 @@ compared AS (
 
 
 def _rerank_comparison(spark, folder):
-    c, q = corpus(spark, folder), questions(spark, folder)
+    c, q = keyword_corpus(spark, folder), questions(spark, folder)
     hits = with_chunk_text(keyword_topk(c.keywords, q, 10), c.chunks, q)
     again = rerank(hits.join(q, "query_id"), 5)
     return evaluation.compare_runs(
@@ -351,7 +352,7 @@ def _report(spark, folder):
         FROM benchmark LEFT JOIN (SELECT query_id AS item_id, string_agg(content, chr(10) ORDER BY rank) AS contexts FROM hits JOIN chunks USING (chunk_id) WHERE rank <= 5 GROUP BY 1) USING (item_id)""",
 )
 def answer_eval_rows(spark, folder):
-    c = corpus(spark, folder)
+    c = keyword_corpus(spark, folder)
     b = table(spark, folder, "benchmark")
     items = b.select("item_id", F.col("text").alias("question"), F.concat(F.lit("Ref: "), "text").alias("ground_truth"))
     responses = b.select("item_id", F.concat(F.lit("answer "), F.col("item_id").cast("string")).alias("response"))
@@ -409,7 +410,7 @@ def fact_questions(spark, folder):
           FROM hits h WHERE NOT EXISTS (SELECT 1 FROM expected e WHERE e.item_id = h.query_id AND e.chunk_id = h.chunk_id)) WHERE negative_rank <= 3""",
 )
 def hard_negatives(spark, folder):
-    c, q = corpus(spark, folder), questions(spark, folder)
+    c, q = keyword_corpus(spark, folder), questions(spark, folder)
     n = evaluation.hard_negatives(_by_item(keyword_topk(c.keywords, q, 10)), expected_chunks(c.chunks, q), 3)
     return n.select("item_id", "chunk_id", big("hit_rank").alias("hit_rank"), big("negative_rank").alias("negative_rank"))
 
@@ -436,7 +437,7 @@ l AS (SELECT e.item_id, count(*) FILTER (rank <= 5) AS f, min(rank) FILTER (rank
         FROM benchmark LEFT JOIN sizes USING (item_id) LEFT JOIN w USING (item_id) LEFT JOIN l USING (item_id)""",
 )
 def hard_negative_ablation(spark, folder):
-    stored, q = corpus(spark, folder), questions(spark, folder)
+    stored, q = keyword_corpus(spark, folder), questions(spark, folder)
     c = stored.chunks
     expected = expected_chunks(c, q)
     hits = _by_item(keyword_topk(stored.keywords, q, 10))

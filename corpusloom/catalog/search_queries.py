@@ -12,6 +12,7 @@ from corpusloom.catalog.fragments import (
     chunks,
     corpus,
     embed_text,
+    keyword_corpus,
     questions,
     sql_keyword_hits,
     sql_keywords,
@@ -44,7 +45,7 @@ def _ranked(df, *more):
         FROM terms JOIN chunk_tokens USING (token) GROUP BY 1, 2""",
 )
 def term_statistics(spark, folder):
-    s = keyword_search.term_statistics(corpus(spark, folder).keywords, questions(spark, folder))
+    s = keyword_search.term_statistics(keyword_corpus(spark, folder).keywords, questions(spark, folder))
     return s.select("query_id", "token", big("chunks").alias("chunks"), big("positions").alias("positions"))
 
 
@@ -54,7 +55,7 @@ def term_statistics(spark, folder):
         SELECT query_id, count(DISTINCT chunk_id)::BIGINT AS chunks FROM terms JOIN chunk_tokens USING (token) GROUP BY 1""",
 )
 def matching_chunk_counts(spark, folder):
-    return keyword_search.matching_chunk_counts(corpus(spark, folder).keywords, questions(spark, folder))
+    return keyword_search.matching_chunk_counts(keyword_corpus(spark, folder).keywords, questions(spark, folder))
 
 
 @query(
@@ -71,7 +72,7 @@ def postings(spark, folder):
         SELECT query_id, chunk_id, score, rank::BIGINT AS rank FROM hits""",
 )
 def keyword_top_hits(spark, folder):
-    return _ranked(keyword_search.keyword_topk(corpus(spark, folder).keywords, questions(spark, folder), 20))
+    return _ranked(keyword_search.keyword_topk(keyword_corpus(spark, folder).keywords, questions(spark, folder), 20))
 
 
 @query(
@@ -86,7 +87,7 @@ def keyword_top_hits(spark, folder):
 )
 def keyword_hits_in_source(spark, folder):
     q = questions(spark, folder).withColumn("source", F.when(F.length("query") > 200, "src3"))
-    return _ranked(keyword_search.keyword_topk(corpus(spark, folder).keywords, q, 10))
+    return _ranked(keyword_search.keyword_topk(keyword_corpus(spark, folder).keywords, q, 10))
 
 
 @query(
@@ -103,7 +104,7 @@ def keyword_hits_in_source(spark, folder):
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 20""",
 )
 def keyword_bm25_hits(spark, folder):
-    return _ranked(keyword_search.keyword_topk(corpus(spark, folder).keywords, questions(spark, folder), 20, scorer="bm25"))
+    return _ranked(keyword_search.keyword_topk(keyword_corpus(spark, folder).keywords, questions(spark, folder), 20, scorer="bm25"))
 
 
 def _all_vectors(spark, folder):
@@ -447,7 +448,7 @@ def _length_model(pairs):
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_rank) AS rank FROM scored) WHERE rank <= 5""",
 )
 def reranked_by_hook(spark, folder):
-    c, q = corpus(spark, folder), questions(spark, folder)
+    c, q = keyword_corpus(spark, folder), questions(spark, folder)
     hits = plan.with_chunk_text(keyword_search.keyword_topk(c.keywords, q, 20), c.chunks, ("content",)).join(q, "query_id")
     return _ranked(rerank.rerank(hits, 5, scorer=scorer_with_rule(_length_model, rerank.token_overlap)))
 
@@ -499,7 +500,7 @@ contexts AS (
 
 
 def _payload(spark, folder):
-    c, q = corpus(spark, folder), questions(spark, folder)
+    c, q = keyword_corpus(spark, folder), questions(spark, folder)
     hits = plan.with_chunk_text(keyword_search.keyword_topk(c.keywords, q, 5), c.chunks)
     return plan.retrieval_payload(q, hits, plan.query_variants(q), gate=2.5)
 
@@ -537,6 +538,6 @@ def quality_labels(spark, folder):
         FROM hits JOIN chunks USING (chunk_id, source) GROUP BY 1""".replace("USING (chunk_id, source)", "USING (chunk_id)"),
 )
 def evidence_contexts(spark, folder):
-    c, q = corpus(spark, folder), questions(spark, folder)
+    c, q = keyword_corpus(spark, folder), questions(spark, folder)
     hits = plan.with_chunk_text(keyword_search.keyword_topk(c.keywords, q, 5), c.chunks)
     return plan.evidence_context(hits, with_id=False).select("query_id", "context_text")

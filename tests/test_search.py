@@ -157,6 +157,17 @@ def test_blocks_and_counts_match_the_postings_of_the_chunks(spark, corpus, queri
     assert found == {q["query_id"]: sum(bool(t & set(q["query"].split())) for t in texts) for q in asked.collect() if q["query_id"] != 99}
 
 
+def test_a_range_names_its_chunks_once_and_ids_keep_their_type(spark, tmp_path):
+    rows = [(i, "every " * (1 + i % 3), None if i % 4 == 0 else f"s{i % 2}") for i in range(300)] + [(300, None, "s0"), (301, "", "s0")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string, source string").coalesce(1)
+    index = keyword_index.write_keyword_index(chunks, str(tmp_path / "index"))
+    assert index.rows.filter("chunks is not null").count() == 3 and (index.chunks, index.positions) == (302, 600)
+    asked = spark.createDataFrame([(1, "every", "s1"), (2, "every", None)], "query_id long, query string, source string")
+    for prune in (False, True):
+        found = keyword_index.search(index, asked, 2, prune=prune)
+        assert triples(found) == {(1, 5, 1), (1, 11, 2), (2, 2, 1), (2, 5, 2)}
+
+
 def test_scores_make_no_row_for_each_match(spark, stored, tmp_path):
     index = keyword_index.write_keyword_index(stored, str(tmp_path / "index"))
     asked = spark.createDataFrame([(i, "rare every") for i in range(30)], "query_id long, query string")
