@@ -217,3 +217,25 @@ def test_a_change_rewrites_its_buckets_only(spark, tmp_path):
     assert rows("documents", kind) == want and rows("chunks", "source string, content string") == want_chunks
     store.load_stored_prechunked(spark, root, spark.createDataFrame([("s1", "x y")], kind), chunked(spark.createDataFrame([("s1", "p q r")], kind)), load=2)
     assert ("('s1', 'r')" in rows("chunks", "source string, content string")) and rows("documents", "source string, content_hash string").count("('s1', None)") == 1
+
+
+def test_a_change_writes_aside_only_the_rows_that_stay(spark, tmp_path, monkeypatch):
+    from corpusloom.sources import buckets
+
+    aside, root, kind = [], str(tmp_path / "store"), "source string, text string"
+
+    def recorded(rows, name):
+        aside.append(rows.count())
+        return plain(rows, name)
+
+    plain = buckets.written
+    monkeypatch.setattr(buckets, "written", recorded)
+    for load, texts in enumerate(("a", "b")):
+        rows = spark.createDataFrame([(f"s{i}", f"{texts}{i}") for i in range(40)], kind)
+        buckets.replace_keys(spark, root, rows.schema, rows.select("source"), rows, buckets=4, load=load)
+    assert sum(aside) == 0  # nothing stays when all rows are new or replaced
+    one = spark.createDataFrame([("s1", "c")], kind)
+    touched = buckets.replace_keys(spark, root, one.schema, one.select("source"), one, buckets=4, load=2)
+    found = {r["source"]: r["text"] for r in buckets.read_buckets(spark, root, one.schema).collect()}
+    assert found == {f"s{i}": "c" if i == 1 else f"b{i}" for i in range(40)}
+    assert len(touched) == 1 and 0 < sum(aside) < 40
