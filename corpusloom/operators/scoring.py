@@ -20,12 +20,17 @@ from corpusloom.scale import top_per_group
 # Scores are compared at this many decimals, so summing order cannot reorder ties.
 SCORE_DECIMALS = 9
 #: Rows of a tile and of a block, about, and rows that are worth a tile of their own while cores are idle.
-TILE_ROWS, QUERY_ROWS, LEAST_TILE_ROWS = 8192, 2048, 1024
-SCORE_CELLS = 4_000_000
+TILE_ROWS, QUERY_ROWS, LEAST_TILE_ROWS = 65536, 8192, 1024
+SCORE_CELLS = 2_000_000
+#: Candidates of the first scores, in multiples of ``k``, whose ``k``-th best tells which of the others can matter.
+FIRST_LOOK = 8
 
 
 class Best:
-    """Running top ``k`` per query, ties going to the smaller id."""
+    """Running top ``k`` per query, ties going to the smaller id; scores are rounded as they are kept.
+
+    Only candidates that reach the ``k``-th best so far are looked at, so most scores cost one comparison.
+    """
 
     def __init__(self, queries: int, k: int, id_dtype):
         self.k = k
@@ -33,33 +38,28 @@ class Best:
         self.ids = np.zeros((queries, k), dtype=id_dtype)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` is (queries in ``rows``) x (candidates), candidates in id order."""
-        k = min(self.k, scores.shape[1])
-        if k < scores.shape[1]:
-            limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            above = scores > limit
-            tied = scores == limit
-            need = k - above.sum(axis=1, keepdims=True)
-            chosen = above | (tied & (np.cumsum(tied, axis=1) <= need))
-            columns = np.nonzero(chosen)[1].reshape(len(rows), k)
-        else:
-            columns = np.broadcast_to(np.arange(k), (len(rows), k))
-        new_scores = np.take_along_axis(scores, columns, axis=1)
-        new_ids = ids[columns]
-        if new_ids.dtype != self.ids.dtype:
-            self.ids = self.ids.astype(np.promote_types(new_ids.dtype, self.ids.dtype))
-        all_scores = np.concatenate([self.scores[rows], new_scores], axis=1)
-        all_ids = np.concatenate([self.ids[rows], new_ids], axis=1)
-        by_id = np.argsort(all_ids, axis=1, kind="stable")
-        all_scores = np.take_along_axis(all_scores, by_id, axis=1)
-        all_ids = np.take_along_axis(all_ids, by_id, axis=1)
-        order = np.argsort(-all_scores, axis=1, kind="stable")[:, : self.k]
-        self.scores[rows] = np.take_along_axis(all_scores, order, axis=1)
-        self.ids[rows] = np.take_along_axis(all_ids, order, axis=1)
-
-
-# A scorer takes a part of a tile in id order and a block of queries, and yields (query rows, scores, candidate positions).
-Scorer = Callable[[pa.Table, pa.Table], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+        """``scores`` is (queries in ``rows``) x (candidates); a score of minus infinity is no candidate."""
+        reach = self.scores[rows, -1]
+        if scores.shape[1] > self.k and np.isneginf(reach).any():
+            look = np.nan_to_num(scores[:, : FIRST_LOOK * self.k], nan=-np.inf, neginf=-np.inf)
+            reach = np.maximum(reach, np.partition(look, look.shape[1] - self.k, axis=1)[:, -self.k])
+        # What is rounded up to the k-th best is a candidate too.
+        at, column = np.nonzero(scores >= np.maximum(reach - 2 * 10.0**-SCORE_DECIMALS, np.finfo("float64").min)[:, None])
+        if not len(at):
+            return
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        met, group = rows[at[starts]], np.repeat(np.arange(len(starts)), np.diff(starts, append=len(at)))
+        groups = np.concatenate([np.repeat(np.arange(len(met)), self.k), group])
+        all_scores = np.concatenate([self.scores[met].ravel(), np.round(scores[at, column], SCORE_DECIMALS) + 0.0])
+        all_ids = np.concatenate([self.ids[met].ravel(), ids[column]])
+        order = np.lexsort((all_ids, -all_scores, groups))
+        first = np.searchsorted(groups[order], np.arange(len(met)))
+        chosen = order[first[:, None] + np.arange(self.k)]  # a query has k places at least
+        self.scores[met], self.ids[met] = all_scores[chosen], all_ids[chosen]
+
+
+# A scorer takes a block of queries and gives what takes a part of a tile and yields (query rows, scores, candidate positions).
+Scorer = Callable[[pa.Table], Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]]
 
 
 def tiles_for(rows: int, cores: int) -> int:
@@ -107,31 +107,20 @@ def _kernel(scorer: Scorer, k: int, chunk_id: str, query_id: str, schema: T.Stru
         if not tile.num_rows or not block.num_rows:
             return arrow_schema.empty_table()
         block = block.combine_chunks()
+        tile = tile.sort_by(chunk_id).combine_chunks()
+        score, best = scorer(block), Best(block.num_rows, k, "int64")
         rows_per_step = max(16, SCORE_CELLS // block.num_rows)
-        best: Best | None = None
         for start in range(0, tile.num_rows, rows_per_step):
-            part = tile.slice(start, rows_per_step).sort_by(chunk_id).combine_chunks()
-            ids = np.asarray(part[chunk_id].to_pylist())
-            if best is None:
-                best = Best(block.num_rows, k, ids.dtype)
-            for rows, scores, places in scorer(part, block):
-                best.add(rows, scores, ids[places])
+            for rows, scores, places in score(tile.slice(start, rows_per_step)):
+                best.add(rows, scores, start + places)
         rows, cols = np.nonzero(best.scores > -np.inf)
         return pa.Table.from_arrays(
             [
                 block[query_id].take(pa.array(rows)).combine_chunks().cast(arrow_schema.field(query_id).type),
-                pa.array(best.ids[rows, cols].tolist(), type=arrow_schema.field(chunk_id).type),
+                tile[chunk_id].take(pa.array(best.ids[rows, cols])).combine_chunks().cast(arrow_schema.field(chunk_id).type),
                 pa.array(best.scores[rows, cols]),
             ],
             schema=arrow_schema,
         )
 
     return run
-
-
-def outside_source(wanted: list, part: pa.Table, places: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Mask of (query, candidate) cells a query's source filter rules out (null: no filter)."""
-    have = np.asarray(part["source"].to_pylist(), dtype=object)[places]
-    want = np.asarray([wanted[q] for q in rows], dtype=object)
-    free = np.array([w is None for w in want], dtype=bool)
-    return ~(free[:, None] | (want[:, None] == have[None, :]))

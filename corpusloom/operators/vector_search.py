@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.scoring import QUERY_ROWS, SCORE_DECIMALS, TILE_ROWS, best_of_tiles, outside_source, query_block_of, tiled_topk
+from corpusloom.operators.scoring import QUERY_ROWS, SCORE_DECIMALS, TILE_ROWS, best_of_tiles, query_block_of, tiled_topk
 from corpusloom.session import scratch_folder
 
 
@@ -36,17 +36,32 @@ def _list_matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -
 
 
 def _cosine_scorer(embedding: str, query_embedding: str, by_source: bool):
-    def score(part: pa.Table, block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Cosines; a query with a source meets the rows of this source and no others."""
+
+    def prepared(block: pa.Table):
         unit, usable = _unit_rows(_list_matrix(block[query_embedding]))
-        vectors, has_length = _unit_rows(_list_matrix(part[embedding], unit.shape[1]))
-        rows, places = np.nonzero(usable)[0], np.nonzero(has_length)[0]
-        if len(rows) and len(places):
-            scores = np.round(unit[rows] @ vectors[places].T, SCORE_DECIMALS) + 0.0
+        asking = np.flatnonzero(usable)
+        if by_source:
+            wanted = block["_wanted"].combine_chunks().dictionary_encode()
+            code = np.asarray(wanted.indices.fill_null(-1))
+            rows_of = {None if c < 0 else wanted.dictionary[c].as_py(): asking[code[asking] == c] for c in np.unique(code[asking]).tolist()}
+        else:
+            rows_of = {None: asking}
+
+        def score(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            vectors, has_length = _unit_rows(_list_matrix(part[embedding], unit.shape[1]))
+            usable = np.flatnonzero(has_length)
             if by_source:
-                scores[outside_source(block["_wanted"].to_pylist(), part, places, rows)] = -np.inf
-            yield rows, scores, places
+                have = part["source"].combine_chunks().dictionary_encode()
+                code_of, code = {c: i for i, c in enumerate(have.dictionary.to_pylist())}, np.asarray(have.indices.fill_null(-1))
+            for source, rows in rows_of.items():
+                places = usable if source is None else usable[code[usable] == code_of[source]] if source in code_of else usable[:0]
+                if len(rows) and len(places):
+                    yield rows, unit[rows] @ vectors[places].T, places
+
+        return score
 
-    return score
+    return prepared
 
 
 def _asked(queries: DataFrame, query_id: str, embedding: str) -> tuple[DataFrame, bool]:

@@ -287,3 +287,28 @@ def test_top_per_group_cuts_before_the_shuffle(spark):
     top = top_per_group(df, ["g"], [F.desc("id")], 3)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert {(r["g"], r["id"]) for r in top.collect()} == {(True, 999), (True, 998), (True, 997), (False, 300), (False, 299), (False, 298)}
+
+
+def test_a_query_with_a_source_is_scored_against_its_source_only():
+    import pyarrow as pa
+
+    vectors = RNG.normal(size=(60, 3)).tolist()
+    tile = pa.table({"chunk_id": list(range(60)), "embedding": vectors, "source": [f"s{i % 6}" for i in range(60)]})
+    block = pa.table({"query_id": list(range(12)), "_vector": vectors[:12], "_wanted": [f"s{i % 4}" for i in range(11)] + [None]})
+    cells = sum(scores.size for _, scores, _ in vector_search._cosine_scorer("embedding", "_vector", True)(block)(tile))
+    assert cells == 11 * 10 + 60
+
+
+def test_best_keeps_rounded_ties_by_id_in_any_order():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        scores = np.round(rng.normal(size=(6, 300)), 1) + rng.uniform(-4e-10, 4e-10, size=(6, 300))
+        scores[rng.random(scores.shape) < 0.2] = -np.inf
+        scores[5, 3:] = -np.inf
+        best, ids = scoring.Best(6, 5, "int64"), rng.permutation(300)
+        for part in np.array_split(np.arange(300), 7):
+            best.add(np.arange(6), scores[:, part], ids[part])
+        for q in range(6):
+            held = [(s, i) for s, i in zip(best.scores[q].tolist(), best.ids[q].tolist()) if s > -np.inf]
+            want = sorted((-round(s, 9) + 0.0, i) for s, i in zip(scores[q].tolist(), ids.tolist()) if s > -np.inf)[:5]
+            assert [(-s, i) for s, i in want] == held
