@@ -239,3 +239,20 @@ def test_a_change_writes_aside_only_the_rows_that_stay(spark, tmp_path, monkeypa
     found = {r["source"]: r["text"] for r in buckets.read_buckets(spark, root, one.schema).collect()}
     assert found == {f"s{i}": "c" if i == 1 else f"b{i}" for i in range(40)}
     assert len(touched) == 1 and 0 < sum(aside) < 40
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    from corpusloom.sources import files
+
+    most = files.LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    for i in range(most + 40):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.md").write_text(f"text {i}")
+    before, tracker = spark.conf.get(files._LISTING), spark.sparkContext.statusTracker()
+    for name, read in (("folder", lambda: files.read_directory(spark, str(tmp_path))), ("pattern", lambda: files.read_file(spark, f"{tmp_path}/d*/a.md"))):
+        spark.sparkContext.setJobGroup(f"listing-{name}", name)
+        found = read()
+        jobs = tracker.getJobIdsForGroup(f"listing-{name}")
+        spark.sparkContext.setJobGroup("rest", "rest")
+        assert 0 < max(tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds) <= most
+        assert found.select("text").distinct().count() == most + 40 and spark.conf.get(files._LISTING) == before
