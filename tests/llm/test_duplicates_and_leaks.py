@@ -92,6 +92,17 @@ def test_wide_fingerprints():
     assert len(sets) == sum(len(g) * (len(g) - 1) // 2 for g in groups) == 58
 
 
+@pytest.mark.parametrize("list_rows", [8192, 4])
+def test_similar_texts_meet_in_the_index(spark, monkeypatch, list_rows):
+    """Without any MinHash list the index over byte positions and its tally bring similar texts together."""
+    links = simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *args, **given: links(*args, **given).filter(F.lit(given.get("lists") is None)))
+    words = [f"w{i}" for i in range(200)]
+    rows = [(10 * k + e, " ".join([f"k{k}{w}" if i != 20 * e else "edit" for i, w in enumerate(words)])) for k in range(8) for e in range(1, 9)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), list_rows=list_rows, **simhash.SIMILAR).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: d // 10 * 10 + 1 for d, _ in rows}
+
+
 @pytest.mark.parametrize("list_rows", [8192, 12])
 def test_similar_texts_meet(spark, docs, list_rows):
     """Copies with an edited word every hundred fall together, unrelated texts do not; extra columns and nulls do no harm."""
