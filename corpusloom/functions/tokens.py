@@ -11,6 +11,10 @@ from corpusloom.functions.text import _col, nested_search_value, nonempty, norma
 
 # Word characters joined by the punctuation found in paths, codes and versions.
 WORD_PATTERN = r"[\p{L}\p{N}_]+(?:[.:/#-]+[\p{L}\p{N}_]+)*"
+# The same words: what joins them is no word character, so nothing is ever given back.
+_WORD = r"[\p{L}\p{N}_]++(?:[.:/#-]++[\p{L}\p{N}_]++)*+"
+# The script of a character is looked up slowly, and no Han character stands before U+2E80.
+_BEFORE_HAN = r"[^\x00-\x{2E7F}]"
 _OTHER_WORD = r"[\p{L}\p{N}_&&[^\p{IsHan}]]+(?:[.:/#-]+[\p{L}\p{N}_&&[^\p{IsHan}]]+)*"
 # Group 1 holds the token: a Han pair (one character is consumed, so pairs overlap), a
 # Han character standing alone, or another word.
@@ -32,9 +36,9 @@ LOW_VALUE_QUERY_WORDS = (
 
 def _raw_tokens(c: Column | str) -> Column:
     text = _col(c)
-    words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
     mixed = F.regexp_extract_all(text, F.lit(_HAN_AWARE_PATTERN), F.lit(1))
-    return F.when(text.rlike(r"\p{IsHan}"), mixed).otherwise(words)
+    return F.when(text.rlike(_BEFORE_HAN) & text.rlike(r"\p{IsHan}"), mixed).otherwise(words)
 
 
 def search_tokens(c: Column | str) -> Column:

@@ -19,7 +19,7 @@ class StoredCorpus:
 
 def store_corpus(chunks: DataFrame, path: str, *, chunk_id: str = "chunk_id", text: str = "content") -> StoredCorpus:
     """Write ``chunks`` (``chunk_id, content, embedding`` and any more) and their keyword index below ``path``."""
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    chunks.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
     stored = chunks.sparkSession.read.schema(chunks.schema).parquet(f"{path}/chunks")
     return StoredCorpus(stored, write_keyword_index(stored, f"{path}/keywords", chunk_id=chunk_id, text=text))
 

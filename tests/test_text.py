@@ -168,3 +168,14 @@ def test_nested_search_values(spark):
     got = {r.j: (r.v, r.o) for r in df.select("j", text.nested_search_value("j").alias("v"), text.nested_search_value("j", objects_only=True).alias("o")).collect()}
     assert {k: v for k, (v, _) in got.items()} == rows | {None: ""}
     assert got['["x",{"y":"a,b:c"}]'][1] == "" and got['{"a":{"b":"x"},"c":["p","q"]}'][1] == "x p q"
+
+
+def test_words_are_those_of_the_pattern(spark):
+    from corpusloom.functions.tokens import _WORD, WORD_PATTERN, _raw_tokens
+
+    texts = ["a..b a./b. .a a.", "x-1/2_y: z:-", "été/α#β  №5 ²", "a.:/#-", "", "\u2e7f a", "a\u2e80b c", "\U00020000x 字"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = [F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (_WORD, WORD_PATTERN)]
+    assert df.filter(words[0] != words[1]).count() == 0
+    got = {r["t"]: r["k"] for r in df.select("t", _raw_tokens("t").alias("k")).collect()}
+    assert got["a\u2e80b c"] == ["a", "\u2e80", "b", "c"] and got["\U00020000x 字"] == ["\U00020000", "x", "字"]
