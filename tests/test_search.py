@@ -157,6 +157,29 @@ def test_blocks_and_counts_match_the_postings_of_the_chunks(spark, corpus, queri
     assert found == {q["query_id"]: sum(bool(t & set(q["query"].split())) for t in texts) for q in asked.collect() if q["query_id"] != 99}
 
 
+def test_blocks_are_written_without_another_sort(spark, corpus, tmp_path, monkeypatch):
+    """A task of the index holds no more than its shard: its blocks are not sorted by bucket before they are written."""
+    from pyspark.sql import DataFrameWriter
+
+    seen, save, name = [], DataFrameWriter.saveAsTable, "spark.sql.maxConcurrentOutputFileWriters"
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda self, *a, **k: (seen.append(int(spark.conf.get(name))), save(self, *a, **k))[1])
+    before = spark.conf.get(name)
+    keyword_index.write_keyword_index(corpus, str(tmp_path / "index"))
+    assert seen and min(seen) > 0 and spark.conf.get(name) == before
+    assert keyword_index.SHARD_CHUNKS <= 1 << 15
+
+
+def test_postings_are_counted_without_lambdas(spark, monkeypatch):
+    monkeypatch.setattr(keyword_search, "TOKENS_AT_ONCE", 3)
+    rows = [(1, "b a B"), (2, None), (3, ""), (4, "x " * 50), (5, "a-b a-b. 汉字汉")]
+    found = keyword_search.postings(spark.createDataFrame(rows, "chunk_id long, content string").coalesce(1))
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == [(1, "a", 1), (1, "b", 2), (4, "x", 50), (5, "a-b", 2), (5, "字汉", 1), (5, "汉字", 1)]
+    assert found.dtypes == [("chunk_id", "bigint"), ("token", "string"), ("tf", "bigint")]
+    assert keyword_search.postings(spark.createDataFrame([], "chunk_id long, content string")).count() == 0
+    assert "explode(" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_range_names_its_chunks_once_and_ids_keep_their_type(spark, tmp_path):
     rows = [(i, "every " * (1 + i % 3), None if i % 4 == 0 else f"s{i % 2}") for i in range(300)] + [(300, None, "s0"), (301, "", "s0")]
     chunks = spark.createDataFrame(rows, "chunk_id long, content string, source string").coalesce(1)
