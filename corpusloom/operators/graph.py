@@ -7,11 +7,14 @@ there are nodes and edges.  Each round is checkpointed, so lineage stays short a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.scale import join_small_side
-from corpusloom.session import ensure_checkpoint_dir
+from corpusloom.session import ensure_checkpoint_dir, narrow_tasks
 
 
 def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,6 +29,18 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return levels
 
 
+def _in_narrow_tasks(rounds: Callable) -> Callable:
+    """Run the rounds in tasks of bounded size; all they return is checkpointed."""
+
+    @wraps(rounds)
+    def run(first: DataFrame, second: DataFrame) -> tuple[DataFrame, int]:
+        with narrow_tasks(first.sparkSession):
+            return rounds(first, second)
+
+    return run
+
+
+@_in_narrow_tasks
 def levels_and_rounds(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """:func:`dependency_levels` with the number of rounds it took."""
     ensure_checkpoint_dir(nodes.sparkSession)
@@ -49,7 +64,7 @@ def levels_and_rounds(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, in
             break  # what is left waits for a cycle
     cyclic = rows.filter(F.col("depends_on").isNotNull() | F.col("cycle")).select("graph_id").distinct() if rounds else None
     levels = rows.groupBy("graph_id", "node").agg(F.max("base").alias("level"))
-    return (levels if cyclic is None else join_small_side(levels, cyclic, "graph_id", "left_anti")), rounds
+    return (levels if cyclic is None else join_small_side(levels, cyclic, "graph_id", "left_anti")).checkpoint(), rounds
 
 
 def _jumped(rows: DataFrame, largest: int) -> tuple[DataFrame, int, int]:
@@ -85,6 +100,7 @@ def dependency_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return visited
 
 
+@_in_narrow_tasks
 def closure_and_rounds(seeds: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """:func:`dependency_closure` with the number of rounds it took.
 

@@ -246,3 +246,16 @@ def test_levels_of_random_graphs(spark):
         spark.createDataFrame(nodes, "graph_id long, node long"), spark.createDataFrame(edges, "graph_id long, node long, depends_on long")
     )
     assert {(r.graph_id, r.node): r.level for r in levels.collect()} == want
+
+
+def test_graph_rounds_run_in_tasks_of_bounded_size(spark, monkeypatch):
+    kind = type(spark.range(0))
+    name, seen, checkpoint = "spark.sql.adaptive.advisoryPartitionSizeInBytes", [], kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **k: (seen.append(spark.conf.get(name, None)), checkpoint(self, *a, **k))[1])
+    before = spark.conf.get(name, None)
+    nodes = spark.createDataFrame([("g", n) for n in range(4)], "graph_id string, node long")
+    edges = nodes.select("graph_id", "node", (F.col("node") - 1).alias("depends_on"))
+    assert sorted(r["level"] for r in graph.dependency_levels(nodes, edges).collect()) == [0, 1, 2, 3]
+    assert graph.dependency_closure(nodes.filter("node = 2"), edges.filter("node > 0")).count() == 3
+    assert {*seen} == {f"{4 << 20}b"} and len(seen) > 6
+    assert spark.conf.get(name, None) == before
