@@ -1,3 +1,4 @@
+import json
 import re
 
 import pytest
@@ -170,6 +171,14 @@ def test_nested_search_values(spark):
     assert got['["x",{"y":"a,b:c"}]'][1] == "" and got['{"a":{"b":"x"},"c":["p","q"]}'][1] == "x p q"
 
 
+def test_nested_search_values_of_long_texts(spark):
+    said = ["a" * 100_000, "\n\t\"\\" * 25_000, "字\U0001f600" * 25_000, "{[:," * 25_000]
+    values = [json.dumps({"k" * 50_000: t, "n": [1, {"deep": t}]}, ensure_ascii=False) for t in said]
+    df = spark.createDataFrame(list(enumerate(values)), "n int, j string")
+    got = {r.n: r.v for r in df.select("n", text.nested_search_value("j").alias("v")).collect()}
+    assert got == {n: f"{t} 1 {t}" for n, t in enumerate(said)}
+
+
 def test_words_are_those_of_the_pattern(spark):
     from corpusloom.functions.tokens import _WORD, WORD_PATTERN, _raw_tokens
 
