@@ -18,7 +18,7 @@ from corpusloom.catalog.registry import big, query, table
 from corpusloom.functions.text import content_hash, normalize_text
 from corpusloom.operators import chunking, store
 from corpusloom.scale import spread
-from corpusloom.session import ensure_checkpoint_dir
+from corpusloom.session import ensure_checkpoint_dir, written
 from corpusloom.sources import buckets, files, tables
 
 
@@ -394,10 +394,7 @@ def directory_scan(spark, folder):
 def _a_file_each(spark, folder):
     """Every document as a file of its own, in a folder by language."""
     path = scratch(spark, "files")
-    d = table(spark, folder, "documents").select("lang", "doc_id", F.col("text").alias("value"))
-    # Tasks move their own files into place; the driver would move them one by one.
-    in_tasks = d.repartition("lang", "doc_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    in_tasks.partitionBy("lang", "doc_id").text(path)
+    files.write_file_each(table(spark, folder, "documents"), path, ["lang", "doc_id"], "text")
     return path
 
 
@@ -414,8 +411,11 @@ def _file_facts(documents):
        FROM documents""",
 )
 def ordered_directory_scan(spark, folder):
-    d = files.in_path_order(files.read_directory(spark, _a_file_each(spark, folder), "*.txt"))
-    return d.select(*_file_facts(d), big("position").alias("position"))
+    d = files.read_directory(spark, _a_file_each(spark, folder), "*.txt")
+    # Ranges are found by a pass of their own, so the files are read before, once, and only what is asked of them is put in order.
+    with files.many_small_files(spark):
+        facts = written(d.select("source", *_file_facts(d)), "file-facts")
+    return files.in_path_order(facts).select("lang", "doc_id", "content_hash", big("position").alias("position"))
 
 
 @query(

@@ -1,4 +1,6 @@
+import gzip
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -256,3 +258,32 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
         spark.sparkContext.setJobGroup("rest", "rest")
         assert 0 < max(tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds) <= most
         assert found.select("text").distinct().count() == most + 40 and spark.conf.get(files._LISTING) == before
+
+
+def test_a_file_each_stands_where_sparks_writer_puts_it(spark, tmp_path):
+    keys = ["en", "a/b=c", "50% [x]^{y", "\t\"#'*:?\\\x7f", "é ü字", "", None]
+    rows = spark.createDataFrame([(k, n, f"{k} {n}\nü" if n else None) for k in keys for n in (0, 1, 2)] + [("en", 1, "en 1\nü")], "lang string, n int, value string")
+    ours, sparks = str(tmp_path / "ours"), str(tmp_path / "sparks")
+    files.write_file_each(rows, ours, ["lang", "n"])
+    rows.repartition("lang", "n").write.partitionBy("lang", "n").text(sparks)
+
+    def found(root):
+        return sorted((str(p.parent.relative_to(root)), p.read_bytes()) for p in Path(root).rglob("*.txt"))
+
+    assert found(ours) == found(sparks) and len(found(ours)) == 18
+    assert not [p for p in Path(ours).rglob("*") if p.is_file() and p.suffix != ".txt"]
+    files.write_file_each(rows, "file:" + ours + "2", ["lang", "n"])
+    assert found(ours + "2") == found(ours)
+
+
+def test_packed_files_are_unpacked_and_small_ones_share_tasks(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"plain\xff")
+    (tmp_path / "b.md.gz").write_bytes(gzip.compress(b"packed"))
+    for n in range(300):
+        (tmp_path / f"{n}.txt").write_text(f"text {n}")
+    texts = {r["h"] for pattern in ("*.md", "*.gz") for r in files.read_directory(spark, str(tmp_path), pattern).select(F.hex("text").alias("h")).collect()}
+    assert texts == {b"plain\xff".hex().upper(), b"packed".hex().upper()}
+    many = files.read_directory(spark, str(tmp_path), "*.txt")
+    with files.many_small_files(spark):
+        assert many.rdd.getNumPartitions() <= 8
+        assert {r["text"] for r in many.collect()} == {f"text {n}" for n in range(300)}
