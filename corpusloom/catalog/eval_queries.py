@@ -31,6 +31,7 @@ from corpusloom.operators.rerank import rerank
 from corpusloom.operators.vector_search import vector_topk
 from corpusloom.plans import retrieve
 from corpusloom.scale import join_small_side
+from corpusloom.session import written
 
 _TERMS_SQL = sql_query_terms("terms", "questions", "query_id", "query")
 _BASE_SQL = f"{CHUNKS_SQL}, {CHUNK_TOKENS_SQL}, {QUESTIONS_SQL}, {_TERMS_SQL}, {SENTENCES_SQL}, {sql_keyword_hits('hits', 'terms', 'query_id', 10)}"
@@ -438,10 +439,10 @@ l AS (SELECT e.item_id, count(*) FILTER (rank <= 5) AS f, min(rank) FILTER (rank
 )
 def hard_negative_ablation(spark, folder):
     stored, q = keyword_corpus(spark, folder), questions(spark, folder)
-    c = stored.chunks
-    expected = expected_chunks(c, q)
-    hits = _by_item(keyword_topk(stored.keywords, q, 10))
+    # Each is used more than once, and both are small beside the chunks.
+    expected = written(expected_chunks(stored.chunks, q), "expected-chunks")
+    hits = written(_by_item(keyword_topk(stored.keywords, q, 10)), "hits")
     alike = evaluation.hard_negatives(hits, expected, 1).select("chunk_id").distinct()
-    lean = _by_item(keyword_topk(join_small_side(c, alike, "chunk_id", "left_anti"), q, 10))
+    lean = _by_item(keyword_topk(stored.keywords, q, 10, without=alike))
     a = evaluation.ablation(_items(spark, folder), expected, hits, lean)
     return a.select("item_id", *[F.round(n, 9).alias(n) for n in ("recall_with", "recall_without", "rr_with", "rr_without")])

@@ -343,3 +343,41 @@ def test_each_shard_has_a_bucket_of_its_own(spark, tmp_path, monkeypatch):
     index = keyword_index.write_keyword_index(chunks, str(tmp_path / "index"), chunk_id="id")
     shards = index.rows.select("shard", F.pmod(F.hash("shard"), F.lit(index.shards)).alias("bucket")).distinct().collect()
     assert index.shards == len(shards) == len({r["bucket"] for r in shards}) == 20
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_chunks_left_out_are_found_by_no_query(spark, corpus, queries, tmp_path, monkeypatch, threshold):
+    monkeypatch.setattr(keyword_index, "LEAST_SHARD_CHUNKS", 32)
+    monkeypatch.setattr(keyword_index, "RANGE_CHUNKS", 8)
+    out = [f"c{i:03d}" for i in range(0, 120, 3)] + ["none", "no such chunk"]
+    without = spark.createDataFrame([(c,) for c in [*out, out[0], None]], "chunk_id string")
+    index = keyword_index.write_keyword_index(corpus, str(tmp_path / "index"))
+    assert index.shards > 1
+    lean = keyword_index.write_keyword_index(corpus.filter(~F.col("chunk_id").isin(out)), str(tmp_path / "lean"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for asked in (queries, queries.drop("source")):
+            got = sorted(keyword_search.keyword_topk(index, asked, 9, without=without).collect())
+            assert got == sorted(keyword_search.keyword_topk(lean, asked, 9).collect()) and got
+            none = without.limit(0)
+            assert sorted(keyword_search.keyword_topk(index, asked, 9, without=none).collect()) == sorted(keyword_search.keyword_topk(index, asked, 9).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for options in ({"scorer": "bm25"}, {"prune": True}):
+        with pytest.raises(ValueError, match="left out"):
+            keyword_search.keyword_topk(index, queries, 9, without=without, **options)
+
+
+def test_the_ablation_writes_one_keyword_index(spark, monkeypatch, tmp_path):
+    from corpusloom.catalog import eval_queries
+    from corpusloom.plans import corpus as stored_corpus
+
+    text = "The cache is warmed by the nightly job before users arrive. " * 3
+    spark.createDataFrame([(i, text + f"Number {i} of the copies says so in a sentence.", "en", "s", 100) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "Number 3 of the copies says so in a sentence.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    written, write = [], keyword_index.write_keyword_index
+    for module in (keyword_search, stored_corpus):
+        monkeypatch.setattr(module, "write_keyword_index", lambda *a, **o: written.append(1) or write(*a, **o))
+    row = eval_queries.hard_negative_ablation(spark, str(tmp_path)).first()
+    assert len(written) == 1 and row["recall_with"] == row["recall_without"] == 1.0
