@@ -3,6 +3,7 @@
 Levels and closures jump: a node with one open dependency passes on where that leads, so the steps of a chain or a
 tree double with every round and the rounds grow with the logarithm of its length.  No round makes more rows than
 there are nodes and edges.  Each round is checkpointed, so lineage stays short and a lost executor costs one round.
+Rounds of levels are written as Parquet, a few bytes a row, and removed when the next one is there.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.scale import join_small_side
-from corpusloom.session import ensure_checkpoint_dir, narrow_tasks
+from corpusloom.session import ensure_checkpoint_dir, narrow_tasks, remove_folder, scratch_folder, written, written_to
 
 
 def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def _in_narrow_tasks(rounds: Callable) -> Callable:
 @_in_narrow_tasks
 def levels_and_rounds(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """:func:`dependency_levels` with the number of rounds it took."""
-    ensure_checkpoint_dir(nodes.sparkSession)
-    all_nodes = nodes.select("graph_id", "node").distinct().checkpoint()
+    spark = nodes.sparkSession
+    nodes_folder, folder = (scratch_folder(spark, f"levels-{name}") for name in ("nodes", "start"))
+    all_nodes = written_to(nodes.select("graph_id", "node").distinct(), nodes_folder)
     largest = all_nodes.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
     known = all_nodes.select("graph_id", F.col("node").alias("depends_on"))
     own = edges.select("graph_id", "node", "depends_on").distinct()
@@ -55,20 +57,25 @@ def levels_and_rounds(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, in
     rows = rows.unionByName(
         all_nodes.select("graph_id", "node", F.lit(None).cast(depends_on).alias("depends_on"), F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("add"))
     )
-    rows = rows.withColumn("cycle", F.lit(False)).checkpoint()
+    rows = written_to(rows.withColumn("cycle", F.lit(False)), folder)
+    remove_folder(spark, nodes_folder)
     rounds, left = 0, rows.agg(F.count("depends_on")).first()[0]
     while left:
-        rows, moved, left = _jumped(rows, largest)
+        before, folder = folder, scratch_folder(spark, "levels-round")
+        rows, moved, left = _jumped(rows, largest, folder)
+        remove_folder(spark, before)
         rounds += 1
         if not moved:
             break  # what is left waits for a cycle
     cyclic = rows.filter(F.col("depends_on").isNotNull() | F.col("cycle")).select("graph_id").distinct() if rounds else None
     levels = rows.groupBy("graph_id", "node").agg(F.max("base").alias("level"))
-    return (levels if cyclic is None else join_small_side(levels, cyclic, "graph_id", "left_anti")).checkpoint(), rounds
+    found = written(levels if cyclic is None else join_small_side(levels, cyclic, "graph_id", "left_anti"), "levels")
+    remove_folder(spark, folder)
+    return found, rounds
 
 
-def _jumped(rows: DataFrame, largest: int) -> tuple[DataFrame, int, int]:
-    """One round: rows, how many dependencies were resolved or led on, and how many are left."""
+def _jumped(rows: DataFrame, largest: int, folder: str) -> tuple[DataFrame, int, int]:
+    """One round, written to ``folder``: rows, how many dependencies were resolved or led on, and how many are left."""
     opens = F.when(F.col("depends_on").isNotNull(), F.struct(F.col("depends_on").alias("to"), F.col("add")))
     nodes = rows.groupBy("graph_id", F.col("node").alias("depends_on")).agg(
         F.max("base").alias("its_base"), F.count("depends_on").alias("its_open"), F.max(opens).alias("its_one")
@@ -85,10 +92,10 @@ def _jumped(rows: DataFrame, largest: int) -> tuple[DataFrame, int, int]:
         "graph_id", "node", depends_on.alias("depends_on"), base.alias("base"), F.when(~round_trip, add).alias("add"),
         (F.col("cycle") | round_trip).alias("cycle"), (done | leads).alias("moved"),
     )
-    kept = (
+    kept = written_to(
         moved.groupBy("graph_id", "node", "depends_on")
-        .agg(F.max("base").alias("base"), F.max("add").alias("add"), F.max("cycle").alias("cycle"), F.max("moved").alias("moved"))
-        .checkpoint()
+        .agg(F.max("base").alias("base"), F.max("add").alias("add"), F.max("cycle").alias("cycle"), F.max("moved").alias("moved")),
+        folder,
     )
     steps, left = kept.agg(F.count_if("moved"), F.count("depends_on")).first()
     return kept.drop("moved"), steps, left

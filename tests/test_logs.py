@@ -259,3 +259,16 @@ def test_graph_rounds_run_in_tasks_of_bounded_size(spark, monkeypatch):
     assert graph.dependency_closure(nodes.filter("node = 2"), edges.filter("node > 0")).count() == 3
     assert {*seen} == {f"{4 << 20}b"} and len(seen) > 6
     assert spark.conf.get(name, None) == before
+
+
+def test_rounds_of_levels_leave_nothing_but_the_result(spark):
+    from pathlib import Path
+
+    from corpusloom.session import ensure_checkpoint_dir
+
+    top = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(top.iterdir())
+    nodes = spark.range(40).selectExpr("1L AS graph_id", "id AS node")
+    levels = graph.dependency_levels(nodes, nodes.selectExpr("graph_id", "node", "node - 1 AS depends_on"))
+    left = {p.name.rsplit("-", 1)[0] for p in set(top.iterdir()) - before}
+    assert left == {"levels"} and sorted((r["node"], r["level"]) for r in levels.collect()) == [(n, n) for n in range(40)]
