@@ -90,3 +90,20 @@ def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
     messages.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
     got = QUERIES["streamed_memory"](spark, str(tmp_path)).collect()
     assert sorted((int(r["session_id"]), r["message_count"]) for r in got) == [(c, 8) for c in range(20)]
+
+
+def test_a_stream_leaves_no_copy_of_what_it_stored(spark, tmp_path):
+    from pathlib import Path
+
+    from corpusloom.catalog.log_queries import streamed_documents
+    from corpusloom.session import ensure_checkpoint_dir
+
+    rows = [(i, f"text {i} of a document " * 40, "en", "s", 100) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    top = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(top.iterdir())
+    assert streamed_documents(spark, str(tmp_path)).count() == 20
+    new = {p.name.rsplit("-", 1)[0]: p for p in set(top.iterdir()) - before}
+    assert "changed-documents" not in new and {"documents-landed", "documents-store"} <= set(new)
+    # Only the last batch lies there, both texts of each document.
+    assert spark.read.parquet(str(new["documents-landed"])).count() == 40
